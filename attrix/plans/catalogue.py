@@ -362,8 +362,10 @@ DATA_ORACLES: dict[str, str] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(DATA_QUERIES)
+    from attrix.plans.model_queries import MODEL_QUERIES
+    return {**DATA_QUERIES, **MODEL_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(DATA_ORACLES)
+    from attrix.plans.model_queries import MODEL_ORACLES
+    return {**DATA_ORACLES, **MODEL_ORACLES}
