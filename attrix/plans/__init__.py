@@ -1,0 +1 @@
+"""Composed plans: feature frame, ML preparation and models, evaluation, catalogue."""

@@ -1,0 +1,3 @@
+from attrix.streaming.scoring import score_frame, start_scoring
+
+__all__ = ["score_frame", "start_scoring"]
