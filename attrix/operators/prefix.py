@@ -11,7 +11,8 @@ day, or at score quantiles):
    ``#buckets`` rows per key (bounded by the bucketing, not by row counts);
 4. join 1 and 3 on (key, bucket) and add.
 
-The bucket must be a non-decreasing function of the ordering within a key.
+The bucket must be a non-null, non-decreasing function of the ordering
+within a key.
 """
 
 from __future__ import annotations
@@ -45,9 +46,14 @@ def running_totals(df: DataFrame, keys, bucket: str, order, values,
                    for v in values]
     total_cols = ([F.sum(f"__bt_{v}").over(w_keys).alias(f"{v}_total") for v in values]
                   if group_totals else [])
-    offsets = totals.select(*part, *offset_cols, *total_cols)
-
-    joined = within.join(offsets, on=part, how="inner")
+    # key columns renamed: both sides descend from ``df``, so the names alone
+    # would make an ambiguous self-join condition
+    offsets = totals.select(*[F.col(c).alias(f"__k_{c}") for c in part], *offset_cols, *total_cols)
+
+    # plain equi-join: ``within`` is already hash-partitioned on ``part`` by
+    # its window, so only the small offsets side is shuffled
+    cond = [F.col(c) == F.col(f"__k_{c}") for c in part]
+    joined = within.join(offsets, cond, how="inner")
     return joined.select(
         *df.columns,
         *[(F.col(f"__in_{v}") + F.col(f"__off_{v}")).alias(f"{v}{suffix}") for v in values],

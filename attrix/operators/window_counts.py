@@ -6,7 +6,7 @@ incident of that customer, then filters and counts.  That emits all pairs
 inside a customer: a customer with a third of the orders and a third of the
 incidents makes the join quadratic in one task.  Instead:
 
-* counts with no date condition are per-customer aggregates joined many-to-one;
+* counts with no date condition are per-customer totals;
 * a windowed count is a difference of two prefix counts,
   ``#{created <= upper} - #{created < installed}``, read at *query points*.
   Incidents are pre-aggregated per (customer, timestamp); query points are
@@ -34,6 +34,14 @@ PRIORITIES = (1, 2, 3, 4, 5)
 WINDOW_DAYS = (0, 50, 100, 200)
 
 _BEFORE, _INCIDENT, _AT_OR_BEFORE = 0, 1, 2     # tie order at equal timestamps
+# Order atoms without an install date are placed at the earliest timestamp:
+# their windows then hold no incidents (null counts) while the no-window
+# totals stay right, and every join stays a plain equi-join.
+_NO_INSTALL_DATE = "0001-01-01 00:00:00"
+
+
+def _install_key(installed: str):
+    return F.coalesce(F.col(installed), F.lit(_NO_INSTALL_DATE).cast("timestamp_ntz"))
 
 
 def priority_count_column(priority: int, days: int) -> str:
@@ -50,32 +58,46 @@ def _count_names(priorities) -> list[str]:
     return ["_n_all"] + [f"_n_p{p}" for p in priorities]
 
 
-def incident_counts_at(incidents: DataFrame, points: DataFrame, priorities=PRIORITIES,
-                       customer: str = "incident_customer_finance_ref",
-                       created: str = "incident_created", priority: str = "incident_priority",
-                       grain: str = "day") -> DataFrame:
-    """Prefix counts of incidents at query points.
-
-    ``points`` has ``_cust``, ``_t`` and ``_tie`` (0: count ``created < _t``,
-    2: count ``created <= _t``).  Returns the distinct points with ``_n_all``
-    and ``_n_p{p}``: incidents of ``_cust`` (any / each priority) before the point.
-    ``incidents`` must hold one row per incident (cleaned).
+def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, priorities=PRIORITIES,
+                           customer: str = "incident_customer_finance_ref",
+                           created: str = "incident_created", priority: str = "incident_priority",
+                           grain: str = "day", group_totals: bool = False) -> DataFrame:
+    """Prefix counts of incidents at query rows.
+
+    ``query_rows`` has ``_cust``, ``_t``, ``_tie`` (0: count ``created < _t``,
+    2: count ``created <= _t``) and any columns to carry along.  Returns the
+    query rows with ``_n_all`` / ``_n_p{p}`` (incidents of ``_cust`` before the
+    point, any / each priority) and, with ``group_totals``, ``_n_*_total``
+    (all incidents of ``_cust``).  A null ``_t`` counts 0.  ``incidents`` must
+    hold one row per incident (cleaned).
     """
     names = _count_names(priorities)
+    carried = [c for c in query_rows.columns if c not in ("_cust", "_t", "_tie")]
+    types = {f.name: f.dataType for f in query_rows.schema.fields}
     incident_rows = (
         incidents.where(F.col(created).isNotNull())
         .groupBy(F.col(customer).alias("_cust"), F.col(created).alias("_t"))
         .agg(F.count(F.lit(1)).alias("_n_all"),
              *[F.count_if(F.col(priority) == p).alias(f"_n_p{p}") for p in priorities])
-        .withColumn("_tie", F.lit(_INCIDENT))
+        .select("_cust", "_t", F.lit(_INCIDENT).alias("_tie"),
+                *[F.lit(None).cast(types[c]).alias(c) for c in carried], *names)
     )
-    point_rows = (points.select("_cust", "_t", "_tie").where(F.col("_t").isNotNull()).distinct()
-                  .select("_cust", "_t", "_tie", *[F.lit(0).cast("bigint").alias(n) for n in names]))
+    point_rows = query_rows.select("_cust", "_t", "_tie", *carried,
+                                   *[F.lit(0).cast("bigint").alias(n) for n in names])
     rows = (incident_rows.unionByName(point_rows)
             .withColumn("_bucket", F.date_trunc(grain, F.col("_t"))))
-    summed = running_totals(rows, ["_cust"], "_bucket", ["_t", "_tie"], names, suffix="_cum")
+    summed = running_totals(rows, ["_cust"], "_bucket", ["_t", "_tie"], names, suffix="_cum",
+                            group_totals=group_totals)
     return summed.where(F.col("_tie") != _INCIDENT).select(
-        "_cust", "_t", "_tie", *[F.col(f"{n}_cum").alias(n) for n in names])
+        "_cust", "_t", "_tie", *carried, *[F.col(f"{n}_cum").alias(n) for n in names],
+        *[f"{n}_total" for n in names if group_totals])
+
+
+def incident_counts_at(incidents: DataFrame, points: DataFrame, priorities=PRIORITIES,
+                       **kw) -> DataFrame:
+    """Prefix counts at distinct points (``_cust``, ``_t``, ``_tie``)."""
+    return incident_prefix_counts(incidents, points.select("_cust", "_t", "_tie").distinct(),
+                                  priorities, **kw)
 
 
 def _nullif_zero(c):
@@ -94,28 +116,36 @@ def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, prioriti
                            windows=(50, 100, 200), customer: str = "customer_finance_ref",
                            installed: str = "orderatom_dateinstalled") -> DataFrame:
     """Per distinct (customer, installed): incidents with
-    ``installed <= created <= date_add(installed, n)`` for each priority and n.
+    ``installed <= created <= date_add(installed, n)`` for each priority and
+    n > 0, and (when 0 is among ``windows``) all incidents per priority.
 
+    Each distinct (customer, installed) becomes one query row per bound; the
+    rows carry their key through the prefix sum, so no join back is needed.
     Returns ``_cust``, ``_d`` and one column per (priority, window); zero
-    counts are returned as 0 (callers null them to mirror a left join).
+    counts are 0 here (callers null them to mirror a left join).
     """
-    windows = [n for n in windows if n > 0]
-    keys = (orderatoms.select(F.col(customer).alias("_cust"), F.col(installed).alias("_d"))
-            .where(F.col("_cust").isNotNull() & F.col("_d").isNotNull()).distinct())
+    positive = [n for n in windows if n > 0]
+    with_total = 0 in windows
+    keys = (orderatoms.select(F.col(customer).alias("_cust"), _install_key(installed).alias("_d"))
+            .where(F.col("_cust").isNotNull()).distinct())
     sides = [F.struct(F.lit(0).alias("_kind"), F.col("_d").alias("_t"), F.lit(_BEFORE).alias("_tie"))]
     sides += [F.struct(F.lit(n).alias("_kind"), window_upper_bound("_d", n).alias("_t"),
-                       F.lit(_AT_OR_BEFORE).alias("_tie")) for n in windows]
-    exploded = keys.select("_cust", "_d", F.explode(F.array(*sides)).alias("_s")).select(
+                       F.lit(_AT_OR_BEFORE).alias("_tie")) for n in positive]
+    query_rows = keys.select("_cust", "_d", F.explode(F.array(*sides)).alias("_s")).select(
         "_cust", "_d", "_s.*")
-    at_points = incident_counts_at(incidents, exploded, priorities)
-    joined = exploded.join(at_points, on=["_cust", "_t", "_tie"], how="left")
+    counted = incident_prefix_counts(incidents, query_rows, priorities, group_totals=with_total)
 
     def at(kind, p):
         return F.max(F.when(F.col("_kind") == kind, F.col(f"_n_p{p}")))
 
-    return joined.groupBy("_cust", "_d").agg(
-        *[(at(n, p) - at(0, p)).alias(priority_count_column(p, n))
-          for p in priorities for n in windows])
+    cols = []
+    for p in priorities:
+        for n in windows:
+            if n == 0:
+                cols.append(F.max(f"_n_p{p}_total").alias(priority_count_column(p, 0)))
+            else:
+                cols.append((at(n, p) - at(0, p)).alias(priority_count_column(p, n)))
+    return counted.groupBy("_cust", "_d").agg(*cols)
 
 
 def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=PRIORITIES,
@@ -126,21 +156,15 @@ def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=
     A zero count is null, as the per-column left joins of the original
     procedure leave it.
     """
-    out = orderatoms
-    names = []
-    if 0 in windows:
+    names = [priority_count_column(p, n) for p in priorities for n in windows]
+    if any(n > 0 for n in windows):
+        counts = priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed)
+        cond = (F.col(customer) == F.col("_cust")) & (_install_key(installed) == F.col("_d"))
+        out = orderatoms.join(counts, cond, "left_outer").drop("_cust", "_d")
+    else:
         totals = priority_totals_per_customer(incidents, priorities)
-        out = out.join(totals, out[customer] == totals["_cust"], "left_outer").drop("_cust")
-    windowed = [n for n in windows if n > 0]
-    if windowed:
-        counts = priority_window_counts(orderatoms, incidents, priorities, windowed, customer, installed)
-        out = out.join(counts, (out[customer] == counts["_cust"]) & (out[installed] == counts["_d"]),
-                       "left_outer").drop("_cust", "_d")
-    for p in priorities:
-        for n in windows:
-            names.append(priority_count_column(p, n))
-    return out.select(*[c for c in orderatoms.columns],
-                      *[_nullif_zero(F.col(n)).alias(n) for n in names])
+        out = orderatoms.join(totals, F.col(customer) == F.col("_cust"), "left_outer").drop("_cust")
+    return out.select(*orderatoms.columns, *[_nullif_zero(F.col(n)).alias(n) for n in names])
 
 
 def incident_partners(orderatoms: DataFrame, incidents: DataFrame,

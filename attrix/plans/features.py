@@ -9,8 +9,6 @@ an aggregate is small enough by Spark's size check, it is broadcast).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from attrix.operators.aggregates import (complaints_per_customer, crs_score_per_
 from attrix.operators.clean import clean_view
 from attrix.operators.joins import join_on_keys
 from attrix.operators.window_counts import WINDOW_DAYS, PRIORITIES, add_priority_counts
-from attrix.sources.fixtures import load_views
+from attrix.sources.fixtures import VIEW_COLUMNS, load_view
 
 # ---------------------------------------------------------------------------
 # Model features (in order), label and row key.
@@ -34,20 +32,35 @@ KEY_COLUMN = "orderatom_orderatomid"
 DEFAULT_ANALYSIS_DATE = "2002-01-01"   # fixed 'today' for reproducible tenure
 
 
-@dataclass
 class CleanSources:
-    incident: DataFrame
-    orderatom: DataFrame
-    ticket: DataFrame
-    assessment: DataFrame
+    """The four cleaned source frames, each built on first use.
+
+    ``loaders`` maps a view name to a function returning the raw view.
+    """
+
+    def __init__(self, loaders: dict):
+        self._loaders = loaders
+        self._frames: dict[str, DataFrame] = {}
+
+    def _get(self, view: str) -> DataFrame:
+        if view not in self._frames:
+            self._frames[view] = clean_view(self._loaders[view](), view)
+        return self._frames[view]
+
+    incident = property(lambda self: self._get("incident"))
+    orderatom = property(lambda self: self._get("orderatom"))
+    ticket = property(lambda self: self._get("ticket"))
+    assessment = property(lambda self: self._get("assessment"))
 
 
 def clean_sources(views: dict[str, DataFrame]) -> CleanSources:
-    return CleanSources(**{name: clean_view(df, name) for name, df in views.items()})
+    """Clean already-loaded views (real data: the four source DataFrames)."""
+    return CleanSources({name: (lambda df=df: df) for name, df in views.items()})
 
 
 def load_clean_sources(spark: SparkSession, sf_dir: str) -> CleanSources:
-    return clean_sources(load_views(spark, sf_dir))
+    return CleanSources({view: (lambda view=view: load_view(spark, sf_dir, view))
+                         for view in VIEW_COLUMNS})
 
 
 def label_orderatoms(orderatom: DataFrame, analysis_date=DEFAULT_ANALYSIS_DATE) -> DataFrame:

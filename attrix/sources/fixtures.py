@@ -107,9 +107,22 @@ _TABLES = {
 }
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; Catalyst prunes columns/pushes filters into this scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; Catalyst prunes columns/pushes filters into this scan.
+
+    The schema inferred on first read is reused for later reads of the same
+    path, which skips a footer-reading job per query.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def load_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
