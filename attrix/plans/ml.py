@@ -123,7 +123,7 @@ def auc_evaluator(label_col: str) -> BinaryClassificationEvaluator:
 
 
 def cross_validate(estimator, grid: dict, train: DataFrame, label_col: str,
-                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = MODEL_SEED):
+                   folds: int = NUM_FOLDS, parallelism: int = 8, seed: int = MODEL_SEED):
     """K-fold cross-validation by area under ROC, folds from ``FOLD_COLUMN``
     when present (deterministic), else seeded random folds.  Settings are
     fitted ``parallelism`` at a time; each fit is itself a distributed job."""
