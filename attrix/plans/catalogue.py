@@ -347,8 +347,8 @@ DATA_ORACLES: dict[str, str] = {
         "GROUP BY o.orderatom_orderatomid", "labeled", "incident_c"),
     "churn_features": osql.with_ctes("SELECT * FROM features", "features"),
     "class_balance": osql.with_ctes(
-        "SELECT count(*) AS total_rows, count_if(cancelled = 1) AS positive_rows, "
-        "count_if(cancelled = 0) AS negative_rows FROM features", "features"),
+        "SELECT count(*) AS total_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positive_rows, "
+        "CAST(count_if(cancelled = 0) AS BIGINT) AS negative_rows FROM features", "features"),
     "project_features": osql.with_ctes(
         "SELECT days_installed, orderatom_service_install_cost, orderatom_total_annual_recurr_cost, "
         "number_incidents, number_complaints, crs_score, cancelled FROM features", "features"),

@@ -21,11 +21,12 @@ from attrix.plans.scoring import margin_sql, score_logistic
 from attrix.session import ensure_checkpoint_dir
 from attrix.sources.models import load_model, save_model
 
-# Compact grids for the catalogue's tuning queries (values drawn from the
-# full grids in ``ml``; the library defaults are the full grids).
+# Grids of the catalogue's tuning queries: the full decision-tree grid, and
+# compact grids drawn from the full ones for the larger searches (the library
+# defaults, ``ml.MODELS``, are the full grids).
 CATALOGUE_GRIDS = {
     "logreg": {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0], "maxIter": [10]},
-    "dtree": {"maxDepth": [2, 5], "maxBins": [10, 20]},
+    "dtree": ml.DTREE_GRID,
     "rforest": {"maxDepth": [5], "maxBins": [10, 20], "numTrees": [20]},
     "gbt": {"maxDepth": [2, 5], "maxBins": [20], "maxIter": [10]},
 }
@@ -224,7 +225,7 @@ def _bucket_sql(seed: int, buckets: int = 1000) -> str:
 
 _CUT = int(round(ml.MODEL_TRAIN_RATIO * 1000))
 _SCORED = (f"SELECT *, round(1 / (1 + exp(-margin)), 6) AS probability, "
-           f"CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END AS prediction FROM "
+           f"CASE WHEN margin > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS prediction FROM "
            f"(SELECT *, round({margin_sql()}, 6) AS margin FROM features "
            f"WHERE {_bucket_sql(ml.MODEL_SEED)} >= {_CUT}) t")
 
@@ -233,10 +234,10 @@ def _on_scored(select: str) -> str:
     return osql.with_ctes(select, "features", local=[("scored", _SCORED)])
 
 
-_CONF = ("SELECT count_if(cancelled = 0 AND prediction = 0) AS tn, "
-         "count_if(cancelled = 0 AND prediction = 1) AS fp, "
-         "count_if(cancelled = 1 AND prediction = 0) AS fn, "
-         "count_if(cancelled = 1 AND prediction = 1) AS tp FROM scored")
+_CONF = ("SELECT CAST(count_if(cancelled = 0 AND prediction = 0) AS BIGINT) AS tn, "
+         "CAST(count_if(cancelled = 0 AND prediction = 1) AS BIGINT) AS fp, "
+         "CAST(count_if(cancelled = 1 AND prediction = 0) AS BIGINT) AS fn, "
+         "CAST(count_if(cancelled = 1 AND prediction = 1) AS BIGINT) AS tp FROM scored")
 
 
 def _ratio(n, d):

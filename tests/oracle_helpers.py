@@ -62,6 +62,22 @@ def value_hash(counter: Counter) -> str:
     return h.hexdigest()[:16]
 
 
+# Spark simpleString type -> DuckDB type name for the types the catalogue uses
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(sdf, rel) -> list:
+    spark_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for col, st in spark_types.items():
+        dt = duck_types.get(col)
+        if dt is not None and SPARK_TO_DUCK.get(st, st) != dt:
+            out.append((col, st, dt))
+    return out
+
+
 def compare(spark, con, name, query, sql, sf_dir):
     t0 = time.time()
     sdf = query(spark, sf_dir)
@@ -81,7 +97,9 @@ def compare(spark, con, name, query, sql, sf_dir):
         "spark_sec": round(t1 - t0, 2),
         "duck_sec": round(t2 - t1, 2),
     }
-    result["ok"] = result["columns_match"] and result["values_match"] and len(s_rows) == len(d_rows)
+    result["type_mismatches"] = type_mismatches(sdf, rel)
+    result["ok"] = (result["columns_match"] and result["values_match"] and len(s_rows) == len(d_rows)
+                    and not result["type_mismatches"])
     if not result["columns_match"]:
         result["columns"] = (sorted(s_cols), sorted(d_cols))
     elif not result["values_match"]:
