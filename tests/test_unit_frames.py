@@ -128,3 +128,18 @@ def test_hash_bucket_is_deterministic(spark):
     a = [r.b for r in df.select(hash_bucket("k", 7).alias("b")).collect()]
     b = [r.b for r in df.repartition(5).orderBy("k").select(hash_bucket("k", 7).alias("b")).collect()]
     assert a == b and all(0 <= x < 1000 for x in a)
+
+
+def test_jdbc_derived_table_and_bounds():
+    import pytest
+    from attrix.sources.jdbc import as_derived_table, read_jdbc_query
+    assert as_derived_table("select a from t", "x") == "(select a from t) as x"
+    assert as_derived_table("(select a from t) as x", "x") == "(select a from t) as x"
+    with pytest.raises(ValueError):
+        read_jdbc_query(None, "jdbc:none", "select 1", {}, partition_column="id", lower_bound=0)
+
+
+def test_model_path_is_name_then_utc_stamp():
+    from attrix.sources.models import model_path
+    when = dt.datetime(2025, 3, 4, 5, 6, 7, tzinfo=dt.timezone.utc)
+    assert model_path("s3a://bucket/models/", "lr", when) == "s3a://bucket/models/lr/2025-03-04-050607"
