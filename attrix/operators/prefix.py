@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrix.session import reliable_checkpoint
+
 
 def running_totals(df: DataFrame, keys, bucket: str, order, values,
                    suffix: str = "_cum", group_totals: bool = False) -> DataFrame:
@@ -59,3 +61,48 @@ def running_totals(df: DataFrame, keys, bucket: str, order, values,
         *[(F.col(f"__in_{v}") + F.col(f"__off_{v}")).alias(f"{v}{suffix}") for v in values],
         *[f"{v}_total" for v in values if group_totals],
     )
+
+
+def split_running_totals(df: DataFrame, keys, position: str, order, values,
+                         max_group_rows: int = 1_000_000, suffix: str = "_cum",
+                         group_totals: bool = False) -> DataFrame:
+    """:func:`running_totals` with buckets chosen from the data: only hot keys
+    are split.
+
+    A key with at most ``max_group_rows`` rows is one bucket -- one window
+    partition, bounded by ``max_group_rows``, and one row of the offsets table.
+    A key with more rows is cut into ``ceil(rows / max_group_rows)``
+    equal-width ranges of ``position`` (numeric, non-decreasing in ``order``)
+    between its 1st and 99th percentile, outliers going to the end ranges, so
+    its rows spread over many tasks.  The hot keys' ranges are broadcast: each
+    hot key holds more than ``max_group_rows`` rows, so that table has at most
+    ``total_rows / max_group_rows`` rows -- a bound given by the data.
+
+    ``df`` is read three times (key counts, window, bucket totals), so it is
+    checkpointed once to the reliable checkpoint folder first; this runs a job.
+    """
+    keys = list(keys)
+    df = reliable_checkpoint(df)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+             .where(F.col("__n") > max_group_rows)
+             .select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n"))
+    if hot.isEmpty():                       # the usual case: no key needs splitting
+        with_bucket = df.withColumn("__bucket", F.lit(0).cast("bigint"))
+    else:
+        cond = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
+        hkeys = [f"__h_{k}" for k in keys]
+        parts = F.ceil(F.col("__n") / F.lit(max_group_rows))
+        ranges = (df.join(F.broadcast(hot), cond, "inner").groupBy(*hkeys, "__n")
+                    .agg(F.percentile_approx(position, [0.01, 0.99]).alias("__q"))
+                    .select(*hkeys, F.col("__q")[0].alias("__lo"),
+                            ((F.col("__q")[1] - F.col("__q")[0]) / parts).alias("__width"),
+                            (parts - 1).alias("__last")))
+        raw = F.floor((F.col(position) - F.col("__lo")) / F.col("__width"))
+        bucket = F.when(F.col("__width") > 0,
+                        F.greatest(F.lit(0), F.least(raw, F.col("__last")))).otherwise(F.lit(0))
+        with_bucket = (df.join(F.broadcast(ranges), cond, "left_outer")
+                         .select(*[df[c] for c in df.columns],
+                                 F.coalesce(bucket, F.lit(0)).cast("bigint").alias("__bucket")))
+    out = running_totals(with_bucket, keys, "__bucket", order, values, suffix=suffix,
+                         group_totals=group_totals)
+    return out.drop("__bucket")

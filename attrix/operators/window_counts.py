@@ -11,8 +11,9 @@ incidents makes the join quadratic in one task.  Instead:
   ``#{created <= upper} - #{created < installed}``, read at *query points*.
   Incidents are pre-aggregated per (customer, timestamp); query points are
   deduplicated (customer, timestamp, side); both are merged in one ordered
-  stream and summed with :func:`running_totals`, bucketed by day so a hot
-  customer is split across many tasks.
+  stream and summed with :func:`split_running_totals`: a customer is one
+  window partition unless it has more than ``MAX_GROUP_ROWS`` rows, in which
+  case it is cut into time ranges spread over many tasks.
 
 Results equal the pairwise definition (``count(DISTINCT incident_number)`` on
 deduplicated incidents, null when no incident matches).
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrix.functions.expressions import window_upper_bound
-from attrix.operators.prefix import running_totals
+from attrix.operators.prefix import split_running_totals
 
 # ---------------------------------------------------------------------------
 # Priorities and day windows of the incident count columns
@@ -58,10 +59,14 @@ def _count_names(priorities) -> list[str]:
     return ["_n_all"] + [f"_n_p{p}" for p in priorities]
 
 
+MAX_GROUP_ROWS = 1_000_000     # rows one window task takes before a customer is split
+
+
 def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, priorities=PRIORITIES,
                            customer: str = "incident_customer_finance_ref",
                            created: str = "incident_created", priority: str = "incident_priority",
-                           grain: str = "day", group_totals: bool = False) -> DataFrame:
+                           group_totals: bool = False, include_all: bool = True,
+                           max_group_rows: int | None = None) -> DataFrame:
     """Prefix counts of incidents at query rows.
 
     ``query_rows`` has ``_cust``, ``_t``, ``_tie`` (0: count ``created < _t``,
@@ -69,15 +74,17 @@ def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, prioriti
     query rows with ``_n_all`` / ``_n_p{p}`` (incidents of ``_cust`` before the
     point, any / each priority) and, with ``group_totals``, ``_n_*_total``
     (all incidents of ``_cust``).  A null ``_t`` counts 0.  ``incidents`` must
-    hold one row per incident (cleaned).
+    hold one row per incident (cleaned).  Customers with more than
+    ``max_group_rows`` merged rows are split into time ranges
+    (:func:`split_running_totals`).
     """
-    names = _count_names(priorities)
+    names = _count_names(priorities) if include_all else [f"_n_p{p}" for p in priorities]
     carried = [c for c in query_rows.columns if c not in ("_cust", "_t", "_tie")]
     types = {f.name: f.dataType for f in query_rows.schema.fields}
     incident_rows = (
         incidents.where(F.col(created).isNotNull())
         .groupBy(F.col(customer).alias("_cust"), F.col(created).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_n_all"),
+        .agg(*([F.count(F.lit(1)).alias("_n_all")] if include_all else []),
              *[F.count_if(F.col(priority) == p).alias(f"_n_p{p}") for p in priorities])
         .select("_cust", "_t", F.lit(_INCIDENT).alias("_tie"),
                 *[F.lit(None).cast(types[c]).alias(c) for c in carried], *names)
@@ -85,9 +92,10 @@ def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, prioriti
     point_rows = query_rows.select("_cust", "_t", "_tie", *carried,
                                    *[F.lit(0).cast("bigint").alias(n) for n in names])
     rows = (incident_rows.unionByName(point_rows)
-            .withColumn("_bucket", F.date_trunc(grain, F.col("_t"))))
-    summed = running_totals(rows, ["_cust"], "_bucket", ["_t", "_tie"], names, suffix="_cum",
-                            group_totals=group_totals)
+            .withColumn("_pos", F.unix_micros(F.col("_t").cast("timestamp"))))
+    summed = split_running_totals(rows, ["_cust"], "_pos", ["_t", "_tie"], names, suffix="_cum",
+                                  group_totals=group_totals,
+                                  max_group_rows=max_group_rows or MAX_GROUP_ROWS)
     return summed.where(F.col("_tie") != _INCIDENT).select(
         "_cust", "_t", "_tie", *carried, *[F.col(f"{n}_cum").alias(n) for n in names],
         *[f"{n}_total" for n in names if group_totals])
@@ -114,7 +122,8 @@ def priority_totals_per_customer(incidents: DataFrame, priorities=PRIORITIES,
 
 def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=PRIORITIES,
                            windows=(50, 100, 200), customer: str = "customer_finance_ref",
-                           installed: str = "orderatom_dateinstalled") -> DataFrame:
+                           installed: str = "orderatom_dateinstalled",
+                           max_group_rows: int | None = None) -> DataFrame:
     """Per distinct (customer, installed): incidents with
     ``installed <= created <= date_add(installed, n)`` for each priority and
     n > 0, and (when 0 is among ``windows``) all incidents per priority.
@@ -133,7 +142,8 @@ def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, prioriti
                        F.lit(_AT_OR_BEFORE).alias("_tie")) for n in positive]
     query_rows = keys.select("_cust", "_d", F.explode(F.array(*sides)).alias("_s")).select(
         "_cust", "_d", "_s.*")
-    counted = incident_prefix_counts(incidents, query_rows, priorities, group_totals=with_total)
+    counted = incident_prefix_counts(incidents, query_rows, priorities, group_totals=with_total,
+                                     include_all=False, max_group_rows=max_group_rows)
 
     def at(kind, p):
         return F.max(F.when(F.col("_kind") == kind, F.col(f"_n_p{p}")))
@@ -150,7 +160,8 @@ def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, prioriti
 
 def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=PRIORITIES,
                         windows=WINDOW_DAYS, customer: str = "customer_finance_ref",
-                        installed: str = "orderatom_dateinstalled") -> DataFrame:
+                        installed: str = "orderatom_dateinstalled",
+                        max_group_rows: int | None = None) -> DataFrame:
     """Add the priority x window count columns to the order atoms.
 
     A zero count is null, as the per-column left joins of the original
@@ -158,7 +169,8 @@ def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=
     """
     names = [priority_count_column(p, n) for p in priorities for n in windows]
     if any(n > 0 for n in windows):
-        counts = priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed)
+        counts = priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed,
+                                        max_group_rows)
         cond = (F.col(customer) == F.col("_cust")) & (_install_key(installed) == F.col("_d"))
         out = orderatoms.join(counts, cond, "left_outer").drop("_cust", "_d")
     else:

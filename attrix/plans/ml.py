@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import reliable_checkpoint
 
 # ---------------------------------------------------------------------------
 # Split ratios/seeds and the tuning grids of the four models.
@@ -79,8 +79,7 @@ def with_folds(df: DataFrame, key: str, folds: int = NUM_FOLDS, seed: int = MODE
 
 def stable_training_frame(df: DataFrame) -> DataFrame:
     """Cut lineage (reliable checkpoint) and keep the rows close for iterative fits."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return reliable_checkpoint(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # -------------------------------------------------------------------- models

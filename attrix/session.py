@@ -59,3 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return path
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+
+
+def reliable_checkpoint(df):
+    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+
+    An eager checkpoint computes the plan once to count it and again to write
+    the files; persisting around it makes that a single computation.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

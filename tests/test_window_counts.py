@@ -70,18 +70,36 @@ def test_priority_counts_match_brute_force_on_hot_customer(spark):
     assert got_rows == _brute(orders, incidents, (1, 2, 3, 4, 5), windows)
 
 
-def test_counts_do_not_depend_on_bucket_grain(spark):
+def test_hot_customer_split_matches_brute_force(spark):
+    """With a tiny per-task bound the hot customer is cut into many time
+    ranges (outliers included); results must not change."""
     orders, incidents = _fixture(seed=11, n_orders=120, n_incidents=900)
+    orders.append((10_000, 1, None, None))              # no install date: sentinel far in the past
     oa, inc = _frames(spark, orders, incidents)
-    from attrix.operators import window_counts as wc
-    a = wc.priority_window_counts(oa, inc, windows=(50,)).orderBy("_cust", "_d").collect()
-    original = wc.incident_counts_at
-    try:
-        wc.incident_counts_at = lambda *args, **kw: original(*args, **{**kw, "grain": "month"})
-        b = wc.priority_window_counts(oa, inc, windows=(50,)).orderBy("_cust", "_d").collect()
-    finally:
-        wc.incident_counts_at = original
-    assert a == b
+    windows = (0, 50, 100)
+    names = priority_count_columns(windows=windows)
+    expect = _brute([o for o in orders if o[2] is not None], incidents, (1, 2, 3, 4, 5), windows)
+    for bound in (25, 400, 10_000_000):
+        got = add_priority_counts(oa, inc, windows=windows, max_group_rows=bound)
+        rows = {r.orderatom_orderatomid: {n: r[n] for n in names} for r in got.collect()}
+        no_date = rows.pop(10_000)
+        assert rows == expect, bound
+        assert all(no_date[n] is None for n in names if not n.endswith("_incidents"))
+        totals = {p: sum(1 for _, c, _, ip in incidents if c == 1 and ip == p) or None for p in range(1, 6)}
+        assert {p: no_date[f"number_p{p}_incidents"] for p in range(1, 6)} == totals
+
+
+def test_split_running_totals_matches_single_partition(spark):
+    from attrix.operators.prefix import split_running_totals
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randint(-5, 500), i, rnd.randint(0, 4)) for i in range(800)]
+    df = spark.createDataFrame(rows, "k long, pos long, id long, v long")
+    out = split_running_totals(df, ["k"], "pos", ["pos", "id"], ["v"], max_group_rows=30,
+                               group_totals=True)
+    got = {r.id: (r.v_cum, r.v_total) for r in out.collect()}
+    for k, pos, i, _ in rows:
+        same = [(p, j, v) for kk, p, j, v in rows if kk == k]
+        assert got[i] == (sum(v for p, j, v in same if (p, j) <= (pos, i)), sum(v for *_, v in same))
 
 
 def test_partners_and_before_cancel_match_brute_force(spark):
