@@ -34,6 +34,7 @@ GBT_GRID = {"maxDepth": [2, 5, 10], "maxBins": [10, 20, 40], "maxIter": [5, 10,
 
 FEATURES_VECTOR = "feature_columns_vector"
 FOLD_COLUMN = "fold"
+ROWS_PER_PARTITION = 1_000_000   # training rows per partition (~tens of MB of vectors)
 
 
 def assemble_features(df: DataFrame, input_cols, output_col: str = "features_vector",
@@ -77,9 +78,33 @@ def with_folds(df: DataFrame, key: str, folds: int = NUM_FOLDS, seed: int = MODE
     return df.withColumn(FOLD_COLUMN, hash_bucket(key, seed, folds).cast("int"))
 
 
+def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition.
+
+    Every optimiser iteration is a job with one task per partition, so a
+    small frame spread over many partitions pays task overhead for nothing;
+    a large frame keeps one partition per ``rows_per_partition`` rows.
+    """
+    current = df.rdd.getNumPartitions()
+    wanted = max(1, -(-df.count() // rows_per_partition))
+    return df.coalesce(wanted) if wanted < current else df
+
+
 def stable_training_frame(df: DataFrame) -> DataFrame:
-    """Cut lineage (reliable checkpoint) and keep the rows close for iterative fits."""
-    return reliable_checkpoint(df).persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut lineage (reliable checkpoint), size partitions by rows and keep the
+    rows close for iterative fits."""
+    return size_partitions(reliable_checkpoint(df)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def model_frames(frame: DataFrame, key: str, train_ratio: float = MODEL_TRAIN_RATIO,
+                 seed: int = MODEL_SEED) -> tuple[DataFrame, DataFrame]:
+    """(train, test) from one reliable checkpoint of ``frame`` with fold ids:
+    the feature lineage runs once for fitting and evaluation alike; the
+    training rows are also persisted for the iterative fits."""
+    stable = reliable_checkpoint(with_folds(frame, key))
+    stable = size_partitions(stable)
+    train, test = split_train_test(stable, key, train_ratio, seed)
+    return train.persist(StorageLevel.MEMORY_AND_DISK), test
 
 
 # -------------------------------------------------------------------- models

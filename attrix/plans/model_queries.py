@@ -8,6 +8,8 @@ the tests.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
@@ -92,9 +94,7 @@ def q_roc_curve(spark, sf):
 # ----------------------------------------------------------- model queries
 def _model_frames(spark, sf, seed=ml.MODEL_SEED, ratio=ml.MODEL_TRAIN_RATIO, features=FEATURE_COLUMNS):
     frame = ml.assemble_features(churn_features(spark, sf), features, ml.FEATURES_VECTOR)
-    train, test = ml.split_train_test(frame, KEY_COLUMN, ratio, seed)
-    train = ml.stable_training_frame(ml.with_folds(train, KEY_COLUMN))
-    return train, test
+    return ml.model_frames(frame, KEY_COLUMN, ratio, seed)
 
 
 def _test_metrics_row(spark, model_name, cv_model, test) -> DataFrame:
@@ -151,13 +151,18 @@ def q_logreg_coefficients(spark, sf):
 
 
 def q_univariate_report(spark, sf):
-    """One default logistic fit per feature on a 70/30 split."""
+    """One default logistic fit per feature on a 70/30 split.
+
+    The per-feature fits are independent, so they are submitted together from
+    a driver thread pool (as ``CrossValidator(parallelism=...)`` does); each
+    fit is itself a distributed job.
+    """
     frame = ml.stable_training_frame(churn_features(spark, sf))
     train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO,
                                               ml.UNIVARIATE_SEED)
-    rows = []
     auc_eval = ml.auc_evaluator(LABEL_COLUMN)
-    for feature in FEATURE_COLUMNS:
+
+    def one(feature):
         vec = f"{feature}_vector"
         train = ml.assemble_features(train_all.select(feature, LABEL_COLUMN), [feature], vec, True)
         test = ml.assemble_features(test_all.select(feature, LABEL_COLUMN), [feature], vec, True)
@@ -165,8 +170,11 @@ def q_univariate_report(spark, sf):
         pred = model.transform(test)
         # AUC as the evaluator computes it; the four multiclass metrics in one aggregate
         w = ev.weighted_metrics(pred).first()
-        rows.append((feature, float(auc_eval.evaluate(pred)), w.accuracy, w.weighted_precision,
-                     w.weighted_recall, w.weighted_f1))
+        return (feature, float(auc_eval.evaluate(pred)), w.accuracy, w.weighted_precision,
+                w.weighted_recall, w.weighted_f1)
+
+    with ThreadPoolExecutor(max_workers=len(FEATURE_COLUMNS)) as pool:
+        rows = list(pool.map(one, FEATURE_COLUMNS))
     frame.unpersist()
     return spark.createDataFrame(rows, "feature string, auc double, accuracy double, "
                                        "weighted_precision double, weighted_recall double, "
