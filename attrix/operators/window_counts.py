@@ -41,6 +41,20 @@ _BEFORE, _INCIDENT, _AT_OR_BEFORE = 0, 1, 2     # tie order at equal timestamps
 _NO_INSTALL_DATE = "0001-01-01 00:00:00"
 
 
+def epoch_micros(ts: str):
+    """Microseconds since 1970-01-01 of a timestamp_ntz, from its fields alone.
+
+    Casting to timestamp or ``timestamp_diff`` go through the session time
+    zone and are not monotone across a DST gap; date and clock fields of a
+    timestamp without time zone are.
+    """
+    t = F.col(ts)
+    seconds = F.date_part(F.lit("SECOND"), t)          # seconds with microseconds
+    return (F.unix_date(F.to_date(t)).cast("bigint") * F.lit(86_400_000_000)
+            + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * F.lit(1_000_000)
+            + (seconds * 1_000_000).cast("bigint"))
+
+
 def _install_key(installed: str):
     return F.coalesce(F.col(installed), F.lit(_NO_INSTALL_DATE).cast("timestamp_ntz"))
 
@@ -91,8 +105,7 @@ def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, prioriti
     )
     point_rows = query_rows.select("_cust", "_t", "_tie", *carried,
                                    *[F.lit(0).cast("bigint").alias(n) for n in names])
-    rows = (incident_rows.unionByName(point_rows)
-            .withColumn("_pos", F.unix_micros(F.col("_t").cast("timestamp"))))
+    rows = incident_rows.unionByName(point_rows).withColumn("_pos", epoch_micros("_t"))
     summed = split_running_totals(rows, ["_cust"], "_pos", ["_t", "_tie"], names, suffix="_cum",
                                   group_totals=group_totals,
                                   max_group_rows=max_group_rows or MAX_GROUP_ROWS)

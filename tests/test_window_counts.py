@@ -126,3 +126,17 @@ def test_running_totals_global_order(spark):
     for i, s, _ in rows:
         expect = sum(v for j, t, v in rows if (t, j) <= (s, i))
         assert got[i] == (expect, total)
+
+
+def test_split_position_is_monotone_in_any_session_time_zone(spark):
+    from attrix.operators.window_counts import epoch_micros
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")   # DST gap and overlap
+        df = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-03-10 03:10:00",),
+                                    ("2024-11-03 01:30:00",), ("2024-11-03 01:45:00",)], "s string")
+        df = df.select("s", F.to_timestamp_ntz("s").alias("t"))
+        got = [r.p for r in df.select("s", epoch_micros("t").alias("p")).orderBy("s").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == sorted(got) and len(set(got)) == 4
