@@ -39,6 +39,8 @@ _BEFORE, _INCIDENT, _AT_OR_BEFORE = 0, 1, 2     # tie order at equal timestamps
 # their windows then hold no incidents (null counts) while the no-window
 # totals stay right, and every join stays a plain equi-join.
 _NO_INSTALL_DATE = "0001-01-01 00:00:00"
+# Join key of order atoms without a cancel date (never compared with incidents).
+_NO_CANCEL_DATE = "9999-12-31 00:00:00"
 
 
 def epoch_micros(ts: str):
@@ -213,18 +215,23 @@ def incidents_before_cancel(orderatoms: DataFrame, incidents: DataFrame,
                             customer: str = "customer_finance_ref",
                             cancel_date: str = "orderatom_canceldate") -> DataFrame:
     """Incidents of the customer not created after the order's cancellation
-    (all of them when the order has no cancel date)."""
-    cancelled = (orderatoms.select(F.col(customer).alias("_cust"), F.col(cancel_date).alias("_t"))
-                 .where(F.col("_cust").isNotNull() & F.col("_t").isNotNull())
-                 .withColumn("_tie", F.lit(_AT_OR_BEFORE)))
-    at_cancel = incident_counts_at(incidents, cancelled, priorities=())
-    totals = incidents.groupBy(F.col("incident_customer_finance_ref").alias("_cust")).agg(
-        F.count(F.lit(1)).alias("_n_total"))
-    oa = orderatoms.select("orderatom_orderatomid", F.col(customer).alias("_cust"),
-                           F.col(cancel_date).alias("_t"))
-    joined = (oa.join(totals, "_cust", "left_outer")
-                .join(at_cancel.select("_cust", "_t", "_n_all"), ["_cust", "_t"], "left_outer"))
-    return joined.select(
-        "orderatom_orderatomid",
-        F.coalesce(F.when(F.col("_t").isNull(), F.col("_n_total")).otherwise(F.col("_n_all")),
-                   F.lit(0)).cast("bigint").alias("incidents_before_cancel"))
+    (all of them when the order has no cancel date).
+
+    One prefix pass over distinct (customer, cancel date) query rows; the
+    all-incidents total for orders without a cancel date comes from the
+    per-customer totals of the same pass.
+    """
+    no_date = F.lit(_NO_CANCEL_DATE).cast("timestamp_ntz")
+    query_rows = (orderatoms.select(F.col(customer).alias("_cust"), F.col(cancel_date).alias("_t"))
+                  .where(F.col("_cust").isNotNull()).distinct()
+                  .select("_cust", "_t", F.lit(_AT_OR_BEFORE).alias("_tie"),
+                          F.coalesce(F.col("_t"), no_date).alias("_c")))
+    counted = incident_prefix_counts(incidents, query_rows, priorities=(), group_totals=True)
+    per_key = counted.select(
+        "_cust", "_c",
+        F.when(F.col("_t").isNull(), F.col("_n_all_total")).otherwise(F.col("_n_all")).alias("_n"))
+    cond = ((F.col(customer) == F.col("_cust"))
+            & (F.coalesce(F.col(cancel_date), no_date) == F.col("_c")))
+    joined = orderatoms.join(per_key, cond, "left_outer")
+    return joined.select("orderatom_orderatomid",
+                         F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("incidents_before_cancel"))
