@@ -2,8 +2,9 @@
 
 A running sum over ``Window.partitionBy(key).orderBy(t)`` sends every row of
 a key to one task, so a key holding a third of the data serialises a third of
-the job.  Here the ordered rows of a key are cut into buckets (for example by
-day, or at score quantiles):
+the job.  Here the ordered rows of a key are cut into buckets (time ranges of
+the hot keys only in :func:`split_running_totals`, or score quantiles for
+ROC/AUC):
 
 1. running sums *within* each (key, bucket) -- a window over one bucket;
 2. bucket totals -- a grouped aggregate with a map-side partial step;

@@ -6,14 +6,16 @@ incident of that customer, then filters and counts.  That emits all pairs
 inside a customer: a customer with a third of the orders and a third of the
 incidents makes the join quadratic in one task.  Instead:
 
-* counts with no date condition are per-customer totals;
 * a windowed count is a difference of two prefix counts,
-  ``#{created <= upper} - #{created < installed}``, read at *query points*.
-  Incidents are pre-aggregated per (customer, timestamp); query points are
-  deduplicated (customer, timestamp, side); both are merged in one ordered
-  stream and summed with :func:`split_running_totals`: a customer is one
-  window partition unless it has more than ``MAX_GROUP_ROWS`` rows, in which
-  case it is cut into time ranges spread over many tasks.
+  ``#{created <= upper} - #{created < installed}``, read at *query rows*.
+  Incidents are pre-aggregated per (customer, timestamp); each distinct
+  (customer, install date) gives one query row per bound, carrying its key;
+  both are merged in one ordered stream and summed with
+  :func:`split_running_totals`: a customer is one window partition unless it
+  has more than ``MAX_GROUP_ROWS`` rows, in which case it is cut into time
+  ranges spread over many tasks;
+* counts with no date condition are the per-customer totals of the same pass,
+  carried on its small offsets table.
 
 Results equal the pairwise definition (``count(DISTINCT incident_number)`` on
 deduplicated incidents, null when no incident matches).
