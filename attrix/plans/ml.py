@@ -79,14 +79,18 @@ def with_folds(df: DataFrame, key: str, folds: int = NUM_FOLDS, seed: int = MODE
 
 
 def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition.
+    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition,
+    but to no fewer than half the default parallelism.
 
     Every optimiser iteration is a job with one task per partition, so a
-    small frame spread over many partitions pays task overhead for nothing;
-    a large frame keeps one partition per ``rows_per_partition`` rows.
+    small frame spread over many partitions pays task overhead for nothing,
+    while one partition makes each fit single-threaded; half the cores per
+    fit leaves the rest to the fits cross-validation runs in parallel.  A
+    large frame keeps one partition per ``rows_per_partition`` rows.
     """
     current = df.rdd.getNumPartitions()
-    wanted = max(1, -(-df.count() // rows_per_partition))
+    floor = max(1, df.sparkSession.sparkContext.defaultParallelism // 2)
+    wanted = max(-(-df.count() // rows_per_partition), min(current, floor))
     return df.coalesce(wanted) if wanted < current else df
 
 
