@@ -20,7 +20,7 @@ from attrix.plans import ml
 from attrix.plans import oracle_sql as osql
 from attrix.plans.features import FEATURE_COLUMNS, KEY_COLUMN, LABEL_COLUMN, churn_features
 from attrix.plans.scoring import margin_sql, score_logistic
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import ensure_checkpoint_dir, reliable_checkpoint
 from attrix.sources.models import load_model, save_model
 
 # Grids of the catalogue's tuning queries: the full decision-tree grid, and
@@ -51,7 +51,9 @@ def q_assemble_features(spark, sf):
 
 
 def q_scale_features(spark, sf):
-    vec = ml.assemble_features(churn_features(spark, sf), FEATURE_COLUMNS, "features_vector")
+    # read twice (scaler fit, then transform): materialise the features once
+    vec = reliable_checkpoint(ml.assemble_features(churn_features(spark, sf), FEATURE_COLUMNS,
+                                                   "features_vector"))
     scaled = ml.scale_features(vec, "features_vector")
     arr = vector_to_array("features_vector_scaled")
     return scaled.select(KEY_COLUMN, *[F.round(arr[i], 6).alias(f"scaled_{c}")
