@@ -94,9 +94,17 @@ def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION)
     return df.coalesce(wanted) if wanted < current else df
 
 
-def stable_training_frame(df: DataFrame) -> DataFrame:
+def stable_training_frame(df: DataFrame, key: str | None = None) -> DataFrame:
     """Cut lineage (reliable checkpoint), size partitions by rows and keep the
-    rows close for iterative fits."""
+    rows close for iterative fits.
+
+    Rows reach a partition in shuffle-fetch order, and seeded samplers (forest
+    bootstraps, GBT subsampling) draw per row position; sorting within
+    partitions by ``key`` (a local sort, no shuffle) makes a fixed seed give
+    the same model on every run.
+    """
+    if key is not None:
+        df = df.sortWithinPartitions(key)
     return size_partitions(reliable_checkpoint(df)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -104,8 +112,10 @@ def model_frames(frame: DataFrame, key: str, train_ratio: float = MODEL_TRAIN_RA
                  seed: int = MODEL_SEED) -> tuple[DataFrame, DataFrame]:
     """(train, test) from one reliable checkpoint of ``frame`` with fold ids:
     the feature lineage runs once for fitting and evaluation alike; the
-    training rows are also persisted for the iterative fits."""
-    stable = reliable_checkpoint(with_folds(frame, key))
+    training rows are also persisted for the iterative fits.  Rows are sorted
+    within partitions by ``key`` so seeded fits repeat exactly
+    (see :func:`stable_training_frame`)."""
+    stable = reliable_checkpoint(with_folds(frame, key).sortWithinPartitions(key))
     stable = size_partitions(stable)
     train, test = split_train_test(stable, key, train_ratio, seed)
     return train.persist(StorageLevel.MEMORY_AND_DISK), test

@@ -159,7 +159,7 @@ def q_univariate_report(spark, sf):
     a driver thread pool (as ``CrossValidator(parallelism=...)`` does); each
     fit is itself a distributed job.
     """
-    frame = ml.stable_training_frame(churn_features(spark, sf))
+    frame = ml.stable_training_frame(churn_features(spark, sf), KEY_COLUMN)
     train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO,
                                               ml.UNIVARIATE_SEED)
     auc_eval = ml.auc_evaluator(LABEL_COLUMN)
