@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,13 @@ def score_frame(model, rows: DataFrame, feature_columns=FEATURE_COLUMNS,
 
 def start_scoring(spark: SparkSession, model_path: str, source_path: str, schema, sink_path: str,
                   name: str = "scoring", checkpoint_location: str | None = None,
-                  available_now: bool = True):
-    """Stream parquet feature rows from ``source_path`` to scored parquet rows."""
+                  available_now: bool = True, model_class=CrossValidatorModel):
+    """Stream parquet feature rows from ``source_path`` to scored parquet rows
+    with the model saved at ``model_path`` (reloaded as ``model_class``)."""
     if checkpoint_location is None:
         checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     stream = spark.readStream.schema(schema).parquet(source_path)
-    scored = score_frame(load_model(model_path), stream).withColumn("scored_at", F.current_timestamp())
+    scored = score_frame(load_model(model_path, model_class), stream).withColumn("scored_at", F.current_timestamp())
     writer = (scored.writeStream.format("parquet").option("path", sink_path)
               .option("checkpointLocation", checkpoint_location).queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

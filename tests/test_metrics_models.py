@@ -161,3 +161,20 @@ def test_seeded_forest_repeats_across_shuffle_orders(spark):
         preds.append(sorted((r[KEY_COLUMN], r.prediction) for r in model.transform(test).collect()))
         train.unpersist()
     assert preds[0] == preds[1]
+
+
+def test_start_scoring_streams_files_to_parquet(spark, fitted):
+    from attrix.sources.models import save_model
+    from attrix.streaming import start_scoring
+    model, _, _ = fitted
+    work = tempfile.mkdtemp(prefix="attrix-scoring-")
+    path = save_model(model, work + "/models", "lr")
+    rows = churn_features(spark, SF)
+    rows.write.parquet(work + "/in")
+    from pyspark.ml.classification import LogisticRegressionModel
+    q = start_scoring(spark, path, work + "/in", rows.schema, work + "/out", name="score_test",
+                      checkpoint_location=work + "/ckpt", model_class=LogisticRegressionModel)
+    q.awaitTermination(300)
+    out = spark.read.parquet(work + "/out")
+    assert out.count() == rows.count()
+    assert set(out.columns) >= {KEY_COLUMN, "prediction", "probability", "scored_at"}
