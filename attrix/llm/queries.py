@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import exact_dedup, line_spread, mixing, quality_rules, sharding, url_reputation
+from attrix.llm import (exact_dedup, line_spread, mixing, ngram_join, packing, quality_rules, sharding,
+                        substring_dedup, toxicity, url_reputation)
 from attrix.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 # The rules of the query's contract.
 URL_RULES = (
     url_reputation.UrlRule("allow", "com", "/"),
@@ -31,6 +39,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trimmed = substring_dedup.drop_repeats(load(spark, sf_dir, "documents"))
+    return trimmed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_spread.drop_spread_lines(load(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -42,23 +55,44 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "source", "copies")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 24)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(load(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "kept", F.array_join("failed", ",").alias("failed"))
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label table as the chain's two categories, in order."""
+    return load(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(load(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_line_spread": op4_line_spread,
     "op5_mixture": op5_mixture,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
