@@ -1,133 +1,273 @@
 """Toxicity by a classifier chain over labelled categories.
 
-Linear models predict the categories one after another; each sees hashed words
-and word beginnings and the probabilities of the categories before it.  While
-training, those earlier probabilities are predicted out of fold, so a later
-model learns from probabilities as good as it will meet on new text.
+Linear models predict the categories one after another.  Each sees a
+document's distinct words and their beginnings, hashed, and the
+probabilities of the categories before it.  While training, those earlier
+probabilities are predicted out of fold, so a later model learns from
+probabilities as good as it will meet on new text.
 
 Training uses all labelled rows up to about ``max_training_rows`` (a bounded
-sample by a hash of the id, the documented bound of this operator); scoring
-covers every row and whole text, on the JVM, without a shuffle.  The sample's
-ids and labels are broadcast: their number is bounded by the same parameter.
-
-Edge cases: null and empty texts have no features and get the models' base
-rate; a document with several label rows trains on each; null labels are
-skipped; a category without both labels in the sample gets its one label's
-value, or 0 without any; an empty table gives an empty result; other columns
-are not read.
+sample by a hash of the id: the documented bound of this operator), so a fold
+fits one task; the folds of a category train side by side.  Scoring covers every row and whole
+text without a shuffle: a linear model over distinct words is a sum of word
+scores, which a bounded cache keeps in each Python worker.  The broadcast
+models have a fixed size (1 MB a category), the sample's ids and labels one bounded by the same parameter.
+
+Edge cases: null and empty texts have no words and get the models' base
+probability; a document with several label rows trains on each; null labels
+are skipped; a category without both labels in a training set gets its one label's
+value as probability, or 0 without any; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
 
 MAX_TRAINING_ROWS = 20_000
-FOLDS = 3
+FOLDS = 4
 FEATURES = 1 << 18
+MIN_ROWS = 4
 STEMS = (4, 6)
-Link = LogisticRegressionModel | float
+CACHED_WORDS = 300_000
+SEED = 5
+
+_WORD = re.compile(r"\w+")
 
 
-def terms(text: Column) -> Column:
-    """Distinct lower-case words of a text, and the beginnings of them."""
-    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+")
-    return F.get(F.transform(F.array(F.array_distinct(split)), _with_stems), 0)  # binds the words once
+def word_features(word: str) -> list[int]:
+    """Hashed features of a word: itself and its beginnings."""
+    return [xxh3_64_intdigest(s) % FEATURES for s in (word, *[f"{n}^{word[:n]}" for n in STEMS])]
 
 
-def _with_stems(found: Column) -> Column:
-    stems = [F.array_distinct(F.transform(found, lambda w, n=n: F.concat(F.lit(f"{n}^"), F.substring(w, 1, n))))
-             for n in STEMS]
-    return F.concat(found, *stems)
+def distinct_words(text: str | None) -> set[str]:
+    return set(_WORD.findall(text.lower())) if text else set()
 
 
-def _with_features(df: DataFrame, text_col: str) -> DataFrame:
-    others = [F.col(c) for c in df.columns if c != text_col]
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__terms", outputCol="__words")
-    return hashing.transform(df.select(*others, terms(F.col(text_col)).alias("__terms"))).drop("__terms")
+# ----------------------------------------------------------------- training
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _inputs(df: DataFrame, earlier: Sequence[str]) -> DataFrame:
-    columns = ["__words", *[f"p_{c}" for c in earlier]]
-    return VectorAssembler(inputCols=columns, outputCol="__x").transform(df)
+def _batch(rows: list[np.ndarray], extra: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    picked = [rows[k] for k in at.tolist()]
+    lengths = np.array([len(p) for p in picked])
+    owner = np.repeat(np.arange(len(at)), lengths)
+    scale = 1 / np.sqrt(np.maximum(lengths, 1))
+    return np.concatenate(picked), owner, scale, extra[at]
 
 
-def _fit(rows: DataFrame, category: str) -> Link:
-    known = rows.filter(F.col(category).isNotNull())
-    n, ones = known.agg(F.count(F.lit(1)), F.sum(category)).first()
-    if not n or ones in (0, n):
-        return float(bool(ones))
-    return LogisticRegression(featuresCol="__x", labelCol=category, maxIter=20, regParam=1e-4,
-                              standardization=False).fit(known.withColumn(category, F.col(category).cast("double")))
+def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, epochs: int = 12, size: int = 128,
+               rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression by Adam: weights of the hashed features, then of ``extra``, then the bias.
+
+    Features on fewer than ``MIN_ROWS`` rows are left out: they only help to
+    learn rows by heart.  A single label gives the bias alone.
+    """
+    n = FEATURES + extra.shape[1] + 1
+    weights = np.zeros(n)
+    if not len(y) or y.min() == y.max():
+        weights[-1] = 30.0 if len(y) and y[0] else -30.0
+        return weights
+    weights[-1] = np.log(y.mean() / (1 - y.mean()))
+    mean, square, step = np.zeros(n), np.zeros(n), 0
+    known = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=FEATURES) >= MIN_ROWS
+    rng = np.random.default_rng(SEED)
+    for epoch in range(epochs):
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // size)):
+            words, owner, scale, more = _batch(rows, extra, part)
+            z = np.bincount(owner, weights[words], len(part)) * scale + more @ weights[FEATURES:-1] + weights[-1]
+            error = (_sigmoid(z) - y[part]) / len(part)
+            slope = decay * weights
+            slope[:FEATURES] += known * np.bincount(words, (error * scale)[owner], FEATURES)
+            slope[FEATURES:-1] += error @ more
+            slope[-1] = error.sum()
+            step += 1
+            mean += 0.1 * (slope - mean)
+            square += 0.001 * (slope * slope - square)
+            pace = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+            weights -= pace * mean / (np.sqrt(square) + 1e-8)
+    return weights
 
 
-def _predict(df: DataFrame, link: Link, name: str) -> DataFrame:
-    if isinstance(link, float):
-        return df.withColumn(name, F.lit(link))
-    model = link.copy()
-    model.setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("")
-    return model.transform(df).withColumn(name, vector_to_array("__p")[1]).drop("__p")
+def predict_linear(weights: np.ndarray, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
+    if not rows:
+        return np.empty(0)
+    words, owner, scale, more = _batch(rows, extra, np.arange(len(rows)))
+    return _sigmoid(np.bincount(owner, weights[words], len(rows)) * scale + more @ weights[FEATURES:-1] + weights[-1])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_TRAINING_ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Features, labels and fold of about ``max_rows`` labelled documents, chosen by a hash of their ids."""
+    """(row, fold, words, <category>...) of about ``max_rows`` labelled documents, chosen by a hash of their ids."""
     share = min(1.0, max_rows / max(1, labels.count()))
     spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000))
-    chosen = labels.select(F.col(id_col).alias("__id"), *[F.col(c).cast("int").alias(c) for c in categories],
-                           F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).alias("fold")
-                           ).filter(spread < int(share * 1_000_000))
+    chosen = labels.filter(spread < int(share * 1_000_000)).select(
+        F.col(id_col).alias("__id"), *[F.col(c).cast("int").alias(c) for c in categories])
     texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
-    joined = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__text", "fold", *categories)
-    return shared_table(_with_features(joined, "__text"), "toxicity-sample")
+    joined = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__key", "__text", *categories)
+
+    def featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.array([f for w in sorted(distinct_words(t)) for f in word_features(w)], "<u4").tobytes()
+                     for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), *batch.columns[2:]],
+                                             names=["key", "words", *categories])
+
+    columns = "".join(f", {c} int" for c in categories)
+    rows = joined.mapInArrow(featurized, f"key long, words binary{columns}")
+    return shared_table(rows.withColumns({"row": F.monotonically_increasing_id(),
+                                          "fold": F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(FOLDS)).cast("int")}),
+                        "toxicity-sample")
+
 
+def _fold_fit(category: str, earlier: Sequence[str]):
+    def fitted(table: pa.Table) -> pa.Table:
+        """Fit without one fold and predict it; without none (-1), return the weights."""
+        table = table.sort_by([("key", "ascending"), ("row", "ascending")])
+        words = [np.frombuffer(w, "<u4").astype(np.int64) for w in table["words"].to_pylist()]
+        extra = np.stack([table[p].to_numpy() for p in earlier], axis=1) if earlier else np.empty((len(words), 0))
+        y = table[category].to_numpy().astype(float)  # null labels become NaN
+        without = table["without"][0].as_py()
+        held = table["fold"].to_numpy() == without
+        use, out = np.flatnonzero(~held & ~np.isnan(y)), np.flatnonzero(held)
+        weights = fit_linear([words[i] for i in use], extra[use], y[use])
+        guess = predict_linear(weights, [words[i] for i in out], extra[out])
+        model = [weights.astype("<f4").tobytes()] if without < 0 else []
+        return pa.table({"row": pa.array([*table["row"].to_numpy()[out].tolist(), *[None] * len(model)], pa.int64()),
+                         "p": pa.array([*guess.tolist(), *[None] * len(model)], pa.float64()),
+                         "weights": pa.array([*[None] * len(out), *model], pa.binary())})
+    return fitted
 
-def fit_chain(sample: DataFrame, categories: Sequence[str]) -> list[Link]:
-    """One model a category, in order; earlier probabilities are out of fold while training."""
-    rows, links = sample.repartition(6).persist(), []
+
+def best_threshold(p: np.ndarray, y: np.ndarray, most_false: float = 0.002) -> float:
+    """The cut of held-out probabilities with the best F1, with at most ``most_false`` of the negatives above it."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    right = np.cumsum(y)
+    wrong = np.arange(1, len(y) + 1) - right
+    f1 = np.where(wrong <= most_false * (y == 0).sum(), 2 * right / (np.arange(1, len(y) + 1) + y.sum()), 0.0)
+    k = int(np.argmax(np.where(np.r_[p[1:] != p[:-1], True], f1, -1.0)))
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
+
+
+def fit_chain(sample: DataFrame, categories: Sequence[str]) -> tuple[list[np.ndarray], list[float]]:
+    """One model and threshold a category, in order; earlier probabilities are out of fold while training.
+
+    Thresholds come from the out-of-fold probabilities of the (bounded) sample.
+    """
+    rows, models, thresholds = sample, [], []
     for k, category in enumerate(categories):
-        seen = _inputs(rows, categories[:k])
-        links.append(_fit(seen, category))
-        if k + 1 == len(categories):
-            break
-        parts = []
-        for fold in range(FOLDS):
-            link = _fit(seen.filter(F.col("fold") != fold), category)
-            parts.append(_predict(seen.filter(F.col("fold") == fold), link, f"p_{category}"))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        before, rows = rows, out.drop("__x").persist()
-        rows.count()
-        before.unpersist()
-    rows.unpersist()
-    return links
-
-
-def score_chain(docs: DataFrame, links: Sequence[Link], categories: Sequence[str], text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with p_<category> for each category."""
-    scored = _with_features(docs, text_col)
-    for k, (category, link) in enumerate(zip(categories, links)):
-        scored = _predict(_inputs(scored, categories[:k]), link, f"p_{category}").drop("__x")
-    return scored.drop("__words")
+        earlier = [f"p_{c}" for c in categories[:k]]
+        folds = F.explode(F.array(*[F.lit(f) for f in range(-1, FOLDS)])).alias("without")
+        fits = (rows.select("row", "key", "fold", "words", *earlier, category, folds).groupBy("without")
+                .applyInArrow(_fold_fit(category, earlier), "row long, p double, weights binary"))
+        fits = shared_table(fits, f"chain-{k}")
+        found = fits.filter("weights is not null").select("weights").collect()  # one row of fixed size
+        models.append(np.frombuffer(found[0][0], "<f4") if found else fit_linear([], np.empty((0, k)), np.empty(0)))
+        rows = rows.join(fits.filter("row is not null").select("row", F.col("p").alias(f"p_{category}")), "row")
+        held = rows.filter(F.col(category).isNotNull()).select(f"p_{category}", category).toArrow()
+        thresholds.append(best_threshold(held[0].to_numpy(), held[1].to_numpy()))
+    return models, thresholds
+
+
+# ------------------------------------------------------------------ scoring
+class WordScores(dict):
+    """What a distinct word adds to each model's sum, for at most ``CACHED_WORDS`` words."""
+
+    def __init__(self, models: np.ndarray):
+        self.models = models
+
+    def __missing__(self, word: str) -> tuple[float, ...]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = value = tuple(self.models[:, word_features(word)].sum(axis=1).tolist())
+        return value
+
+
+class ChainScorer:
+    """Probabilities of each category for Arrow columns of texts; models travel as one broadcast."""
+
+    def __init__(self, spark: SparkSession, models: Sequence[np.ndarray]):
+        self.shared = spark.sparkContext.broadcast([np.asarray(m) for m in models])
+        self.words: WordScores | None = None
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        models = self.shared.value
+        if self.words is None:
+            self.words = WordScores(np.stack([m[:FEATURES] for m in models]))
+        sums, scale = np.zeros((len(texts), len(models))), np.ones(len(texts))
+        for i, text in enumerate(texts):
+            found = distinct_words(text.as_py())
+            if found:
+                sums[i] = [sum(s) for s in zip(*map(self.words.__getitem__, sorted(found)))]
+                scale[i] = 1 / np.sqrt(len(found) * (1 + len(STEMS)))
+        out: list[np.ndarray] = []
+        for k, model in enumerate(models):
+            more = model[FEATURES:].astype(float)
+            z = sums[:, k] * scale + more[-1]
+            for earlier, weight in zip(out, more):
+                z = z + weight * earlier
+            out.append(_sigmoid(z))
+        return out
+
+
+def score_chain(docs: DataFrame, models: Sequence[np.ndarray], categories: Sequence[str], id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """One row per document: its id and p_<category> for each category."""
+    scorer = ChainScorer(docs.sparkSession, models)
+    names = [f"p_{c}" for c in categories]
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scorer(batch.column(1)))], names=[id_col, *names])
+
+    return docs.select(id_col, text_col).mapInArrow(scored, ", ".join([f"`{id_col}` {kind}", *[f"{n} double" for n in names]]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"),
+               rejected: Sequence[str] = ("toxic",), id_col: str = "doc_id", text_col: str = "text",
+               max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The documents that ``judge_toxicity`` keeps, with all their columns; nothing is joined or shuffled."""
+    models, thresholds = fit_chain(training_sample(docs, labels, categories, max_rows, id_col, text_col), categories)
+    scorer, at = ChainScorer(docs.sparkSession, models), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = scorer(batch.column(at))
+            toxic = np.zeros(batch.num_rows, bool)
+            for category, probability, threshold in zip(categories, p, thresholds):
+                if category in rejected:
+                    toxic |= probability >= threshold
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"),
-                   rejected: Sequence[str] = ("toxic",), threshold: float = 0.5, id_col: str = "doc_id",
-                   text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+                   rejected: Sequence[str] = ("toxic",), id_col: str = "doc_id", text_col: str = "text",
+                   max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """One row per document: its id, p_<category> for each category, toxic, kept.
 
-    ``toxic`` means that a category of ``rejected`` reaches ``threshold``.
+    ``toxic`` means that a category of ``rejected`` reaches its held-out threshold.
     """
     sample = training_sample(docs, labels, categories, max_rows, id_col, text_col)
-    links = fit_chain(sample, categories)
-    scored = score_chain(docs.select(id_col, text_col), links, categories, text_col)
-    over = F.greatest(F.lit(0.0), *[F.col(f"p_{c}") for c in rejected]) >= threshold
+    models, thresholds = fit_chain(sample, categories)
+    scored = score_chain(docs, models, categories, id_col, text_col)
+    over = F.lit(False)
+    for category, threshold in zip(categories, thresholds):
+        if category in rejected:
+            over = over | (F.col(f"p_{category}") >= threshold)
     return scored.withColumn("toxic", over).withColumn("kept", ~F.col("toxic"))
