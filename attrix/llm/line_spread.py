@@ -68,7 +68,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     cut = (lines.join(spread, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
            .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("__cut")))
     cut = shared_table(cut, "cut-lines")
-    joined = docs.join(cut, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(cut.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")  # alike at every size
     split = joined.withColumn("__lines", _lines(F.col(text_col)))
     kept = F.filter("__lines", lambda line: ~(_has_word(line) & F.array_contains(F.col("__cut"), line_hash(line))))
     split = split.withColumn("__kept", F.when(F.col("__cut").isNull(), F.col("__lines")).otherwise(kept))
