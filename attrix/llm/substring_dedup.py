@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from attrix.llm.word_hashes import mixed, run_starts, word_hashes
 
 WINDOW = 50
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 BUCKET_HASHES = 4 << 20
 _KEY_BITS = 38
 _BASE = 0x9E3779B97F4A7C15
@@ -69,9 +69,9 @@ class Rolling:
         self.n = len(values)
         sums = np.cumsum(values * _power(_BASE, self.n), dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
-        self.doc = np.repeat(np.arange(len(parts)), self.lengths)
-        self.place = np.arange(self.n) - np.repeat(self.starts, self.lengths)
-        self.left = np.repeat(self.lengths, self.lengths) - self.place
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.lengths)
+        self.place = np.arange(self.n, dtype=np.int32) - self.starts.astype(np.int32)[self.doc]
+        self.left = self.lengths.astype(np.int32)[self.doc] - self.place
 
     def at(self, size: int, where: np.ndarray) -> np.ndarray:
         """Hashes of the windows of ``size`` words that start at ``where``."""
@@ -125,7 +125,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     bits = max(0, int(size // 6 // bucket_hashes).bit_length())  # about six bytes a word
     shift = np.uint64(64 - bits - _KEY_BITS)
     group = F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit(b"")))), F.lit(groups)).cast("int")
-    dealt = texts.withColumn("g", group).repartition(max(1, groups // 2), "g")
+    dealt = texts.withColumn("g", group).repartition(max(1, groups // 8), "g")
 
     def probes(key: tuple, table: pa.Table) -> pa.Table:
         """Distinct hashes of every rolling block window: are they in several documents here, are they a block."""
