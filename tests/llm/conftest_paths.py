@@ -1,0 +1 @@
+SF = "/root/testdata/sf0.001"
