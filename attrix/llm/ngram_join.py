@@ -50,8 +50,8 @@ PERCENT = 85
 CELLS = 1 << 20
 BLOOM_BITS = 1 << 24
 SHORT_LIST = 16
-BLOCK = 1000
-BUCKET_ENTRIES = 2 << 20
+BLOCK = 500
+BUCKET_ENTRIES = 1 << 19
 SCAN_COST = 4.0
 # Odd multipliers that tell the words of a shingle apart (fixed values).
 PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -246,11 +246,12 @@ def _group_links(table: pa.Table, percent: int) -> pa.Table:
         part = np.zeros((len(sets), width), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         common += part @ part.T
-    shared = common.astype(np.int64)
+    shared = common.astype(np.int32)
+    sizes = sizes.astype(np.int32)
     similar = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets), dtype=np.int32)
     while True:
-        lowest = np.where(similar, label[None, :], len(sets)).min(axis=1)
+        lowest = np.where(similar, label[None, :], np.int32(len(sets))).min(axis=1)
         lowest = np.minimum(label, lowest)[np.minimum(label, lowest)]
         if (lowest == label).all():
             break
