@@ -26,8 +26,11 @@ def count_per_key(df: DataFrame, key: str, item: str, alias: str,
 
 
 def sum_per_key(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
-    """A3: a sum per key (nulls ignored; all-null groups give null)."""
-    return df.groupBy(key).agg(F.sum(value).alias(alias))
+    """A3: a sum per key (nulls ignored; all-null groups give null).
+
+    Summed as decimals with two places, so the order of the rows cannot change it.
+    """
+    return df.groupBy(key).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias(alias))
 
 
 def complaints_per_customer(ticket: DataFrame) -> DataFrame:

@@ -34,11 +34,6 @@ def drop_duplicate_rows(df: DataFrame, keys) -> DataFrame:
               .select(*df.columns))
 
 
-def filter_equals(df: DataFrame, column: str, value) -> DataFrame:
-    """P6 / P10."""
-    return df.filter(F.col(column) == F.lit(value))
-
-
 def filter_not_equals(df: DataFrame, column: str, value, keep_null: bool = False) -> DataFrame:
     """``!=`` also rejects nulls; ``keep_null`` keeps them instead."""
     cond = F.col(column) != F.lit(value)
@@ -48,8 +43,9 @@ def filter_not_equals(df: DataFrame, column: str, value, keep_null: bool = False
 
 
 def valid_priority(column: str = "incident_priority", low: int = 1, high: int = 5) -> Column:
-    """P13 predicate: priority is an integer in [low, high] (non-numbers are invalid)."""
-    return F.col(column).try_cast("int").between(low, high)
+    """P13 predicate: priority is an integer in [low, high] (fractions and non-numbers are invalid)."""
+    number = F.col(column).try_cast("double")
+    return number.between(low, high) & (number == F.floor(number))
 
 
 def filter_valid_priority(df: DataFrame, column: str = "incident_priority",
@@ -98,25 +94,21 @@ def clean_view(df: DataFrame, view: str, apply_filter: bool = True) -> DataFrame
 def clean_report(df: DataFrame, view: str) -> DataFrame:
     """Rows per cleaning stage as a long table (view, stage, row_count).
 
-    Two aggregates (raw scan, cleaned frame) instead of one action per stage.
+    One scan and one grouped aggregate: each key carries its rows, its rows
+    without nulls and its survivor, and a sum over the keys gives every stage.
     """
     spec = CLEAN_SPECS[view]
-    all_present = F.lit(True)
+    keys = list(spec.key_columns)
+    present = F.lit(True)
     for c in spec.null_columns:
-        all_present = all_present & F.col(c).isNotNull()
-    raw = df.agg(F.count(F.lit(1)).alias("loaded"),
-                 F.count_if(all_present).alias("not_null"))
-    stages = [("loaded", "loaded"), ("not_null", "not_null")]
-    cleaned_aggs = [F.count(F.lit(1)).alias("deduplicated")]
-    cleaned_stages = [("deduplicated", "deduplicated")]
+        present = present & F.col(c).isNotNull()
+    rest = [c for c in df.columns if c not in keys]
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_loaded"), F.count_if(present).alias("_present"),
+                                    F.min(F.when(present, F.struct(*rest))).alias("_survivor"))
+    stages = {"loaded": F.sum("_loaded"), "not_null": F.sum("_present"), "deduplicated": F.count_if(F.col("_present") > 0)}
+    rows = per_key.select("_loaded", "_present", *keys, "_survivor.*")
     if spec.post_filter is not None:
-        cleaned_aggs.append(F.count_if(spec.post_filter()).alias(spec.post_filter_name))
-        cleaned_stages.append((spec.post_filter_name, spec.post_filter_name))
-    cleaned = clean(df, spec.null_columns, spec.key_columns).agg(*cleaned_aggs)
-
-    def long(frame, pairs):
-        stack = ", ".join(f"'{name}', {column}" for name, column in pairs)
-        return frame.select(F.lit(view).alias("view_name"),
-                            F.expr(f"stack({len(pairs)}, {stack}) AS (stage, row_count)"))
-
-    return long(raw, stages).unionByName(long(cleaned, cleaned_stages))
+        stages[spec.post_filter_name] = F.count_if((F.col("_present") > 0) & spec.post_filter())
+    counted = rows.agg(*[F.coalesce(n, F.lit(0)).alias(name) for name, n in stages.items()])
+    stack = ", ".join(f"'{name}', `{name}`" for name in stages)
+    return counted.select(F.lit(view).alias("view_name"), F.expr(f"stack({len(stages)}, {stack}) AS (stage, row_count)"))

@@ -2,14 +2,13 @@
 
 A running sum over ``Window.partitionBy(key).orderBy(t)`` sends every row of
 a key to one task, so a key holding a third of the data serialises a third of
-the job.  Here the ordered rows of a key are cut into buckets (time ranges of
-the hot keys only in :func:`split_running_totals`, or score quantiles for
-ROC/AUC):
+the job.  Here the ordered rows of a key are cut into buckets, which
+:func:`ranged_running_totals` takes from a range partitioning:
 
 1. running sums *within* each (key, bucket) -- a window over one bucket;
 2. bucket totals -- a grouped aggregate with a map-side partial step;
 3. per-key prefix of the bucket totals -- a window over at most
-   ``#buckets`` rows per key (bounded by the bucketing, not by row counts);
+   ``#buckets`` rows per key (at most the number of ranges);
 4. join 1 and 3 on (key, bucket) and add.
 
 The bucket must be a non-null, non-decreasing function of the ordering
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.session import reliable_checkpoint
+from attrix.session import shared_table
 
 
 def running_totals(df: DataFrame, keys, bucket: str, order, values,
@@ -64,46 +63,21 @@ def running_totals(df: DataFrame, keys, bucket: str, order, values,
     )
 
 
-def split_running_totals(df: DataFrame, keys, position: str, order, values,
-                         max_group_rows: int = 1_000_000, suffix: str = "_cum",
-                         group_totals: bool = False) -> DataFrame:
-    """:func:`running_totals` with buckets chosen from the data: only hot keys
-    are split.
+def ranged_running_totals(df: DataFrame, keys, order, values, suffix: str = "_cum",
+                          group_totals: bool = False, ranges: int | None = None) -> DataFrame:
+    """:func:`running_totals` over ranges cut from the data.
 
-    A key with at most ``max_group_rows`` rows is one bucket -- one window
-    partition, bounded by ``max_group_rows``, and one row of the offsets table.
-    A key with more rows is cut into ``ceil(rows / max_group_rows)``
-    equal-width ranges of ``position`` (numeric, non-decreasing in ``order``)
-    between its 1st and 99th percentile, outliers going to the end ranges, so
-    its rows spread over many tasks.  The hot keys' ranges are broadcast: each
-    hot key holds more than ``max_group_rows`` rows, so that table has at most
-    ``total_rows / max_group_rows`` rows -- a bound given by the data.
-
-    ``df`` is read three times (key counts, window, bucket totals), so it is
-    checkpointed once to the reliable checkpoint folder first; this runs a job.
+    The rows are range-partitioned by (keys, order) and written once with
+    their range number, so a range holds about as many rows as any other,
+    whatever the keys, bursts or ties: a hot key spreads over many ranges and
+    small keys share one.  ``order`` must tell the rows of a key apart, or
+    rows that tie on all of it stay in one range.  The number of ranges is the
+    session's shuffle partitions (adaptive execution joins small neighbours)
+    unless ``ranges`` is given; it does not change the sums.
     """
-    keys = list(keys)
-    df = reliable_checkpoint(df)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-             .where(F.col("__n") > max_group_rows)
-             .select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n"))
-    if hot.isEmpty():                       # the usual case: no key needs splitting
-        with_bucket = df.withColumn("__bucket", F.lit(0).cast("bigint"))
-    else:
-        cond = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
-        hkeys = [f"__h_{k}" for k in keys]
-        parts = F.ceil(F.col("__n") / F.lit(max_group_rows))
-        ranges = (df.join(F.broadcast(hot), cond, "inner").groupBy(*hkeys, "__n")
-                    .agg(F.percentile_approx(position, [0.01, 0.99]).alias("__q"))
-                    .select(*hkeys, F.col("__q")[0].alias("__lo"),
-                            ((F.col("__q")[1] - F.col("__q")[0]) / parts).alias("__width"),
-                            (parts - 1).alias("__last")))
-        raw = F.floor((F.col(position) - F.col("__lo")) / F.col("__width"))
-        bucket = F.when(F.col("__width") > 0,
-                        F.greatest(F.lit(0), F.least(raw, F.col("__last")))).otherwise(F.lit(0))
-        with_bucket = (df.join(F.broadcast(ranges), cond, "left_outer")
-                         .select(*[df[c] for c in df.columns],
-                                 F.coalesce(bucket, F.lit(0)).cast("bigint").alias("__bucket")))
-    out = running_totals(with_bucket, keys, "__bucket", order, values, suffix=suffix,
+    keys, order = list(keys), list(order)
+    count = [] if ranges is None else [ranges]
+    cut = df.repartitionByRange(*count, *keys, *order).withColumn("__range", F.spark_partition_id())
+    out = running_totals(shared_table(cut, "ranges"), keys, "__range", order, values, suffix=suffix,
                          group_totals=group_totals)
-    return out.drop("__bucket")
+    return out.drop("__range")

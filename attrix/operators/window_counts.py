@@ -11,9 +11,8 @@ incidents makes the join quadratic in one task.  Instead:
   Incidents are pre-aggregated per (customer, timestamp); each distinct
   (customer, install date) gives one query row per bound, carrying its key;
   both are merged in one ordered stream and summed with
-  :func:`split_running_totals`: a customer is one window partition unless it
-  has more than ``MAX_GROUP_ROWS`` rows, in which case it is cut into time
-  ranges spread over many tasks;
+  :func:`ranged_running_totals`, which cuts the stream into ranges of like
+  size, so a hot customer, a burst or a day of many installations spreads over many tasks;
 * counts with no date condition are the per-customer totals of the same pass,
   carried on its small offsets table.
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrix.functions.expressions import window_upper_bound
-from attrix.operators.prefix import split_running_totals
+from attrix.operators.prefix import ranged_running_totals
 
 # ---------------------------------------------------------------------------
 # Priorities and day windows of the incident count columns
@@ -45,20 +44,6 @@ _NO_INSTALL_DATE = "0001-01-01 00:00:00"
 _NO_CANCEL_DATE = "9999-12-31 00:00:00"
 
 
-def epoch_micros(ts: str):
-    """Microseconds since 1970-01-01 of a timestamp_ntz, from its fields alone.
-
-    Casting to timestamp or ``timestamp_diff`` go through the session time
-    zone and are not monotone across a DST gap; date and clock fields of a
-    timestamp without time zone are.
-    """
-    t = F.col(ts)
-    seconds = F.date_part(F.lit("SECOND"), t)          # seconds with microseconds
-    return (F.unix_date(F.to_date(t)).cast("bigint") * F.lit(86_400_000_000)
-            + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * F.lit(1_000_000)
-            + (seconds * 1_000_000).cast("bigint"))
-
-
 def _install_key(installed: str):
     return F.coalesce(F.col(installed), F.lit(_NO_INSTALL_DATE).cast("timestamp_ntz"))
 
@@ -77,14 +62,11 @@ def _count_names(priorities) -> list[str]:
     return ["_n_all"] + [f"_n_p{p}" for p in priorities]
 
 
-MAX_GROUP_ROWS = 1_000_000     # rows one window task takes before a customer is split
-
-
 def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, priorities=PRIORITIES,
                            customer: str = "incident_customer_finance_ref",
                            created: str = "incident_created", priority: str = "incident_priority",
                            group_totals: bool = False, include_all: bool = True,
-                           max_group_rows: int | None = None) -> DataFrame:
+                           ranges: int | None = None) -> DataFrame:
     """Prefix counts of incidents at query rows.
 
     ``query_rows`` has ``_cust``, ``_t``, ``_tie`` (0: count ``created < _t``,
@@ -92,9 +74,7 @@ def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, prioriti
     query rows with ``_n_all`` / ``_n_p{p}`` (incidents of ``_cust`` before the
     point, any / each priority) and, with ``group_totals``, ``_n_*_total``
     (all incidents of ``_cust``).  A null ``_t`` counts 0.  ``incidents`` must
-    hold one row per incident (cleaned).  Customers with more than
-    ``max_group_rows`` merged rows are split into time ranges
-    (:func:`split_running_totals`).
+    hold one row per incident (cleaned).
     """
     names = _count_names(priorities) if include_all else [f"_n_p{p}" for p in priorities]
     carried = [c for c in query_rows.columns if c not in ("_cust", "_t", "_tie")]
@@ -109,22 +89,14 @@ def incident_prefix_counts(incidents: DataFrame, query_rows: DataFrame, prioriti
     )
     point_rows = query_rows.select("_cust", "_t", "_tie", *carried,
                                    *[F.lit(0).cast("bigint").alias(n) for n in names])
-    rows = incident_rows.unionByName(point_rows).withColumn("_pos", epoch_micros("_t"))
-    summed = split_running_totals(rows, ["_cust"], "_pos", ["_t", "_tie"], names, suffix="_cum",
-                                  group_totals=group_totals,
-                                  max_group_rows=max_group_rows or MAX_GROUP_ROWS)
+    # the carried columns tell query rows at one time apart, so ranges may part them
+    summed = ranged_running_totals(incident_rows.unionByName(point_rows), ["_cust"], ["_t", "_tie", *carried], names,
+                                   suffix="_cum", group_totals=group_totals, ranges=ranges)
     return summed.where(F.col("_tie") != _INCIDENT).select(
         "_cust", "_t", "_tie", *carried, *[F.col(f"{n}_cum").alias(n) for n in names],
         *[f"{n}_total" for n in names if group_totals])
 
 
-def incident_counts_at(incidents: DataFrame, points: DataFrame, priorities=PRIORITIES,
-                       **kw) -> DataFrame:
-    """Prefix counts at distinct points (``_cust``, ``_t``, ``_tie``)."""
-    return incident_prefix_counts(incidents, points.select("_cust", "_t", "_tie").distinct(),
-                                  priorities, **kw)
-
-
 def _nullif_zero(c):
     return F.when(c != 0, c)
 
@@ -140,7 +112,7 @@ def priority_totals_per_customer(incidents: DataFrame, priorities=PRIORITIES,
 def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=PRIORITIES,
                            windows=(50, 100, 200), customer: str = "customer_finance_ref",
                            installed: str = "orderatom_dateinstalled",
-                           max_group_rows: int | None = None) -> DataFrame:
+                           ranges: int | None = None) -> DataFrame:
     """Per distinct (customer, installed): incidents with
     ``installed <= created <= date_add(installed, n)`` for each priority and
     n > 0, and (when 0 is among ``windows``) all incidents per priority.
@@ -160,7 +132,7 @@ def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, prioriti
     query_rows = keys.select("_cust", "_d", F.explode(F.array(*sides)).alias("_s")).select(
         "_cust", "_d", "_s.*")
     counted = incident_prefix_counts(incidents, query_rows, priorities, group_totals=with_total,
-                                     include_all=False, max_group_rows=max_group_rows)
+                                     include_all=False, ranges=ranges)
 
     def at(kind, p):
         return F.max(F.when(F.col("_kind") == kind, F.col(f"_n_p{p}")))
@@ -178,7 +150,7 @@ def priority_window_counts(orderatoms: DataFrame, incidents: DataFrame, prioriti
 def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=PRIORITIES,
                         windows=WINDOW_DAYS, customer: str = "customer_finance_ref",
                         installed: str = "orderatom_dateinstalled",
-                        max_group_rows: int | None = None) -> DataFrame:
+                        ranges: int | None = None) -> DataFrame:
     """Add the priority x window count columns to the order atoms.
 
     A zero count is null, as the per-column left joins of the original
@@ -187,7 +159,7 @@ def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=
     names = [priority_count_column(p, n) for p in priorities for n in windows]
     if any(n > 0 for n in windows):
         counts = priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed,
-                                        max_group_rows)
+                                        ranges)
         cond = (F.col(customer) == F.col("_cust")) & (_install_key(installed) == F.col("_d"))
         out = orderatoms.join(counts, cond, "left_outer").drop("_cust", "_d")
     else:

@@ -18,7 +18,7 @@ from attrix.operators.clean import (CLEAN_SPECS, clean, clean_report, clean_view
                                    drop_null_rows, filter_valid_priority)
 from attrix.operators.joins import JOIN_TYPES, join_on_keys
 from attrix.plans import oracle_sql as osql
-from attrix.plans.features import (KEY_COLUMN, analysis_frame, churn_features, feature_frame,
+from attrix.plans.features import (DEFAULT_ANALYSIS_DATE, KEY_COLUMN, analysis_frame, churn_features, feature_frame,
                                    label_orderatoms, load_clean_sources)
 from attrix.sources.fixtures import VIEW_COLUMNS, load_view
 
@@ -75,7 +75,7 @@ def q_clean_report(spark, sf):
 # --------------------------------------------------------------------- joins
 def _labeled(spark, sf):
     src = load_clean_sources(spark, sf)
-    return src, label_orderatoms(src.orderatom)
+    return src, label_orderatoms(src.orderatom, DEFAULT_ANALYSIS_DATE)
 
 
 def q_join_diff_key(spark, sf):
@@ -175,13 +175,20 @@ def q_class_balance(spark, sf):
 
 # --------------------------------------------------------------- projections
 def q_project_features(spark, sf):
-    frame = feature_frame(analysis_frame(load_clean_sources(spark, sf)), key=None)
-    return frame.withColumn("crs_score", F.round("crs_score", 6))
+    return feature_frame(analysis_frame(load_clean_sources(spark, sf), DEFAULT_ANALYSIS_DATE), key=None)
 
 
 def q_project_exclude(spark, sf):
-    out = select_except(analysis_frame(load_clean_sources(spark, sf)), EXCLUDED_COLUMNS)
-    return out.withColumn("crs_score", F.round("crs_score", 6))
+    return select_except(analysis_frame(load_clean_sources(spark, sf), DEFAULT_ANALYSIS_DATE), EXCLUDED_COLUMNS)
+
+
+# What the full analysis frame shows beside its key and the 20 count columns.
+FULL_COLUMNS = ("cancelled", "days_installed", "number_complaints", "crs_score", "number_incidents")
+
+
+def q_analysis_frame_full(spark, sf):
+    full = analysis_frame(load_clean_sources(spark, sf), DEFAULT_ANALYSIS_DATE, priority_counts=True)
+    return full.select(KEY_COLUMN, *FULL_COLUMNS, *wc.priority_count_columns())
 
 
 def q_label_cancelled(spark, sf):
@@ -227,6 +234,7 @@ DATA_QUERIES: dict[str, Query] = {
     "incident_before_cancel": q_incident_before_cancel,
     "churn_features": q_churn_features,
     "class_balance": q_class_balance,
+    "analysis_frame_full": q_analysis_frame_full,
     "project_features": q_project_features,
     "project_exclude": q_project_exclude,
     "label_cancelled": q_label_cancelled,
@@ -339,6 +347,7 @@ DATA_ORACLES: dict[str, str] = {
     "incident_priority_total": _priority_subset_sql((0,)),
     "incident_priority_window": _priority_subset_sql((50,)),
     "incident_priority_counts": osql.priority_counts_sql(),
+    "analysis_frame_full": osql.priority_counts_sql(base="analysis", extra=FULL_COLUMNS),
     "incident_before_cancel": osql.with_ctes(
         "SELECT o.orderatom_orderatomid, count(i.incident_number) AS incidents_before_cancel "
         "FROM labeled o LEFT JOIN incident_c i "

@@ -1,10 +1,9 @@
 """The churn feature frame (A9): cleaned sources -> label and tenure ->
 per-customer aggregates joined onto order atoms -> selected, zero-filled features.
 
-Everything is one lazy plan; nothing here triggers an action.  The three
-per-customer aggregates are joined on the same key, so the order-atom side is
-shuffled once and the partitioning is reused by the following joins (or, when
-an aggregate is small enough by Spark's size check, it is broadcast).
+The three per-customer aggregates are one written table, joined once: the
+order-atom side is shuffled once (or not at all, when Spark's size check finds
+the table small enough to broadcast).
 """
 
 from __future__ import annotations
@@ -13,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.functions.expressions import cancel_label, days_since
-from attrix.operators.aggregates import (complaints_per_customer, crs_score_per_customer,
-                                        incidents_per_customer)
 from attrix.operators.clean import clean_view
-from attrix.operators.joins import join_on_keys
 from attrix.operators.window_counts import WINDOW_DAYS, PRIORITIES, add_priority_counts
+from attrix.session import shared_table
 from attrix.sources.fixtures import VIEW_COLUMNS, load_view
 
 # ---------------------------------------------------------------------------
@@ -29,7 +26,7 @@ FEATURE_COLUMNS = [
 ]
 LABEL_COLUMN = "cancelled"
 KEY_COLUMN = "orderatom_orderatomid"
-DEFAULT_ANALYSIS_DATE = "2002-01-01"   # fixed 'today' for reproducible tenure
+DEFAULT_ANALYSIS_DATE = "2002-01-01"   # 'today' of the fixture tables, for reproducible tenure
 
 
 class CleanSources:
@@ -63,25 +60,47 @@ def load_clean_sources(spark: SparkSession, sf_dir: str) -> CleanSources:
                          for view in VIEW_COLUMNS})
 
 
-def label_orderatoms(orderatom: DataFrame, analysis_date=DEFAULT_ANALYSIS_DATE) -> DataFrame:
-    """Add ``cancelled`` and ``days_installed``."""
+def label_orderatoms(orderatom: DataFrame, analysis_date=None) -> DataFrame:
+    """Add ``cancelled`` and ``days_installed`` (up to today, or to ``analysis_date``)."""
     return (orderatom.withColumn(LABEL_COLUMN, cancel_label())
                      .withColumn("days_installed", days_since("orderatom_dateinstalled", analysis_date)))
 
 
-def analysis_frame(src: CleanSources, analysis_date=DEFAULT_ANALYSIS_DATE,
+def customer_table(src: CleanSources) -> DataFrame:
+    """One row per customer with its complaints, survey score and incidents.
+
+    The three sources meet in one union and one grouped aggregate with a
+    map-side step.  The table is written, so that the join that follows reads
+    two plain exchanges and adaptive execution can split a hot customer.
+    """
+    none = F.lit(None)
+
+    def rows(df, key, complaint=none, score=none, incident=none, ticket_key=none, survey_key=none):
+        return df.select(F.col(key).alias("_customer"), complaint.cast("bigint").alias("_complaint"),
+                         score.cast("decimal(18,2)").alias("_score"), incident.cast("bigint").alias("_incident"),
+                         ticket_key.alias("_ticket_key"), survey_key.alias("_survey_key"))
+
+    ticket_key, survey_key = "csi_ticket_customer_finance_ref", "asmt_customer_finance_ref"
+    union = (rows(src.ticket, ticket_key, complaint=F.col("csi_ticket_sys_id").isNotNull(), ticket_key=F.col(ticket_key))
+             .unionByName(rows(src.assessment, survey_key, score=F.col("asmt_result_actual_value"),
+                               survey_key=F.col(survey_key)))
+             .unionByName(rows(src.incident, "incident_customer_finance_ref",
+                               incident=F.col("incident_number").isNotNull())))
+    table = union.groupBy("_customer").agg(
+        F.max("_ticket_key").alias(ticket_key), F.sum("_complaint").alias("number_complaints"),
+        F.max("_survey_key").alias(survey_key), F.sum("_score").cast("double").alias("crs_score"),
+        F.sum("_incident").alias("number_incidents"))
+    return shared_table(table, "customers")
+
+
+def analysis_frame(src: CleanSources, analysis_date=None,
                    priority_counts: bool = False, priorities=PRIORITIES,
                    windows=WINDOW_DAYS) -> DataFrame:
     """Order atoms with label, tenure, complaints, survey score and incident
     count (J4), optionally with the priority x window count columns (A7)."""
     out = label_orderatoms(src.orderatom, analysis_date)
-    out = join_on_keys(out, complaints_per_customer(src.ticket),
-                       ["customer_finance_ref", "csi_ticket_customer_finance_ref"], "left_outer")
-    out = join_on_keys(out, crs_score_per_customer(src.assessment),
-                       ["customer_finance_ref", "asmt_customer_finance_ref"], "left_outer")
-    out = join_on_keys(out, incidents_per_customer(src.incident),
-                       ["customer_finance_ref", "incident_customer_finance_ref"], "left_outer")
-    out = out.drop("incident_customer_finance_ref")
+    customers = customer_table(src)
+    out = out.join(customers, out["customer_finance_ref"] == customers["_customer"], "left_outer").drop("_customer")
     if priority_counts:
         out = add_priority_counts(out, src.incident, priorities, windows)
     return out
@@ -96,6 +115,5 @@ def feature_frame(analysis: DataFrame, features=FEATURE_COLUMNS, label: str = LA
 
 def churn_features(spark: SparkSession, sf_dir: str, analysis_date=DEFAULT_ANALYSIS_DATE) -> DataFrame:
     """A9, the flagship: one row per cleaned order atom with the six features
-    and the label (crs_score rounded to 6 places so reruns are bit-stable)."""
-    frame = feature_frame(analysis_frame(load_clean_sources(spark, sf_dir), analysis_date))
-    return frame.withColumn("crs_score", F.round("crs_score", 6))
+    and the label."""
+    return feature_frame(analysis_frame(load_clean_sources(spark, sf_dir), analysis_date))

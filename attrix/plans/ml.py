@@ -1,9 +1,9 @@
 """Feature preparation, models and tuning (M1-M4, T1-T9), all Spark ML.
 
-Training data is checkpointed to the session's reliable checkpoint folder
-and persisted before iterative fitting: every optimiser iteration and every
-cross-validation fold re-reads it, and a lost executor then recomputes from
-the checkpoint files instead of the whole join lineage.
+Training data is written once to the shared checkpoint folder and persisted
+before iterative fitting: every optimiser iteration and every cross-validation
+fold re-reads it, and a lost executor then recomputes from those files instead
+of the whole join lineage.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.session import reliable_checkpoint
+from attrix.session import shared_table
 
 # ---------------------------------------------------------------------------
 # Split ratios/seeds and the tuning grids of the four models.
@@ -34,7 +34,7 @@ GBT_GRID = {"maxDepth": [2, 5, 10], "maxBins": [10, 20, 40], "maxIter": [5, 10,
 
 FEATURES_VECTOR = "feature_columns_vector"
 FOLD_COLUMN = "fold"
-ROWS_PER_PARTITION = 1_000_000   # training rows per partition (~tens of MB of vectors)
+ROWS_PER_PARTITION = 250_000   # training rows per partition (~tens of MB of vectors)
 
 
 def assemble_features(df: DataFrame, input_cols, output_col: str = "features_vector",
@@ -78,47 +78,31 @@ def with_folds(df: DataFrame, key: str, folds: int = NUM_FOLDS, seed: int = MODE
     return df.withColumn(FOLD_COLUMN, hash_bucket(key, seed, folds).cast("int"))
 
 
-def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition,
-    but to no fewer than half the default parallelism.
+def size_partitions(df: DataFrame, key: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Deal the rows by ``key`` into ``ceil(rows / rows_per_partition)`` partitions, sorted by ``key`` in each.
 
-    Every optimiser iteration is a job with one task per partition, so a
-    small frame spread over many partitions pays task overhead for nothing,
-    while one partition makes each fit single-threaded; half the cores per
-    fit leaves the rest to the fits cross-validation runs in parallel.  A
-    large frame keeps one partition per ``rows_per_partition`` rows.
+    Seeded samplers (forest bootstraps, boosting subsamples) draw per partition and row
+    position.  Number, contents and order of the partitions follow from the rows alone -- not from
+    cores, arrival or shuffle order -- so a seed gives the same model everywhere.
     """
-    current = df.rdd.getNumPartitions()
-    floor = max(1, df.sparkSession.sparkContext.defaultParallelism // 2)
-    wanted = max(-(-df.count() // rows_per_partition), min(current, floor))
-    return df.coalesce(wanted) if wanted < current else df
+    wanted = max(1, -(-df.count() // rows_per_partition))
+    return df.repartition(wanted, key).sortWithinPartitions(key)
 
 
-def stable_training_frame(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Cut lineage (reliable checkpoint), size partitions by rows and keep the
-    rows close for iterative fits.
-
-    Rows reach a partition in shuffle-fetch order, and seeded samplers (forest
-    bootstraps, GBT subsampling) draw per row position; sorting within
-    partitions by ``key`` (a local sort, no shuffle) makes a fixed seed give
-    the same model on every run.
-    """
-    if key is not None:
-        df = df.sortWithinPartitions(key)
-    return size_partitions(reliable_checkpoint(df)).persist(StorageLevel.MEMORY_AND_DISK)
+def stable_training_frame(df: DataFrame, key: str) -> DataFrame:
+    """Cut lineage (one shared table), deal the rows by ``key`` (:func:`size_partitions`)
+    and keep them close for iterative fits."""
+    return size_partitions(shared_table(df, "training"), key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def model_frames(frame: DataFrame, key: str, train_ratio: float = MODEL_TRAIN_RATIO,
                  seed: int = MODEL_SEED) -> tuple[DataFrame, DataFrame]:
-    """(train, test) from one reliable checkpoint of ``frame`` with fold ids:
-    the feature lineage runs once for fitting and evaluation alike; the
-    training rows are also persisted for the iterative fits.  Rows are sorted
-    within partitions by ``key`` so seeded fits repeat exactly
-    (see :func:`stable_training_frame`)."""
-    stable = reliable_checkpoint(with_folds(frame, key).sortWithinPartitions(key))
-    stable = size_partitions(stable)
+    """(train, test) from one shared table of ``frame`` with fold ids: the
+    feature lineage runs once for fitting and evaluation alike; the training
+    rows are dealt by :func:`size_partitions` and persisted for the iterative fits."""
+    stable = shared_table(with_folds(frame, key), "model-frame")
     train, test = split_train_test(stable, key, train_ratio, seed)
-    return train.persist(StorageLevel.MEMORY_AND_DISK), test
+    return size_partitions(train, key).persist(StorageLevel.MEMORY_AND_DISK), test
 
 
 # -------------------------------------------------------------------- models

@@ -20,18 +20,10 @@ from attrix.plans import ml
 from attrix.plans import oracle_sql as osql
 from attrix.plans.features import FEATURE_COLUMNS, KEY_COLUMN, LABEL_COLUMN, churn_features
 from attrix.plans.scoring import margin_sql, score_logistic
-from attrix.session import ensure_checkpoint_dir, reliable_checkpoint
+from attrix.session import ensure_checkpoint_dir, shared_table
 from attrix.sources.models import load_model, save_model
 
-# Grids of the catalogue's tuning queries: the full decision-tree grid, and
-# compact grids drawn from the full ones for the larger searches (the library
-# defaults, ``ml.MODELS``, are the full grids).
-CATALOGUE_GRIDS = {
-    "logreg": {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0], "maxIter": [10]},
-    "dtree": ml.DTREE_GRID,
-    "rforest": {"maxDepth": [5], "maxBins": [10, 20], "numTrees": [20]},
-    "gbt": {"maxDepth": [2, 5], "maxBins": [20], "maxIter": [10]},
-}
+MODEL_NAMES = ("logreg", "dtree", "rforest", "gbt")
 
 
 def test_split(spark, sf) -> DataFrame:
@@ -40,7 +32,7 @@ def test_split(spark, sf) -> DataFrame:
 
 
 def scored_test(spark, sf) -> DataFrame:
-    return score_logistic(test_split(spark, sf))
+    return score_logistic(test_split(spark, sf), digits=6)
 
 
 # ------------------------------------------------------- SQL-checked queries
@@ -52,8 +44,8 @@ def q_assemble_features(spark, sf):
 
 def q_scale_features(spark, sf):
     # read twice (scaler fit, then transform): materialise the features once
-    vec = reliable_checkpoint(ml.assemble_features(churn_features(spark, sf), FEATURE_COLUMNS,
-                                                   "features_vector"))
+    vec = shared_table(ml.assemble_features(churn_features(spark, sf), FEATURE_COLUMNS, "features_vector"),
+                       "assembled")
     scaled = ml.scale_features(vec, "features_vector")
     arr = vector_to_array("features_vector_scaled")
     return scaled.select(KEY_COLUMN, *[F.round(arr[i], 6).alias(f"scaled_{c}")
@@ -99,6 +91,23 @@ def _model_frames(spark, sf, seed=ml.MODEL_SEED, ratio=ml.MODEL_TRAIN_RATIO, fea
     return ml.model_frames(frame, KEY_COLUMN, ratio, seed)
 
 
+# Tuned models of this session by (application, fingerprint of the training rows, model, grid):
+# several queries report on the same search, which need not run again.
+_tuned_models: dict[tuple, CrossValidatorModel] = {}
+
+
+def _tune(model_name: str, train: DataFrame, grid: dict | None = None) -> CrossValidatorModel:
+    """Cross-validate a model over its full grid (or ``grid``)."""
+    factory, full = ml.MODELS[model_name]
+    grid = full if grid is None else grid
+    rows = train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(KEY_COLUMN, LABEL_COLUMN, ml.FOLD_COLUMN, F.hash(
+        vector_to_array(ml.FEATURES_VECTOR))).cast("decimal(38,0)"))).first()
+    key = (train.sparkSession.sparkContext.applicationId, tuple(rows), model_name, repr(sorted(grid.items())))
+    if key not in _tuned_models:
+        _tuned_models[key] = ml.cross_validate(factory(ml.FEATURES_VECTOR, LABEL_COLUMN), grid, train, LABEL_COLUMN)
+    return _tuned_models[key]
+
+
 def _test_metrics_row(spark, model_name, cv_model, test) -> DataFrame:
     """Best setting, its CV metric, and test-set AUC plus confusion metrics.
 
@@ -109,47 +118,40 @@ def _test_metrics_row(spark, model_name, cv_model, test) -> DataFrame:
     best = int(max(range(len(cv_model.avgMetrics)), key=lambda i: cv_model.avgMetrics[i]))
     auc = round(ev.exact_auc_evaluator(LABEL_COLUMN).evaluate(pred), 6)
     conf = ev.confusion_metrics(pred).first().asDict()
-    row = {"model": model_name,
+    row = {"model": model_name, "settings": len(cv_model.avgMetrics),
            "best_params": ml.describe_params(cv_model.getEstimatorParamMaps()[best]),
            "cv_auc": float(cv_model.avgMetrics[best]), "test_auc": auc, **conf}
-    schema = ("model string, best_params string, cv_auc double, test_auc double, tn bigint, "
+    schema = ("model string, settings int, best_params string, cv_auc double, test_auc double, tn bigint, "
               "fp bigint, fn bigint, tp bigint, accuracy double, positive_precision double, "
               "positive_recall double, positive_f1 double")
     return spark.createDataFrame([row], schema)
 
 
-def _tuned(model_name: str):
-    def run(spark, sf):
-        train, test = _model_frames(spark, sf)
-        factory, _ = ml.MODELS[model_name]
-        est = factory(ml.FEATURES_VECTOR, LABEL_COLUMN)
-        cv_model = ml.cross_validate(est, CATALOGUE_GRIDS[model_name], train, LABEL_COLUMN)
-        out = _test_metrics_row(spark, model_name, cv_model, test)
-        train.unpersist()
-        return out
-    return run
+def tuned_report(spark, sf, model_name: str, grid: dict | None = None) -> DataFrame:
+    """Search the full grid (or ``grid``) by 5-fold CV and test the best model."""
+    train, test = _model_frames(spark, sf)
+    out = _test_metrics_row(spark, model_name, _tune(model_name, train, grid), test)
+    train.unpersist()
+    return out
 
 
-def q_cv_leaderboard(spark, sf):
+def cv_leaderboard(spark, sf, grids: dict | None = None) -> DataFrame:
+    """Every setting of all four models (or of ``grids``) with its fold metrics."""
     train, _ = _model_frames(spark, sf)
     rows = []
-    for name in ["logreg", "dtree"]:
-        factory, _ = ml.MODELS[name]
-        cv_model = ml.cross_validate(factory(ml.FEATURES_VECTOR, LABEL_COLUMN),
-                                     CATALOGUE_GRIDS[name], train, LABEL_COLUMN)
-        rows += ml.leaderboard_rows(name, cv_model)
+    for name in MODEL_NAMES:
+        rows += ml.leaderboard_rows(name, _tune(name, train, grids and grids[name]))
     train.unpersist()
     return spark.createDataFrame(rows, "model string, setting int, params string, "
                                        "avg_auc double, std_auc double")
 
 
-def q_logreg_coefficients(spark, sf):
+def logreg_coefficients(spark, sf, grid: dict | None = None) -> DataFrame:
+    """Coefficients of the best logistic model."""
     train, _ = _model_frames(spark, sf)
-    cv_model = ml.cross_validate(ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN),
-                                 CATALOGUE_GRIDS["logreg"], train, LABEL_COLUMN)
+    best = _tune("logreg", train, grid).bestModel
     train.unpersist()
-    return spark.createDataFrame(ml.coefficient_rows(cv_model.bestModel, FEATURE_COLUMNS),
-                                 "term string, coefficient double")
+    return spark.createDataFrame(ml.coefficient_rows(best, FEATURE_COLUMNS), "term string, coefficient double")
 
 
 def q_univariate_report(spark, sf):
@@ -183,26 +185,55 @@ def q_univariate_report(spark, sf):
                                        "weighted_f1 double")
 
 
-def q_training_roc(spark, sf):
-    """E8 as the original reads it: ROC of the best model's training summary."""
+def tuned_training_roc(spark, sf, grid: dict | None = None) -> DataFrame:
+    """E8 as the original reads it: ROC of the best logistic model's training
+    summary, with the training rows and positives behind it."""
     train, _ = _model_frames(spark, sf)
-    model = ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN, maxIter=10).fit(train)
-    roc = model.summary.roc
-    return roc.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
+    best = _tune("logreg", train, grid).bestModel
+    roc = best.evaluate(train).roc.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
+    out = shared_table(roc, "training-roc")
+    train.unpersist()
+    return out
 
 
-def q_model_save_load_score(spark, sf):
-    """Tune, save under <checkpoint>/models/<name>/<stamp>, reload, score."""
+def model_save_load_score(spark, sf, grids: dict | None = None) -> DataFrame:
+    """Save each tuned model under <checkpoint>/models/<name>/<stamp>, reload and score.
+
+    One row per model and test row; ``same`` says that the reloaded model scores as the tuned one did.
+    """
     train, test = _model_frames(spark, sf)
-    cv_model = ml.cross_validate(ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN),
-                                 CATALOGUE_GRIDS["logreg"], train, LABEL_COLUMN)
     root = ensure_checkpoint_dir(spark).rstrip("/") + "/models"
-    path = save_model(cv_model, root, "logistic-regression")
-    reloaded = load_model(path, CrossValidatorModel)
+    out = None
+    for name in MODEL_NAMES:
+        cv_model = _tune(name, train, grids and grids[name])
+        reloaded = load_model(save_model(cv_model, root, name), CrossValidatorModel)
+        p = vector_to_array("probability")[1]
+        before = cv_model.transform(test).select(F.col(KEY_COLUMN).alias("_key"), p.alias("_before"))
+        scored = reloaded.transform(test).select(KEY_COLUMN, LABEL_COLUMN, "prediction", p.alias("_p"))
+        scored = scored.join(before, F.col(KEY_COLUMN) == F.col("_key")).select(
+            F.lit(name).alias("model"), KEY_COLUMN, LABEL_COLUMN, "prediction",
+            F.round("_p", 6).alias("probability"), (F.col("_p") == F.col("_before")).alias("same"))
+        out = scored if out is None else out.unionByName(scored)
     train.unpersist()
-    return reloaded.transform(test).select(
-        KEY_COLUMN, LABEL_COLUMN, "prediction",
-        F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    return out
+
+
+def q_model_reload_check(spark, sf):
+    """S6/S7 in figures: per model, test rows, positives and scores that changed by saving."""
+    return model_save_load_score(spark, sf).groupBy("model").agg(
+        F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col(LABEL_COLUMN) == 1).alias("positives"),
+        F.count_if(~F.col("same")).alias("changed"))
+
+
+def q_tuning_check(spark, sf):
+    """T2-T7 in figures: per model, settings tried, best first, and the confusion counts' sums on the test rows."""
+    out = None
+    for name in MODEL_NAMES:
+        row = tuned_report(spark, sf, name).select(
+            "model", "settings", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("test_rows"),
+            (F.col("fn") + F.col("tp")).alias("positives"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 MODEL_QUERIES = {
@@ -216,14 +247,16 @@ MODEL_QUERIES = {
     "auc_exact": q_auc_exact,
     "roc_curve": q_roc_curve,
     "univariate_report": q_univariate_report,
-    "logreg_cv": _tuned("logreg"),
-    "dtree_cv": _tuned("dtree"),
-    "rforest_cv": _tuned("rforest"),
-    "gbt_cv": _tuned("gbt"),
-    "cv_leaderboard": q_cv_leaderboard,
-    "logreg_coefficients": q_logreg_coefficients,
-    "training_roc": q_training_roc,
-    "model_save_load_score": q_model_save_load_score,
+    "logreg_cv": lambda spark, sf: tuned_report(spark, sf, "logreg"),
+    "dtree_cv": lambda spark, sf: tuned_report(spark, sf, "dtree"),
+    "rforest_cv": lambda spark, sf: tuned_report(spark, sf, "rforest"),
+    "gbt_cv": lambda spark, sf: tuned_report(spark, sf, "gbt"),
+    "tuning_check": q_tuning_check,
+    "cv_leaderboard": cv_leaderboard,
+    "logreg_coefficients": logreg_coefficients,
+    "training_roc": tuned_training_roc,
+    "model_save_load_score": model_save_load_score,
+    "model_reload_check": q_model_reload_check,
 }
 
 
@@ -301,7 +334,27 @@ def _weighted_sql() -> str:
 _PER_SCORE = ("SELECT margin AS score, count_if(cancelled = 1) AS pos, count_if(cancelled = 0) AS neg "
               "FROM scored GROUP BY margin")
 
+_TEST_ROWS = f"SELECT * FROM features WHERE {_bucket_sql(ml.MODEL_SEED)} >= {_CUT}"
+
+
+def _settings(grid: dict) -> int:
+    n = 1
+    for values in grid.values():
+        n *= len(values)
+    return n
+
+
+def _per_model(select: str) -> str:
+    """``select`` over the test rows, once a model with its number of settings."""
+    models = ", ".join(f"('{name}', {_settings(ml.MODELS[name][1])})" for name in MODEL_NAMES)
+    return osql.with_ctes(f"SELECT model, {select} FROM test_rows, (VALUES {models}) AS m(model, settings) "
+                          "GROUP BY model, settings", "features", local=[("test_rows", _TEST_ROWS)])
+
+
 MODEL_ORACLES = {
+    "tuning_check": _per_model("settings, count(*) AS test_rows, count_if(cancelled = 1) AS positives"),
+    "model_reload_check": _per_model("count(*) AS test_rows, count_if(cancelled = 1) AS positives, "
+                                     "CAST(0 AS BIGINT) AS changed"),
     "assemble_features": osql.with_ctes(
         "SELECT orderatom_orderatomid, " + ", ".join(f"CAST({c} AS DOUBLE) AS vec_{c}"
                                                      for c in FEATURE_COLUMNS) + " FROM features",

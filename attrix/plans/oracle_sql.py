@@ -72,7 +72,7 @@ _cte("labeled", f"SELECT *, {LABEL_SQL} AS cancelled, {DAYS_SQL} AS days_install
      "orderatom_f")
 _cte("complaints", "SELECT csi_ticket_customer_finance_ref, count(csi_ticket_sys_id) AS number_complaints "
      "FROM ticket_c GROUP BY csi_ticket_customer_finance_ref", "ticket_c")
-_cte("crs", "SELECT asmt_customer_finance_ref, sum(asmt_result_actual_value) AS crs_score "
+_cte("crs", "SELECT asmt_customer_finance_ref, CAST(sum(CAST(asmt_result_actual_value AS DECIMAL(18,2))) AS DOUBLE) AS crs_score "
      "FROM assessment_f GROUP BY asmt_customer_finance_ref", "assessment_f")
 _cte("incidents", "SELECT incident_customer_finance_ref, count(incident_number) AS number_incidents "
      "FROM incident_c GROUP BY incident_customer_finance_ref", "incident_c")
@@ -89,7 +89,7 @@ _cte("features",
      "coalesce(orderatom_total_annual_recurr_cost, 0) AS orderatom_total_annual_recurr_cost, "
      "coalesce(number_incidents, 0) AS number_incidents, "
      "coalesce(number_complaints, 0) AS number_complaints, "
-     "round(coalesce(crs_score, 0), 6) AS crs_score, cancelled FROM analysis", "analysis")
+     "coalesce(crs_score, 0) AS crs_score, cancelled FROM analysis", "analysis")
 # Order atoms paired with every incident of their customer (the plain join).
 _cte("pairs",
      "SELECT o.orderatom_orderatomid, o.orderatom_dateinstalled, o.orderatom_canceldate, "
@@ -105,13 +105,15 @@ def _window_cond(days: int) -> str:
             f"CAST(orderatom_dateinstalled AS DATE) + {days}")
 
 
-def priority_counts_sql(priorities=PRIORITIES, windows=WINDOW_DAYS) -> str:
+def priority_counts_sql(priorities=PRIORITIES, windows=WINDOW_DAYS, base: str = "labeled", extra=()) -> str:
+    """The count columns of each row of ``base``, after its columns ``extra``."""
     cols = [f"nullif(count(DISTINCT CASE WHEN incident_priority = {p}{_window_cond(n)} "
             f"THEN incident_number END), 0) AS {priority_count_column(p, n)}"
             for p in priorities for n in windows]
     names = [priority_count_column(p, n) for p in priorities for n in windows]
     counts = f"SELECT orderatom_orderatomid, {', '.join(cols)} FROM pairs GROUP BY orderatom_orderatomid"
+    shown = ["l.orderatom_orderatomid", *[f"l.{c}" for c in extra], *[f"pc.{n}" for n in names]]
     return with_ctes(
-        f"SELECT l.orderatom_orderatomid, {', '.join('pc.' + n for n in names)} "
-        f"FROM labeled l LEFT JOIN pc ON l.orderatom_orderatomid = pc.orderatom_orderatomid",
-        "labeled", "pairs", local=[("pc", counts)])
+        f"SELECT {', '.join(shown)} "
+        f"FROM {base} l LEFT JOIN pc ON l.orderatom_orderatomid = pc.orderatom_orderatomid",
+        base, "pairs", local=[("pc", counts)])
\ No newline at end of file

@@ -4,8 +4,8 @@ This is exactly what ``LogisticRegressionModel.transform`` computes for a
 binary model -- margin ``b + w.x``, probability ``sigmoid(margin)``,
 prediction ``margin > 0`` (threshold 0.5) -- written with built-in functions,
 so coefficients can be applied without a fitted model object and the same
-formula can be checked by any SQL engine.  Margins are rounded to ``digits``
-places so ties are identical across engines.
+formula can be checked by any SQL engine.  With ``digits``, margins are rounded
+first, so that ties are identical across engines.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 # metric operators (chosen, not fitted).
 # ---------------------------------------------------------------------------
 CHECK_INTERCEPT = -3.0
-CHECK_WEIGHTS = {"days_installed": 0.002, "number_incidents": 0.01, "number_complaints": -0.05}
+CHECK_WEIGHTS = {"days_installed": 0.002, "orderatom_service_install_cost": 0.00002,
+                 "orderatom_total_annual_recurr_cost": -0.000002, "number_incidents": 0.01,
+                 "number_complaints": -0.05, "crs_score": -0.0004}
 
 
 def margin(weights: dict, intercept: float) -> Column:
@@ -29,13 +31,15 @@ def margin(weights: dict, intercept: float) -> Column:
 
 
 def score_logistic(df: DataFrame, weights: dict = None, intercept: float = None,
-                   digits: int = 6) -> DataFrame:
+                   digits: int | None = None) -> DataFrame:
     """Add ``margin``, ``probability`` (positive class) and ``prediction``."""
     weights = CHECK_WEIGHTS if weights is None else weights
     intercept = CHECK_INTERCEPT if intercept is None else intercept
-    m = F.round(margin(weights, intercept), digits)
-    return (df.withColumn("margin", m)
-              .withColumn("probability", F.round(1.0 / (1.0 + F.exp(-F.col("margin"))), digits))
+    def shown(value: Column) -> Column:
+        return value if digits is None else F.round(value, digits)
+
+    return (df.withColumn("margin", shown(margin(weights, intercept)))
+              .withColumn("probability", shown(1.0 / (1.0 + F.exp(-F.col("margin")))))
               .withColumn("prediction", F.when(F.col("margin") > 0, 1.0).otherwise(0.0)))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,17 +62,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
-def reliable_checkpoint(df):
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+def shared_table(df, name: str = "table"):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
-    An eager checkpoint computes the plan once to count it and again to write
-    the files; persisting around it makes that a single computation.
+    Cuts the lineage in one computation, keeps column pruning for later reads,
+    and survives lost executors, as the folder is shared storage.  The files
+    are removed by :func:`release_shared_tables`, at the latest when Python exits.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_release_at_exit)
+    _written.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def release_shared_tables(spark: SparkSession) -> int:
+    """Remove the tables written so far; frames that read them are spent.  Returns their number."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _written and spark is not None and spark.sparkContext._jsc is not None:
+        release_shared_tables(spark)

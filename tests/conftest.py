@@ -13,9 +13,10 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from attrix.session import local_session
+    from attrix.session import local_session, release_shared_tables
     session = local_session(cores=4, shuffle_partitions=8)
     yield session
+    release_shared_tables(session)
     session.stop()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from attrix.plans import evaluate as ev
 from attrix.plans import ml
+from attrix.plans import model_queries as mq
 from attrix.plans.features import FEATURE_COLUMNS, KEY_COLUMN, LABEL_COLUMN, churn_features
 from attrix.plans.scoring import score_logistic
 from attrix.streaming import score_frame
@@ -24,7 +25,7 @@ SF = SF_SMALL
 def fitted(spark):
     frame = ml.assemble_features(churn_features(spark, SF), FEATURE_COLUMNS, ml.FEATURES_VECTOR)
     train, test = ml.split_train_test(frame, KEY_COLUMN)
-    train = ml.stable_training_frame(ml.with_folds(train, KEY_COLUMN))
+    train = ml.stable_training_frame(ml.with_folds(train, KEY_COLUMN), KEY_COLUMN)
     model = ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN, maxIter=20).fit(train)
     yield model, train, test
     train.unpersist()
@@ -55,7 +56,7 @@ def test_metrics_equal_spark_evaluators(fitted):
     exact = BinaryClassificationEvaluator(labelCol=LABEL_COLUMN, rawPredictionCol="rawPrediction",
                                           numBins=0).evaluate(pred)
     assert abs(ev.auc_exact(pred, LABEL_COLUMN, "score").first().auc - exact) < 1e-6
-    assert abs(ev.auc_exact(pred, LABEL_COLUMN, "score", buckets=1).first().auc - exact) < 1e-6
+    assert abs(ev.auc_exact(pred, LABEL_COLUMN, "score", ranges=7).first().auc - exact) < 1e-6
     conf = ev.confusion_metrics(pred).first()
     grouped = {(r[LABEL_COLUMN], r.prediction): r["count"]
                for r in pred.groupBy(LABEL_COLUMN, "prediction").count().collect()}
@@ -79,13 +80,14 @@ def test_unregularised_fit_mean_residual_near_zero(fitted):
     assert abs(res) < 1e-3
 
 
+# Small grids for the tests; the registered queries search the full ones.
+SMALL = {"logreg": {"regParam": [0.01, 0.1], "maxIter": [5]}, "dtree": {"maxDepth": [2, 5]},
+         "rforest": {"maxDepth": [3], "numTrees": [5]}, "gbt": {"maxDepth": [2], "maxIter": [3]}}
+
+
 def test_cv_leaderboard_has_one_row_per_setting(spark):
-    lb = entry.queries()["cv_leaderboard"](spark, SF)
-    from attrix.plans.model_queries import CATALOGUE_GRIDS
-    expected = sum(len(ml.param_grid(ml.MODELS[m][0]("f", "l"), CATALOGUE_GRIDS[m]))
-                   for m in ["logreg", "dtree"])
-    rows = lb.collect()
-    assert len(rows) == expected
+    rows = mq.cv_leaderboard(spark, SF, SMALL).collect()
+    assert [r.model for r in rows] == ["logreg", "logreg", "dtree", "dtree", "rforest", "gbt"]
     assert all(0.0 <= r.avg_auc <= 1.0 for r in rows)
 
 
@@ -94,24 +96,69 @@ def test_full_grids_have_reference_sizes():
     assert sizes == {"logreg": 125, "dtree": 6, "rforest": 27, "gbt": 27}
 
 
-@pytest.mark.parametrize("name", ["logreg_cv", "dtree_cv", "rforest_cv", "gbt_cv"])
-def test_tuned_models_report_valid_metrics(spark, name):
-    row = entry.queries()[name](spark, SF).first()
+def _test_rows(duck):
+    sql = mq.osql.with_ctes("SELECT count(*), count_if(cancelled = 1) FROM test_rows", "features",
+                            local=[("test_rows", mq._TEST_ROWS)])
+    return duck.sql(sql).fetchall()[0]
+
+
+@pytest.mark.parametrize("name", mq.MODEL_NAMES)
+def test_tuned_models_report_valid_metrics(spark, duck_small, name):
+    row = mq.tuned_report(spark, SF, name, SMALL[name]).first()
     assert 0.0 <= row.test_auc <= 1.0 and 0.0 <= row.cv_auc <= 1.0
-    assert row.tn + row.fp + row.fn + row.tp > 0
-
-
-def test_seeded_forest_is_repeatable(spark):
-    """Same predictions (exact confusion counts and settings); the float
-    metrics may differ in the last bit because Spark's ROC evaluator sums
-    areas across partitions in task-completion order."""
-    a = entry.queries()["rforest_cv"](spark, SF).first().asDict()
-    b = entry.queries()["rforest_cv"](spark, SF).first().asDict()
-    for k, v in a.items():
-        if isinstance(v, float):
-            assert abs(v - b[k]) < 1e-9, k
-        else:
-            assert v == b[k], k
+    assert (row.tn + row.fp + row.fn + row.tp, row.fn + row.tp) == _test_rows(duck_small)
+    assert row.settings == len(ml.param_grid(ml.MODELS[name][0]("f", "l"), SMALL[name]))
+
+
+def test_saved_models_score_the_same(spark, duck_small):
+    rows = mq.model_save_load_score(spark, SF, SMALL).collect()
+    n, positives = _test_rows(duck_small)
+    assert all(r.same for r in rows) and len(rows) == n * len(mq.MODEL_NAMES)
+    assert sum(r[LABEL_COLUMN] for r in rows) == positives * len(mq.MODEL_NAMES)
+
+
+def test_tuned_training_roc_runs_from_none_to_all(spark):
+    points = [(r.fpr, r.tpr) for r in mq.tuned_training_roc(spark, SF, SMALL["logreg"]).collect()]
+    assert min(points) == (0.0, 0.0) and max(points) == (1.0, 1.0)
+
+
+def test_a_model_is_not_replaced(spark, fitted):
+    from datetime import datetime
+    from attrix.sources.models import save_model
+    root = tempfile.mkdtemp(prefix="attrix-models-")
+    save_model(fitted[0], root, "lr", datetime(2025, 1, 1))
+    with pytest.raises(Exception):
+        save_model(fitted[0], root, "lr", datetime(2025, 1, 1))
+
+
+def test_scores_must_be_numbers(spark):
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1, 0.5), (0, bad)], "cancelled int, score double")
+        with pytest.raises(Exception, match="null or NaN"):
+            ev.auc_exact(df).collect()
+
+
+def test_training_partitions_follow_the_rows(spark):
+    """Arrival does not matter, and more rows make more partitions."""
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    deals = []
+    for arrived in (df.repartition(1), df.repartition(9), df.coalesce(2)):
+        dealt = ml.size_partitions(arrived, "k", rows_per_partition=100)
+        assert dealt.rdd.getNumPartitions() == 10
+        deals.append(dealt.rdd.glom().map(lambda rows: [r.k for r in rows]).collect())
+    assert deals[0] == deals[1] == deals[2]
+
+
+def test_seeded_trees_do_not_depend_on_arrival(spark):
+    frame = ml.assemble_features(churn_features(spark, SF), FEATURE_COLUMNS, ml.FEATURES_VECTOR)
+    train, test = ml.split_train_test(frame, KEY_COLUMN)
+    for build in (ml.random_forest, ml.gradient_boosted_trees):
+        scores = []
+        for n in (1, 9):
+            dealt = ml.size_partitions(train.repartition(n), KEY_COLUMN, rows_per_partition=200)
+            model = build(ml.FEATURES_VECTOR, LABEL_COLUMN, maxDepth=3).fit(dealt)
+            scores.append(model.transform(test).select(KEY_COLUMN, "probability").orderBy(KEY_COLUMN).collect())
+        assert scores[0] == scores[1]
 
 
 def test_save_load_gives_identical_scores(spark, fitted):

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -142,4 +143,87 @@ def test_jdbc_derived_table_and_bounds():
 def test_model_path_is_name_then_utc_stamp():
     from attrix.sources.models import model_path
     when = dt.datetime(2025, 3, 4, 5, 6, 7, tzinfo=dt.timezone.utc)
-    assert model_path("s3a://bucket/models/", "lr", when) == "s3a://bucket/models/lr/2025-03-04-050607"
+    assert model_path("s3a://bucket/models/", "lr", when) == "s3a://bucket/models/lr/2025-03-04-050607-000000"
+
+
+def test_fractional_priorities_are_invalid(spark):
+    df = spark.createDataFrame([("1",), ("2.5",), ("5.9",), ("5.0",), ("0",)], "incident_priority string")
+    assert [r[0] for r in filter_valid_priority(df).collect()] == ["1", "5.0"]
+
+
+def test_tenure_runs_to_today_by_default(spark):
+    import datetime
+
+    from attrix.functions.expressions import days_since
+    day = datetime.date.today() - datetime.timedelta(days=40)
+    df = spark.createDataFrame([(day,)], "d date")
+    assert df.select(days_since("d")).first()[0] in (39, 40, 41)
+
+
+def test_jdbc_reads_must_say_how_they_split(spark):
+    from attrix.sources.jdbc import read_jdbc_query
+    for options in ({}, {"partition_column": "d"}, {"partition_column": "d", "single_partition": True}, {"predicates": []}):
+        with pytest.raises(ValueError):
+            read_jdbc_query(spark, "jdbc:none:", "select 1", {}, **options)
+
+
+def test_clean_report_scans_each_source_once(spark):
+    from attrix.operators.clean import CLEAN_SPECS, clean_report
+    from attrix.sources.fixtures import read_table
+    orders = read_table(spark, "/root/testdata/sf0.001", "orders")
+    df = orders.selectExpr("o_orderkey as order_orderid", "o_orderdate as order_orderdate", "o_custkey as customer_finance_ref",
+                           "o_orderkey as orderatom_orderatomid", "o_comment as orderatom_cancelation_reason") \
+        if "o_comment" in orders.columns else None
+    if df is None:
+        df = orders.selectExpr("o_orderkey as order_orderid", "o_orderdate as order_orderdate",
+                               "o_custkey as customer_finance_ref", "o_orderkey as orderatom_orderatomid",
+                               "o_orderstatus as orderatom_cancelation_reason")
+    plan = clean_report(df, "orderatom")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and CLEAN_SPECS["orderatom"].post_filter is not None
+
+
+def test_hot_customer_join_is_split(spark):
+    """A customer with most order atoms meets one written table, so adaptive execution splits the join."""
+    from attrix.plans.features import CleanSources, analysis_frame
+    n = 40_000
+    customer = "CASE WHEN id % 10 < 9 THEN 1 ELSE id END"
+    frames = {
+        "orderatom": spark.range(n).selectExpr(
+            "id AS order_orderid", "timestamp_ntz'2020-01-01 00:00:00' AS order_orderdate", f"{customer} AS customer_finance_ref",
+            "id AS orderatom_orderatomid", "'active' AS orderatom_state", "timestamp_ntz'2020-01-01 00:00:00' AS orderatom_dateinstalled",
+            "CAST(NULL AS timestamp_ntz) AS orderatom_canceldate", "'' AS orderatom_cancelation_reason", "uuid() AS customer_name"),
+        "ticket": spark.range(n).selectExpr("id AS csi_ticket_sys_id", f"{customer} AS csi_ticket_customer_finance_ref"),
+        "assessment": spark.range(n).selectExpr(
+            "id AS asmt_result_sys_id", "'Customer Relationship Survey' AS asmt_metric_type", "1.5 AS asmt_result_actual_value",
+            f"{customer} AS asmt_customer_finance_ref"),
+        "incident": spark.range(n).selectExpr(
+            "id AS incident_number", "timestamp_ntz'2020-01-02 00:00:00' AS incident_created", "1 AS incident_priority",
+            f"{customer} AS incident_customer_finance_ref"),
+    }
+    tight = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        frame = analysis_frame(CleanSources({k: (lambda df=df: df) for k, df in frames.items()}))
+        rows = frame.groupBy("customer_finance_ref").agg(F.max("number_incidents").alias("n"), F.max("crs_score").alias("s"))
+        assert frame.write.format("noop").mode("overwrite").save() is None
+        hot = rows.filter("customer_finance_ref = 1").first()
+        assert (hot.n, hot.s) == (n * 9 // 10, n * 9 // 10 * 1.5)
+        frame.collect()
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_shared_tables_are_released(spark):
+    from attrix import session
+    session.shared_table(spark.range(5), "t")
+    path = session._written[-1]
+    assert session.release_shared_tables(spark) >= 1 and not session._written
+    import os
+    assert not os.path.exists(path.removeprefix("file:"))

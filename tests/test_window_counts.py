@@ -5,6 +5,8 @@ with tied timestamps, midnight bounds and null priorities."""
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from attrix.operators.prefix import running_totals
@@ -71,16 +73,15 @@ def test_priority_counts_match_brute_force_on_hot_customer(spark):
 
 
 def test_hot_customer_split_matches_brute_force(spark):
-    """With a tiny per-task bound the hot customer is cut into many time
-    ranges (outliers included); results must not change."""
+    """However many ranges the rows are cut into, results must not change."""
     orders, incidents = _fixture(seed=11, n_orders=120, n_incidents=900)
     orders.append((10_000, 1, None, None))              # no install date: sentinel far in the past
     oa, inc = _frames(spark, orders, incidents)
     windows = (0, 50, 100)
     names = priority_count_columns(windows=windows)
     expect = _brute([o for o in orders if o[2] is not None], incidents, (1, 2, 3, 4, 5), windows)
-    for bound in (25, 400, 10_000_000):
-        got = add_priority_counts(oa, inc, windows=windows, max_group_rows=bound)
+    for bound in (1, 9, 60, None):
+        got = add_priority_counts(oa, inc, windows=windows, ranges=bound)
         rows = {r.orderatom_orderatomid: {n: r[n] for n in names} for r in got.collect()}
         no_date = rows.pop(10_000)
         assert rows == expect, bound
@@ -89,13 +90,12 @@ def test_hot_customer_split_matches_brute_force(spark):
         assert {p: no_date[f"number_p{p}_incidents"] for p in range(1, 6)} == totals
 
 
-def test_split_running_totals_matches_single_partition(spark):
-    from attrix.operators.prefix import split_running_totals
+def test_ranged_running_totals_match_plain_sums(spark):
+    from attrix.operators.prefix import ranged_running_totals
     rnd = random.Random(9)
     rows = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randint(-5, 500), i, rnd.randint(0, 4)) for i in range(800)]
     df = spark.createDataFrame(rows, "k long, pos long, id long, v long")
-    out = split_running_totals(df, ["k"], "pos", ["pos", "id"], ["v"], max_group_rows=30,
-                               group_totals=True)
+    out = ranged_running_totals(df, ["k"], ["pos", "id"], ["v"], group_totals=True, ranges=30)
     got = {r.id: (r.v_cum, r.v_total) for r in out.collect()}
     for k, pos, i, _ in rows:
         same = [(p, j, v) for kk, p, j, v in rows if kk == k]
@@ -128,15 +128,36 @@ def test_running_totals_global_order(spark):
         assert got[i] == (expect, total)
 
 
-def test_split_position_is_monotone_in_any_session_time_zone(spark):
-    from attrix.operators.window_counts import epoch_micros
+@pytest.mark.parametrize("shape", ["burst", "same day"])
+def test_ranges_hold_like_numbers_of_rows(spark, shape):
+    """A burst, or many rows at one time that only their ids tell apart, spreads over all ranges."""
+    time = F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(F.lit(500_000) + F.col("id") % 7)
+    df = spark.range(20_000).select(F.lit(1).alias("k"), (time if shape == "burst" else F.lit(5)).alias("t"), "id",
+                                    F.lit(1).alias("v"))
+    seen = []
+    def spy(frame, name):
+        seen.append(sorted(r["count"] for r in frame.groupBy("__range").count().collect()))
+        return shared_table(frame, name)
+    from attrix.operators import prefix
+    from attrix.session import shared_table
+    prefix.shared_table = spy
+    try:
+        out = prefix.ranged_running_totals(df, ["k"], ["t", "id"], ["v"], ranges=16)
+        assert sorted(r.v_cum for r in out.collect()) == list(range(1, 20_001))
+    finally:
+        prefix.shared_table = shared_table
+    assert len(seen[0]) == 16 and seen[0][-1] <= 2 * 20_000 / 16
+
+
+def test_times_with_and_without_zone_in_any_session_zone(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")   # DST gap and overlap
         df = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-03-10 03:10:00",),
                                     ("2024-11-03 01:30:00",), ("2024-11-03 01:45:00",)], "s string")
-        df = df.select("s", F.to_timestamp_ntz("s").alias("t"))
-        got = [r.p for r in df.select("s", epoch_micros("t").alias("p")).orderBy("s").collect()]
+        df = df.select("s", F.lit(1).alias("k"), F.to_timestamp_ntz("s").alias("t"), F.lit(1).alias("v"))
+        from attrix.operators.prefix import ranged_running_totals
+        got = ranged_running_totals(df, ["k"], ["t"], ["v"], ranges=4).orderBy("s").collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
-    assert got == sorted(got) and len(set(got)) == 4
+    assert [r.v_cum for r in got] == [1, 2, 3, 4]
