@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import shared_table  # noqa: F401  (used by the operators)
 
 # A word is a maximal run of characters other than these six ASCII spaces.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -36,17 +34,5 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the folder of ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage, keeps column pruning for later reads, and survives the
-    loss of executors, because the folder is shared storage.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

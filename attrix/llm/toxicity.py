@@ -14,8 +14,9 @@ scores, which a bounded cache keeps in each Python worker.  The broadcast
 models have a fixed size (1 MB a category), the sample's ids and labels one bounded by the same parameter.
 
 Edge cases: null and empty texts have no words and get the models' base
-probability; a document with several label rows trains on each; null labels
-are skipped; a category without both labels in a training set gets its one label's
+probability; a document trains once: several label
+rows count as the largest label of each category, several rows with one id as the
+smallest text; null labels are skipped; a category without both labels in a training set gets its one label's
 value as probability, or 0 without any; an empty table gives an empty result; other
 columns are not read.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,63 +60,97 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _batch(rows: list[np.ndarray], extra: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    picked = [rows[k] for k in at.tolist()]
-    lengths = np.array([len(p) for p in picked])
-    owner = np.repeat(np.arange(len(at)), lengths)
-    scale = 1 / np.sqrt(np.maximum(lengths, 1))
-    return np.concatenate(picked), owner, scale, extra[at]
+@dataclass
+class Rows:
+    """The hashed features of many rows, end to end."""
+    features: np.ndarray
+    ends: np.ndarray
+    scale: np.ndarray  # 1 / sqrt of a row's features
 
+    @classmethod
+    def of(cls, column: pa.ChunkedArray) -> Rows:
+        """From packed 32-bit features, without a copy of each row."""
+        packed = pa.concat_arrays(column.chunks).cast(pa.large_binary())
+        bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1] // 4
+        features = np.frombuffer(packed.buffers()[2] or b"", "<i4")[bounds[0]:bounds[-1]]
+        return cls(features, bounds[1:] - bounds[0], 1 / np.sqrt(np.maximum(1, np.diff(bounds))))
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, epochs: int = 12, size: int = 128,
-               rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression by Adam: weights of the hashed features, then of ``extra``, then the bias.
+    def row(self, k: int) -> np.ndarray:
+        return self.features[self.ends[k - 1] if k else 0:self.ends[k]]
+
+    def renumbered(self, number: np.ndarray) -> Rows:
+        """Features by new numbers, without those that have none (-1); the scale stays."""
+        new = number[self.features]
+        kept = np.r_[0, np.cumsum(new >= 0)]
+        return Rows(new[new >= 0], kept[self.ends], self.scale)
+
+    def sums(self, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of the weights of the rows' features, with these features and the row of each."""
+        parts = [self.row(k) for k in at.tolist()]
+        found = np.concatenate([*parts, np.empty(0, np.int32)])
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        return np.bincount(owner, weights[found], len(parts)), found, owner
+
+
+def fit_linear(rows: Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, epochs: int = 12, least_steps: int = 1500,
+               size: int = 128, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression by Adam on the rows ``use``: weights of the hashed features, then of ``extra``, then the bias.
 
     Features on fewer than ``MIN_ROWS`` rows are left out: they only help to
     learn rows by heart.  A single label gives the bias alone.
     """
-    n = FEATURES + extra.shape[1] + 1
-    weights = np.zeros(n)
-    if not len(y) or y.min() == y.max():
-        weights[-1] = 30.0 if len(y) and y[0] else -30.0
-        return weights
-    weights[-1] = np.log(y.mean() / (1 - y.mean()))
-    mean, square, step = np.zeros(n), np.zeros(n), 0
-    known = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=FEATURES) >= MIN_ROWS
+    out = np.zeros(FEATURES + extra.shape[1] + 1)
+    share = y[use].mean() if len(use) else 0.0
+    if share in (0.0, 1.0):
+        out[-1] = 30.0 if share else -30.0
+        return out
+    seen = np.zeros(FEATURES, np.int32)
+    for k in use.tolist():
+        seen[np.unique(rows.row(k))] += 1
+    known = np.flatnonzero(seen >= MIN_ROWS)
+    number = np.full(FEATURES, -1, np.int32)
+    number[known] = np.arange(len(known))
+    rows = rows.renumbered(number)
+    m, n = len(known), len(known) + extra.shape[1] + 1
+    weights, mean, square, step = np.zeros(n), np.zeros(n), np.zeros(n), 0
+    weights[-1] = np.log(share / (1 - share))
+    parts = max(1, len(use) // size)
+    epochs = max(epochs, -(-least_steps // parts))
     rng = np.random.default_rng(SEED)
     for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // size)):
-            words, owner, scale, more = _batch(rows, extra, part)
-            z = np.bincount(owner, weights[words], len(part)) * scale + more @ weights[FEATURES:-1] + weights[-1]
-            error = (_sigmoid(z) - y[part]) / len(part)
+        for at in np.array_split(rng.permutation(use), parts):
+            total, found, owner = rows.sums(weights, at)
+            z = total * rows.scale[at] + extra[at] @ weights[m:-1] + weights[-1]
+            error = (_sigmoid(z) - y[at]) / len(at)
             slope = decay * weights
-            slope[:FEATURES] += known * np.bincount(words, (error * scale)[owner], FEATURES)
-            slope[FEATURES:-1] += error @ more
+            slope[:m] += np.bincount(found, (error * rows.scale[at])[owner], m)
+            slope[m:-1] += error @ extra[at]
             slope[-1] = error.sum()
             step += 1
             mean += 0.1 * (slope - mean)
             square += 0.001 * (slope * slope - square)
             pace = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             weights -= pace * mean / (np.sqrt(square) + 1e-8)
-    return weights
+    out[known], out[FEATURES:] = weights[:m], weights[m:]
+    return out
 
 
-def predict_linear(weights: np.ndarray, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-    if not rows:
-        return np.empty(0)
-    words, owner, scale, more = _batch(rows, extra, np.arange(len(rows)))
-    return _sigmoid(np.bincount(owner, weights[words], len(rows)) * scale + more @ weights[FEATURES:-1] + weights[-1])
+def predict_linear(weights: np.ndarray, rows: Rows, extra: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.empty(0), *[rows.sums(weights, part)[0] for part in np.array_split(at, len(at) // 256 + 1)]])
+    return _sigmoid(total * rows.scale[at] + extra[at] @ weights[FEATURES:-1] + weights[-1])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_TRAINING_ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, fold, words, <category>...) of about ``max_rows`` labelled documents, chosen by a hash of their ids."""
-    share = min(1.0, max_rows / max(1, labels.count()))
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000))
-    chosen = labels.filter(spread < int(share * 1_000_000)).select(
-        F.col(id_col).alias("__id"), *[F.col(c).cast("int").alias(c) for c in categories])
+    one = labels.groupBy(F.col(id_col).alias("__id")).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
+    one = shared_table(one, "toxicity-labels")
+    share = min(1.0, max_rows / max(1, one.count()))
+    spread = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1_000_000))
+    chosen = F.broadcast(one.filter(spread < int(share * 1_000_000)))
     texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
-    joined = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__key", "__text", *categories)
+    joined = (texts.join(chosen, F.col("__key") == F.col("__id")).groupBy("__key", *categories)
+              .agg(F.min("__text").alias("__text")).select("__key", "__text", *categories))
 
     def featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,21 +170,27 @@ def _fold_fit(category: str, earlier: Sequence[str]):
     def fitted(table: pa.Table) -> pa.Table:
         """Fit without one fold and predict it; without none (-1), return the weights."""
         table = table.sort_by([("key", "ascending"), ("row", "ascending")])
-        words = [np.frombuffer(w, "<u4").astype(np.int64) for w in table["words"].to_pylist()]
-        extra = np.stack([table[p].to_numpy() for p in earlier], axis=1) if earlier else np.empty((len(words), 0))
+        ids, rows = table["row"].to_numpy(), Rows.of(table["words"])
+        extra = np.stack([table[p].to_numpy() for p in earlier], axis=1) if earlier else np.empty((len(ids), 0))
         y = table[category].to_numpy().astype(float)  # null labels become NaN
         without = table["without"][0].as_py()
         held = table["fold"].to_numpy() == without
+        del table
         use, out = np.flatnonzero(~held & ~np.isnan(y)), np.flatnonzero(held)
-        weights = fit_linear([words[i] for i in use], extra[use], y[use])
-        guess = predict_linear(weights, [words[i] for i in out], extra[out])
+        weights = fit_linear(rows, extra, y, use)
+        guess = predict_linear(weights, rows, extra, out)
         model = [weights.astype("<f4").tobytes()] if without < 0 else []
-        return pa.table({"row": pa.array([*table["row"].to_numpy()[out].tolist(), *[None] * len(model)], pa.int64()),
+        return pa.table({"row": pa.array([*ids[out].tolist(), *[None] * len(model)], pa.int64()),
                          "p": pa.array([*guess.tolist(), *[None] * len(model)], pa.float64()),
                          "weights": pa.array([*[None] * len(out), *model], pa.binary())})
     return fitted
 
 
+def _never(earlier: int) -> np.ndarray:
+    """The model of a category without any labelled row."""
+    return np.r_[np.zeros(FEATURES + earlier), -30.0]
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray, most_false: float = 0.002) -> float:
     """The cut of held-out probabilities with the best F1, with at most ``most_false`` of the negatives above it."""
     if not len(y) or y.min() == y.max():
@@ -175,7 +217,7 @@ def fit_chain(sample: DataFrame, categories: Sequence[str]) -> tuple[list[np.nda
                 .applyInArrow(_fold_fit(category, earlier), "row long, p double, weights binary"))
         fits = shared_table(fits, f"chain-{k}")
         found = fits.filter("weights is not null").select("weights").collect()  # one row of fixed size
-        models.append(np.frombuffer(found[0][0], "<f4") if found else fit_linear([], np.empty((0, k)), np.empty(0)))
+        models.append(np.frombuffer(found[0][0], "<f4") if found else _never(k))
         rows = rows.join(fits.filter("row is not null").select("row", F.col("p").alias(f"p_{category}")), "row")
         held = rows.filter(F.col(category).isNotNull()).select(f"p_{category}", category).toArrow()
         thresholds.append(best_threshold(held[0].to_numpy(), held[1].to_numpy()))
