@@ -5,14 +5,14 @@ words; what is cut off is shared again by weight.  A source
 is then taken ``r = target / size`` times: every document ``floor(r)`` times, and
 once more with the probability ``r - floor(r)``.  The cube method draws these
 extra copies: it moves the vector of inclusion probabilities through the null
-space of two constraints, documents and words, so each move keeps both totals
-of the source, until at most two documents a group are still undecided.
+space of two constraints, documents and words, so each move keeps both totals,
+until at most two documents are still undecided: a small landing problem.
 
 Groups are buckets of one source with about ``bucket_rows`` documents each, so a source with a
-third of all rows is many groups.  The undecided leftovers (two a group) are
-bucketed again, level after level, until each source fits one group; there a
-landing drops the constraints one by one.  Only ids, sizes and sources are
-shuffled.  Draws are seeded by source, bucket and level, so reruns agree.
+third of all rows is many groups.  Within a group, flights run by size class
+from long to short documents; what the landing of a class gains or loses is
+carried into the next, so a group misses its share by a few short documents'
+words.  Only ids, sizes and sources are shuffled.  Draws are seeded by source and bucket, so reruns agree.
 
 Edge cases: null text has size 0 and is drawn like any other; a null source is
 a source of its own, last in order; null ids are allowed; repeated rows are
@@ -65,38 +65,48 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     return totals.withColumn("target", F.least(cap, F.col("weight") * factor))
 
 
-def fly(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Move inclusion probabilities to 0 or 1, keeping their sum and size-weighted sum.
-
-    At most two stay between 0 and 1, unless ``land``: then the words
-    constraint is dropped, and then the documents one.
-    """
+def fly(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Move inclusion probabilities towards 0 or 1, keeping their sum and size-weighted sum; at most two stay between."""
     chance = chance.astype(float).tolist()
     size = size.astype(float).tolist()
-    waiting = iter(range(len(chance)))
     active: list[int] = []
-    draws = iter(rng.random(2 * len(chance) + 4).tolist())
-    while True:
-        for k in waiting:
-            if 0.0 < chance[k] < 1.0:
-                active.append(k)
-                if len(active) == 3:
-                    break
-        if len(active) < 3:
-            break
-        a, b, c = active
-        move = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if not any(move):
-            move = (1.0, -1.0, 0.0)
-        active = _step(chance, active, move, next(draws))
-    if land:
-        if len(active) == 2:
-            active = _step(chance, active, (1.0, -1.0), next(draws))
-        for k in active:
-            chance[k] = 1.0 if next(draws) < chance[k] else 0.0
+    draws = iter(rng.random(len(chance) + 4).tolist())
+    for k in range(len(chance)):
+        if 0.0 < chance[k] < 1.0:
+            active.append(k)
+        if len(active) == 3:
+            a, b, c = active
+            move = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
+            active = _step(chance, active, move if any(move) else (1.0, -1.0, 0.0), next(draws))
     return np.array(chance)
 
 
+def land(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Draw 0 or 1 for all documents.
+
+    Flights run by size class, longest first.  The one or two documents that a flight
+    leaves land by dropping the words constraint and then the documents one; the words
+    this gains or loses are carried into the probabilities of the next class, so what
+    remains at the end is a few short documents' worth.
+    """
+    out = np.zeros(len(size))
+    kind = np.floor(np.log2(np.maximum(size, 1)))
+    carry = 0.0
+    for k in np.unique(kind)[::-1]:
+        at = np.flatnonzero(kind == k)
+        words = size[at].sum()
+        wanted = (chance[at] * size[at]).sum() + carry
+        drawn = fly(size[at], np.clip(chance[at] + carry / max(words, 1), 0.0, 1.0), rng).tolist()
+        open_ = [i for i, p in enumerate(drawn) if 0.0 < p < 1.0]
+        if len(open_) == 2:
+            open_ = _step(drawn, open_, (1.0, -1.0), rng.random())
+        for i in open_:
+            drawn[i] = 1.0 if rng.random() < drawn[i] else 0.0
+        out[at] = drawn
+        carry = wanted - (out[at] * size[at]).sum()
+    return out
+
+
 def _step(chance: list[float], active: list[int], move: Sequence[float], draw: float) -> list[int]:
     """One random move along ``move`` or against it, as far as the cube allows; who is still undecided."""
     ahead = back = float("inf")
@@ -115,14 +125,15 @@ def _step(chance: list[float], active: list[int], move: Sequence[float], draw: f
     return left
 
 
-def _flight(land: bool, level: int, seed: int):
+def _landed(seed: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("size", "descending"), ("doc_id", "ascending")]))
         source = rows["source"][0].as_py()
         name = 1 << 32 if source is None else zlib.crc32(source.encode())
-        rng = np.random.default_rng([seed, level, name, rows["bucket"][0].as_py()])
-        chance = fly(rows["size"].to_numpy(), rows["chance"].to_numpy(), rng, land)
-        return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(chance))
+        rng = np.random.default_rng([seed, name, rows["bucket"][0].as_py()])
+        extra = land(rows["size"].to_numpy(), rows["chance"].to_numpy(), rng).astype(np.int64)
+        copies = pc.add(rows["whole"], pa.array(extra))
+        return rows.select(["doc_id", "size", "source", "source_size", "target"]).append_column("copies", copies)
     return run
 
 
@@ -136,28 +147,11 @@ def draw_copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat
     rows = sized.join(renamed, F.col("source").eqNullSafe(F.col("__source")))
     rows = rows.select("doc_id", "size", "source", "source_size", "target", "n", F.floor(near).alias("whole"),
                        (near - F.floor(near)).alias("chance"))
-    out = None
-    todo, level, largest = rows, 0, targets.agg(F.max("n")).first()[0] or 0
-    while True:
-        last = largest <= bucket_rows
-        buckets = F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1)) if not last else F.lit(1)
-        todo = todo.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), buckets).cast("int"))
-        done = todo.groupBy("source", "bucket").applyInArrow(_flight(last, level, seed), todo.schema)
-        done = shared_table(done, f"flight-{level}")
-        open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
-        decided = done.filter(~open_)
-        out = decided if out is None else out.unionByName(decided)
-        if last:
-            break
-        todo, level = done.filter(open_), level + 1
-        counts = todo.groupBy("source").agg(F.count(F.lit(1)).alias("__left"))
-        largest = counts.agg(F.max("__left")).first()[0] or 0
-        if largest > bucket_rows:
-            counts = counts.withColumnRenamed("source", "__source")
-            todo = (todo.join(counts, F.col("source").eqNullSafe(F.col("__source")))
-                    .withColumn("n", F.col("__left")).drop("__source", "__left"))
-    copies = (F.col("whole") + F.col("chance")).cast("long")
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"))
+    buckets = F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), buckets).cast("int"))
+    drawn = rows.groupBy("source", "bucket").applyInArrow(
+        _landed(seed), "doc_id long, size long, source string, source_size long, target double, copies long")
+    return shared_table(drawn, "mix-draws")
 
 
 def mix_decisions(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = 3.0, id_col: str = "doc_id",

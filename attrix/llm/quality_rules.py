@@ -39,9 +39,9 @@ class Fence:
 
 
 FENCES = (
-    Fence("mean_word", 1.0, two_sided=True),
+    Fence("mean_word", 1.5, two_sided=True),
     Fence("symbol_rate", 0.03),
-    Fence("dup_line_rate", 0.20),
+    Fence("dup_line_rate", 0.40),
     Fence("repeat_rate", 0.10),
 )
 

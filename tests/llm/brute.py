@@ -139,3 +139,20 @@ def pieces(text, tokenizer, capacity=2048):
         part = ids[start:start + capacity]
         out.append((k, start, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))))
     return out
+
+
+def spread_lines(docs, min_sites):
+    """docs: [(doc_id, text, source)] -> [(doc_id, text)] without cross-site lines but in their first documents."""
+    sites, first = defaultdict(set), {}
+    for doc_id, text, source in docs:
+        for line in (text or "").split("\n"):
+            if words(line):
+                sites[line].add(source or "")
+                if doc_id is not None:
+                    first[line] = min(first.get(line, doc_id), doc_id)
+    out = []
+    for doc_id, text, _ in docs:
+        kept = [x for x in (text or "").split("\n")
+                if not words(x) or len(sites[x]) < min_sites or (doc_id is not None and first.get(x) == doc_id)]
+        out.append((doc_id, None if text is None else "\n".join(kept)))
+    return out
