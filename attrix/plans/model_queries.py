@@ -185,6 +185,29 @@ def q_univariate_report(spark, sf):
                                        "weighted_f1 double")
 
 
+def q_univariate_check(spark, sf):
+    """M4/T1 in figures: per feature, training and test rows, training positives, and whether
+    the unregularised fit's mean residual is near zero, as its gradient demands."""
+    frame = ml.stable_training_frame(churn_features(spark, sf), KEY_COLUMN)
+    train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO, ml.UNIVARIATE_SEED)
+    test_rows = test_all.count()
+
+    def one(feature):
+        vec = f"{feature}_vector"
+        train = ml.assemble_features(train_all.select(feature, LABEL_COLUMN), [feature], vec, True)
+        residual = F.col(LABEL_COLUMN) - vector_to_array("probability")[1]
+        row = ml.logistic_regression(vec, LABEL_COLUMN).fit(train).transform(train).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL_COLUMN) == 1).alias("positives"),
+            F.abs(F.avg(residual)).alias("gradient")).first()
+        return feature, row.n, row.positives, test_rows, row.gradient < 1e-3
+
+    with ThreadPoolExecutor(max_workers=len(FEATURE_COLUMNS)) as pool:
+        rows = list(pool.map(one, FEATURE_COLUMNS))
+    frame.unpersist()
+    return spark.createDataFrame(rows, "feature string, train_rows bigint, train_positives bigint, test_rows bigint, "
+                                       "gradient_near_zero boolean")
+
+
 def tuned_training_roc(spark, sf, grid: dict | None = None) -> DataFrame:
     """E8 as the original reads it: ROC of the best logistic model's training
     summary, with the training rows and positives behind it."""
@@ -247,6 +270,7 @@ MODEL_QUERIES = {
     "auc_exact": q_auc_exact,
     "roc_curve": q_roc_curve,
     "univariate_report": q_univariate_report,
+    "univariate_check": q_univariate_check,
     "logreg_cv": lambda spark, sf: tuned_report(spark, sf, "logreg"),
     "dtree_cv": lambda spark, sf: tuned_report(spark, sf, "dtree"),
     "rforest_cv": lambda spark, sf: tuned_report(spark, sf, "rforest"),
@@ -351,9 +375,18 @@ def _per_model(select: str) -> str:
                           "GROUP BY model, settings", "features", local=[("test_rows", _TEST_ROWS)])
 
 
+_UNIVARIATE_CUT = int(round(ml.UNIVARIATE_TRAIN_RATIO * 1000))
+_FEATURE_VALUES = ", ".join(f"('{c}')" for c in FEATURE_COLUMNS)
+
 MODEL_ORACLES = {
-    "tuning_check": _per_model("settings, count(*) AS test_rows, count_if(cancelled = 1) AS positives"),
-    "model_reload_check": _per_model("count(*) AS test_rows, count_if(cancelled = 1) AS positives, "
+    "univariate_check": osql.with_ctes(
+        "SELECT feature, CAST(count_if(train) AS BIGINT) AS train_rows, "
+        "CAST(count_if(train AND cancelled = 1) AS BIGINT) AS train_positives, "
+        "CAST(count_if(NOT train) AS BIGINT) AS test_rows, true AS gradient_near_zero "
+        f"FROM (SELECT cancelled, {_bucket_sql(ml.UNIVARIATE_SEED)} < {_UNIVARIATE_CUT} AS train FROM features) t, "
+        f"(VALUES {_FEATURE_VALUES}) AS f(feature) GROUP BY feature", "features"),
+    "tuning_check": _per_model("settings, count(*) AS test_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positives"),
+    "model_reload_check": _per_model("count(*) AS test_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positives, "
                                      "CAST(0 AS BIGINT) AS changed"),
     "assemble_features": osql.with_ctes(
         "SELECT orderatom_orderatomid, " + ", ".join(f"CAST({c} AS DOUBLE) AS vec_{c}"
