@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
 
-MAX_TRAINING_ROWS = 20_000
+MAX_TRAINING_ROWS = 10_000
 FOLDS = 4
 FEATURES = 1 << 18
 MIN_ROWS = 4
