@@ -1,9 +1,8 @@
-import os
-import sys
+"""Fixtures of the text operator tests (imported there by name)."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -30,7 +29,6 @@ def nothing(messy):
 
 @pytest.fixture(scope="session")
 def small(spark):
-    from conftest_paths import SF
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 

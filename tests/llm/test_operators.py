@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest_paths import SF
+from llm_fixtures import SF, messy, nothing, small, small_rows  # noqa: F401
 from oracle_helpers import compare, duck
 from pyspark.sql import functions as F
 
