@@ -6,7 +6,7 @@ probabilities of the categories before it.  While training, those earlier
 probabilities are predicted out of fold, so a later model learns from
 probabilities as good as it will meet on new text.
 
-Training uses all labelled rows up to about ``max_training_rows`` (a bounded
+Training uses all labelled rows up to about ``max_rows`` (a bounded
 sample by a hash of the id: the documented bound of this operator), so a fold
 fits one task; the folds of a category train side by side.  Scoring covers every row and whole
 text without a shuffle: a linear model over distinct words is a sum of word
