@@ -198,6 +198,19 @@ def test_packing(messy, nothing, small):
     assert packing.pack_documents(nothing, queries.tokenizer_path()).count() == 0
 
 
+def test_words_apart_equal_whole_texts():
+    """Cached word by word, or in a cache that overflows, tokens are those of the whole text."""
+    al = "aBcÄöéÉßñçİıſKÅﬁ ǅ'’`.,!?;:-1234567890½²٣中文ひらк РӜ\u0301\u200d\u00a0\u2003 \t\n\x1c😀#$%<|>\"ªº"
+    rng = np.random.default_rng(5)
+    texts = ["".join(al[k] for k in rng.integers(0, len(al), rng.integers(1, 40))) for _ in range(8000)]
+    texts += ["don't I'LL we've 'S x's. a.b,c word.,! ...word, É\u0301., <|endoftext|> word<|endoftext|>", ""]
+    for limit in (1_000_000, 50):
+        tokens = packing.WordTokens(queries.tokenizer_path(), limit)
+        for text in texts:
+            ids = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(tokens.encode(text.encode()), "<u4").tolist() == ids, text
+
+
 def test_crossover_and_evolution():
     rng = np.random.default_rng(3)
     lengths = rng.integers(300, 1100, 400)
