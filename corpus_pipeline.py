@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 from attrix.llm import line_spread, mixing, ngram_join, packing, queries, toxicity
 from attrix.llm.common import load, shared_table
 
+# Near duplicates share 80% of their 5-word shingles; op8's contract (4 words, 85%) binds that query only.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, queries.toxicity_labels(spark, sf_dir))
@@ -31,7 +35,7 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays, once; documents without an id stay."""
-    groups = ngram_join.similar_documents(docs)
+    groups = ngram_join.similar_documents(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     stays = groups.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
     kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")

@@ -377,6 +377,18 @@ def test_pipeline_against_plain_versions(spark):
         before, docs = rows, spark.createDataFrame(rows, docs.schema)
 
 
+def test_near_duplicates_of_the_stage(spark):
+    """One changed word in 50: similar at 5 words and 80%, not at 4 words and 85%."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:25], "other", *base[26:]])), (3, " ".join(base[::-1]))]
+    assert {i for i, _, c in brute.similar(rows) if i == c} == {1, 2, 3}
+    stay = {i for i, _, c in brute.similar(rows, n=5, percent=80) if i == c}
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in got.collect()} == stay == {1, 3}
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline
 
