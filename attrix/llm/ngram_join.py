@@ -13,9 +13,11 @@ inverted lists of single elements, against light sets near ``x`` too.
 Short lists give pairs with the number of elements they share, summed over
 lists; pairs that share too few to be similar go.  The nodes of a long list are not
 paired: they meet in groups under the list's smallest node, by size class, and a
-group finds its exact links by matrix products and returns a spanning forest.
-Groups are cut into blocks, so no task holds more than two blocks.  Together
-every similar pair is checked exactly or lies within one component already.
+group finds its exact links by matrix products.  It returns how many links each
+node has there and, for the components, a spanning forest.  Groups are cut into
+blocks, so no task holds more than two blocks.  Every similar pair is checked
+exactly, and counted once: in the smallest of the groups that both nodes belong
+to, or as a pair of short lists if there is none.
 
 Texts are scanned three times and never shuffled: for sets and counters, for
 prefixes, and for the whole sets of candidates only.  What is broadcast has a
@@ -27,7 +29,7 @@ Shingle hashes and set digests have 64 bits; equal hashes count as equal.
 Edge cases: texts without words have empty sets and link with nothing; with
 fewer words than ``n``, the whole sequence is the one shingle; documents with
 a null id link with nothing and get a null component; rows that repeat are
-copies of one node; an empty table gives an empty result; other columns are not read.
+copies of one node and link once an id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -226,12 +228,8 @@ def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
         "shared": pa.array(np.r_[shared, np.zeros(len(groups), np.int64)], pa.int32())})
 
 
-def _group_links(table: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the similar pairs among a group's sets."""
-    nodes = table["node"].to_numpy()
-    nodes, first = np.unique(nodes, return_index=True)
-    blobs = table["elements"]
-    sets = [np.frombuffer(blobs[int(k)].as_py(), "<u8") for k in first]
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of any two sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
@@ -246,18 +244,42 @@ def _group_links(table: pa.Table, percent: int) -> pa.Table:
         part = np.zeros((len(sets), width), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         common += part @ part.T
-    shared = common.astype(np.int32)
-    sizes = sizes.astype(np.int32)
+    return common.astype(np.int32)
+
+
+LINKED = "a long, b long, n long"
+
+
+def _group_links(table: pa.Table, percent: int) -> pa.Table:
+    """Of the similar pairs among a group's sets: a spanning forest (a, b, null) and the links counted here (a, null, n)."""
+    nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+    blobs, places = table["elements"], table["groups"]
+    sets = [np.frombuffer(blobs[int(k)].as_py(), "<u8") for k in first]
+    sizes = np.array([len(s) for s in sets], np.int32)
+    shared = _common(sets)
+    del sets
     similar = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    label = np.arange(len(sets), dtype=np.int32)
+    label = np.arange(len(nodes), dtype=np.int32)
     while True:
-        lowest = np.where(similar, label[None, :], np.int32(len(sets))).min(axis=1)
+        lowest = np.where(similar, label[None, :], np.int32(len(nodes))).min(axis=1)
         lowest = np.minimum(label, lowest)[np.minimum(label, lowest)]
         if (lowest == label).all():
             break
         label = lowest
-    joined = label != np.arange(len(sets))
-    return pa.table({"a": pa.array(nodes[joined], pa.int64()), "b": pa.array(nodes[label[joined]], pa.int64())})
+    joined = label != np.arange(len(nodes))
+
+    own, copies = table["own"].to_numpy()[first], table["copies"].to_numpy()[first].astype(float)
+    here = table["group"][0].as_py()
+    smaller = [np.array([g for g in places[int(k)].as_py() if g < here], np.int64) for k in first]
+    counted = similar & (_common(smaller) == 0)
+    if table["i"][0].as_py() != table["j"][0].as_py():
+        counted &= own[:, None] != own[None, :]
+    np.fill_diagonal(counted, False)
+    links = (counted @ copies).astype(np.int64)
+    some = links > 0
+    return pa.table({"a": pa.array(np.r_[nodes[joined], nodes[some]], pa.int64()),
+                     "b": pa.array([*nodes[label[joined]].tolist(), *[None] * int(some.sum())], pa.int64()),
+                     "n": pa.array([*[None] * int(joined.sum()), *links[some].tolist()], pa.int64())})
 
 
 # --------------------------------------------------------------- components
@@ -304,7 +326,7 @@ def _bloom(ids: DataFrame, fan: int = 16) -> np.ndarray:
 
 def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (of a spanning forest, by node)."""
+    """One row per document: doc_id, n_shingles, component_id, n_links (the number of similar documents)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     parts = shared_table(texts.mapInArrow(lambda batches: _set_rows(batches, n),
@@ -359,16 +381,18 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     pairs = (met.filter("kind = 0").groupBy("a", "b", "a_size", "b_size").agg(F.sum("shared").alias("shared"))
              .filter(F.col("shared") >= overlap - F.greatest(beyond(a), beyond(b))).select("a", "b"))
     pairs = shared_table(pairs, "pairs")
-    members = met.filter("kind = 1").select(F.col("a").alias("leader"), F.col("a_size").alias("class"),
-                                            F.col("b").alias("node")).distinct()
+    # a group is named by a hash of its leader and class
+    members = met.filter("kind = 1").select(F.xxhash64("a", "a_size").alias("group"), F.col("b").alias("node")).distinct()
     members = shared_table(members, "members")
-    groups = (members.groupBy("leader", "class").count().filter("count > 1")
-              .select("leader", "class", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-
-    wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-              .unionByName(members.select("node")).distinct())
-    reps = linkable.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    wanted = shared_table(reps.join(wanted, "node", "left_semi"), "candidates")
+    groups = (members.groupBy("group").count().filter("count > 1")
+              .select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+
+    places = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
+    wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+              .join(places, "node", "full").withColumn("groups", F.coalesce("groups", F.array().cast("array<long>"))))
+    reps = linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
+    reps = shared_table(reps, "distinct-sets")
+    wanted = shared_table(reps.join(wanted, "node"), "candidates")
     bloom = spark.sparkContext.broadcast(_bloom(wanted.select("rep")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,38 +407,47 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
                                                  names=["rep", "node", "elements"])
 
     elements = shared_table(texts.mapInArrow(whole, "rep long, node long, elements binary")
-                            .join(wanted, ["node", "rep"], "left_semi").select("node", "elements"), "candidate-sets")
+                            .join(wanted, ["node", "rep"]).select("node", "elements", "copies", "groups"), "candidate-sets")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(5), batch.column(6)):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(keep, pa.bool_()))
 
-    one = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    other = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    pair_links = pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    one = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"), F.col("copies").alias("a_copies"),
+                          F.col("groups").alias("a_groups"))
+    other = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("copies").alias("b_copies"),
+                            F.col("groups").alias("b_groups"))
+    apart = ~F.arrays_overlap("a_groups", "b_groups")  # else the pair is counted in a group
+    pair_links = (pairs.join(other, "b").join(one, "a").select("a", "b", "a_copies", "b_copies", apart.alias("apart"), "x", "y")
+                  .mapInArrow(verified, "a long, b long, a_copies long, b_copies long, apart boolean").distinct())
+    pair_links = shared_table(pair_links, "pair-links")
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (members.join(groups, ["leader", "class"]).withColumn("own", block)
+    dealt = (members.join(groups, "group").withColumn("own", block)
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("leader", "class", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node"))
-    group_links = (dealt.join(elements, "node").groupBy("leader", "class", "i", "j")
-                   .applyInArrow(lambda t: _group_links(t, percent), "a long, b long"))
+             .select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "own"))
+    group_links = shared_table(dealt.join(elements, "node").groupBy("group", "i", "j")
+                               .applyInArrow(lambda t: _group_links(t, percent), LINKED), "group-links")
 
-    links = shared_table(pair_links.unionByName(group_links).distinct(), "links")
+    links = pair_links.select("a", "b").unionByName(group_links.filter("n is null").select("a", "b"))
     roots = connected(links)
-    named = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    named = reps.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     named = shared_table(named, "nodes")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
-    classes = shared_table(named.join(lowest, "root").join(degree, "node", "left").select("node", "component_id", "n_links"),
+    counted = pair_links.filter("apart")
+    degree = (counted.select(F.col("a").alias("node"), F.col("b_copies").alias("n"))
+              .unionByName(counted.select(F.col("b").alias("node"), F.col("a_copies").alias("n")))
+              .unionByName(group_links.filter("n is not null").select(F.col("a").alias("node"), "n"))
+              .groupBy("node").agg(F.sum("n").alias("others")))
+    n_links = (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    classes = shared_table(named.join(lowest, "root").join(degree, "node", "left").select("node", "component_id", n_links),
                            "components")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sets.join(classes, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))

@@ -71,6 +71,19 @@ def similar(docs, n=4, percent=85):
     return sorted(out + [(None, len(shingles(t, n)), None) for i, t in docs if i is None], key=repr)
 
 
+def link_counts(docs, n=4, percent=85):
+    """docs: [(doc_id, text)], unique ids -> {doc_id: number of similar documents}."""
+    sets = [(i, shingles(t, n)) for i, t in docs if i is not None]
+    out = dict.fromkeys((i for i, _ in sets), 0)
+    for k, (i, s) in enumerate(sets):
+        for j, other in sets[:k]:
+            common = len(s & other)
+            if common and 100 * common >= percent * (len(s) + len(other) - common):
+                out[i] += 1
+                out[j] += 1
+    return out
+
+
 def quality(text, size=5):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     w = words(text)

@@ -280,6 +280,25 @@ def test_similar_families(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute.similar(rows)
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_links_are_all_counted(spark, monkeypatch, block):
+    """n_links is the number of similar documents, in pairs, families cut into blocks and copies alike."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = [(None, "a text without an id")]
+    for family, (size, members, edits) in enumerate([(120, 45, 6), (300, 30, 25), (24, 30, 1), (60, 8, 2)]):
+        for _ in range(members):
+            text = [f"f{family}w{k}" for k in range(size)]
+            for at in rng.integers(0, size, rng.integers(0, edits + 1)):
+                text[at] = f"e{rng.integers(1 << 30)}"
+            rows += [(len(rows) + k, " ".join(text)) for k in range(int(rng.integers(1, 3)))]
+    rows.append((None, rows[1][1]))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.link_counts(rows)
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == want and max(want.values()) > 20
+    assert [r.n_links for r in got if r.doc_id is None] == [0, 0]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (101, 103), (102, 100)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.root for r in ngram_join.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
