@@ -15,7 +15,9 @@ lists; pairs that share too few to be similar go.  The nodes of a long list are
 paired: they meet in groups under the list's smallest node, by size class, and a
 group finds its exact links by matrix products.  It returns how many links each
 node has there and, for the components, a spanning forest.  Groups are cut into
-blocks, so no task holds more than two blocks.  Every similar pair is checked
+blocks by sets and bytes, so no task holds more than two blocks.  Elements that
+the counters show on ``HOT_LEVEL`` or more have lists of any length: those are dealt by
+node, not by element, and only their smallest node is looked for per element.  Every similar pair is checked
 exactly, and counted once: in the smallest of the groups that both nodes belong
 to, or as a pair of short lists if there is none.
 
@@ -53,6 +55,8 @@ CELLS = 1 << 20
 BLOOM_BITS = 1 << 24
 SHORT_LIST = 16
 BLOCK = 500
+BLOCK_BYTES = 8 << 20
+HOT_LEVEL = 160  # 65,536 sets or more
 BUCKET_ENTRIES = 1 << 19
 SCAN_COST = 4.0
 # Odd multipliers that tell the words of a shingle apart (fixed values).
@@ -154,20 +158,24 @@ def _ordered(elements: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return elements[np.argsort((level << np.uint64(56)) | (elements >> np.uint64(8)), kind="stable")]
 
 
-def _postings(elements: np.ndarray, levels: np.ndarray, limit: int, percent: int) -> np.ndarray:
-    """What a set posts: single elements (even values) and 2-subsets (odd values)."""
+def _postings(elements: np.ndarray, levels: np.ndarray, limit: int, percent: int,
+              hot_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set posts: single elements (even values) and 2-subsets (odd values), and which of them can have hot lists."""
     size = len(elements)
     if 100 * size < percent * (size + 1):
-        return np.empty(0, np.uint64)  # only equal sets are similar
+        return np.empty(0, np.uint64), np.empty(0, bool)  # only equal sets are similar
     ordered = _ordered(elements, levels)
-    out = []
+    hot = levels[ordered >> np.uint64(44)] >= hot_level
+    out, some = [], []
     if size > limit or 100 * size >= percent * limit:
         out.append(ordered[:int(prefix_length(size, percent))] & ~np.uint64(1))
+        some.append(hot[:len(out[0])])
     if size <= limit:
         first = ordered[:int(_pair_prefix(size, percent))]
         i, j = np.triu_indices(len(first), 1)
         out.append(mixed(first[i] * np.uint64(PLACES[0]) + first[j] * np.uint64(PLACES[1])) | np.uint64(1))
-    return np.concatenate(out)
+        some.append(hot[i] & hot[j])
+    return np.concatenate(out), np.concatenate(some)
 
 
 # -------------------------------------------------------------------- lists
@@ -179,7 +187,11 @@ MET = "kind int, a long, b long, a_size int, b_size int, shared int"
 
 
 def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
-    """Pairs of short lists (kind 0) and members of long lists' groups (kind 1: a is the leader, a_size the class)."""
+    """Pairs of short lists (kind 0) and members of long lists' groups (kind 1: a is the leader, a_size the class).
+
+    A bucket below 0 holds the hot postings of some nodes: kind 2, a is the posting and a_size the class.
+    """
+    hot = table["bucket"][0].as_py() < 0
     posts, nodes, sizes = [], [], []
     for p, which, n, s in zip(*[table[c].to_pylist() for c in ("posts", "which", "nodes", "sizes")]):
         which = np.frombuffer(which, "<u4")
@@ -191,6 +203,10 @@ def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
     posts, nodes, sizes = posts[order], nodes[order], sizes[order]
     once = np.r_[True, (posts[1:] != posts[:-1]) | (nodes[1:] != nodes[:-1])]
     posts, nodes, sizes = posts[once], nodes[once], sizes[once]
+    if hot:
+        return pa.table({"kind": pa.array(np.full(len(posts), 2), pa.int32()), "a": pa.array(posts.view(np.int64)),
+                         "b": pa.array(nodes), "a_size": pa.array(_size_class(sizes, percent), pa.int32()),
+                         "b_size": pa.array(sizes, pa.int32()), "shared": pa.array(np.zeros(len(posts), np.int32))})
     starts = run_starts(posts)
     lengths = np.diff(np.r_[starts, len(posts)])
 
@@ -345,22 +361,25 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, posts = {}, [], []
+            nodes, sizes, posts, hot = {}, [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 elements = shingle_set(text, n)
                 if doc is None or not len(elements) or (node := node_of(elements)) in nodes:
                     continue
                 nodes[node] = len(nodes)
                 sizes.append(len(elements))
-                posts.append(_postings(elements, levels.value, limit, percent))
+                own, some = _postings(elements, levels.value, limit, percent, HOT_LEVEL)
+                posts.append(own)
+                hot.append(some)
             if not posts:
                 continue
             which = np.repeat(np.arange(len(posts)), [len(p) for p in posts])
-            posts = np.concatenate(posts)
+            posts, hot = np.concatenate(posts), np.concatenate(hot)
+            names, sizes = np.array(list(nodes), np.int64), np.array(sizes, np.int32)
             bucket = (posts >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(posts), np.int64)
+            bucket[hot] = -1 - (names[which[hot]] >> (63 - bits))  # a node has 63 bits
             order = np.argsort(bucket, kind="stable")
             starts = run_starts(bucket[order])
-            names, sizes = np.array(list(nodes), np.int64), np.array(sizes, np.int32)
             out = []
             for rows in np.split(order, starts[1:]) if len(order) else []:
                 own, local = np.unique(which[rows], return_inverse=True)
@@ -382,10 +401,16 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
              .filter(F.col("shared") >= overlap - F.greatest(beyond(a), beyond(b))).select("a", "b"))
     pairs = shared_table(pairs, "pairs")
     # a group is named by a hash of its leader and class
-    members = met.filter("kind = 1").select(F.xxhash64("a", "a_size").alias("group"), F.col("b").alias("node")).distinct()
+    hot = met.filter("kind = 2")
+    leaders = hot.groupBy("a").agg(F.min("b").alias("leader"))
+    hot = (hot.join(leaders, "a").select(F.col("leader").alias("a"), "b", F.explode(F.array("a_size", F.col("a_size") + 1)).alias("a_size"),
+                                         "b_size"))
+    members = (met.filter("kind = 1").select("a", "b", "a_size", "b_size").unionByName(hot)
+               .select(F.xxhash64("a", "a_size").alias("group"), F.col("b").alias("node"), F.col("b_size").alias("size")).distinct())
     members = shared_table(members, "members")
-    groups = (members.groupBy("group").count().filter("count > 1")
-              .select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(8 * F.col("sizes") / BLOCK_BYTES)).cast("int")
+    groups = (members.groupBy("group").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
+              .filter("count > 1").select("group", blocks.alias("blocks")))
 
     places = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
     wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

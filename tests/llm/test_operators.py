@@ -299,6 +299,37 @@ def test_links_are_all_counted(spark, monkeypatch, block):
     assert [r.n_links for r in got if r.doc_id is None] == [0, 0]
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 4000])
+def test_hot_lists(spark, monkeypatch, block_bytes):
+    """A family on a third of all rows: no task meets a whole list, blocks are cut by bytes, results stay."""
+    monkeypatch.setattr(ngram_join, "HOT_LEVEL", 40)
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 100)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
+    met, groups = ngram_join._met, ngram_join._group_links
+
+    def bounded(table, *options):
+        out = met(table, *options)
+        assert all(table["bucket"][0].as_py() < 0 or n <= 16 for n in Counter(out.filter(out["kind"].to_numpy() == 1)["a"].to_pylist()).values())
+        return out
+
+    def small(table, percent):
+        total = sum(len(e.as_py()) for e in table["elements"])
+        assert block_bytes > 4000 or total <= 6 * block_bytes, total
+        return groups(table, percent)
+
+    monkeypatch.setattr(ngram_join, "_met", bounded)
+    monkeypatch.setattr(ngram_join, "_group_links", small)
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"r{rng.integers(1 << 30)}" for _ in range(40))) for k in range(100)]
+    for k in range(60):
+        text = [f"w{j}" for j in range(40 if k < 30 else 200)]
+        text[int(rng.integers(0, len(text)))] = f"e{rng.integers(1 << 30)}"
+        rows.append((1000 + k, " ".join(text)))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute.similar(rows)
+    assert {r.doc_id: r.n_links for r in got} == brute.link_counts(rows)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (101, 103), (102, 100)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.root for r in ngram_join.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
