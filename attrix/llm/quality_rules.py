@@ -7,6 +7,9 @@ documents.  A group with fewer than ``min_group`` documents uses the sketch
 merged over its language.  The fences lie far out (``reach`` times the
 distance from the median to the 90th percentile, plus a fixed slack), so that
 they reject documents unlike the rest of their group and not its tail.
+For symbols and repeated lines the 90th percentile is that of a normal bulk with the
+group's quartile, so that up to a quarter of junk in a group does not move its fence beyond
+the junk; where three quarters of a group have none, the fence is the slack above zero.
 
 DataFrame functions only.  The sketches are pre-aggregated on the map side, so
 a source with a third of all rows costs one sketch a task; only measures, no
@@ -28,20 +31,22 @@ from attrix.llm.common import shared_table, without_spaces, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+TO_TENTH = 1.9  # a normal's distance from median to 90th percentile, in distances to its 75th
 
 
 @dataclass(frozen=True)
 class Fence:
-    """A rule on one measure: ``slack`` is added to the fitted distance."""
+    """A rule on one measure: ``slack`` is added to the fitted distance, which ``by_quartile`` fits to the lower three quarters."""
     measure: str
     slack: float
     two_sided: bool = False
+    by_quartile: bool = False
 
 
 FENCES = (
     Fence("mean_word", 1.5, two_sided=True),
-    Fence("symbol_rate", 0.03),
-    Fence("dup_line_rate", 0.40),
+    Fence("symbol_rate", 0.03, by_quartile=True),
+    Fence("dup_line_rate", 0.40, by_quartile=True),
     Fence("repeat_rate", 0.10),
 )
 
@@ -118,7 +123,8 @@ def fitted_fences(measured: DataFrame, fences: tuple[Fence, ...] = FENCES, lang_
         def quantile(rank: float, sketch=sketch) -> Column:
             return F.kll_sketch_get_quantile_double(sketch, F.lit(rank).cast("double"))
 
-        middle, high = quantile(0.5), quantile(0.9)
+        middle = quantile(0.5)
+        high = middle + TO_TENTH * (quantile(0.75) - middle) if f.by_quartile else quantile(0.9)
         out.append((high + reach * (high - middle) + f.slack).alias(f"{f.measure}_high"))
         if f.two_sided:
             low = quantile(0.1)

@@ -360,6 +360,16 @@ def test_thresholds_follow_the_group(spark):
     assert got[5000] and not got[5001] and got[0] and got[1000]
 
 
+def test_junk_does_not_move_its_fence(spark):
+    """A source with 15% of junk lines rejects them, as one with less does."""
+    def text(k, junk):
+        return " ".join(f"w{k}x{j} ##|" if junk else f"word{k}x{j}" for j in range(30))
+    rows = [(1000 * share + k, "en", f"s{share}", text(k, k < 3 * share)) for share in (2, 15) for k in range(300)]
+    got = quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+    assert {r.doc_id for r in got.filter("array_contains(failed, 'symbol_rate')").collect()} == {
+        i for i, _, s, _ in rows if i % 1000 < 3 * int(s[1:])}
+
+
 # --------------------------------------------------------------- 10 toxicity
 def test_toxicity(spark, messy, nothing):
     rng = np.random.default_rng(4)
