@@ -60,8 +60,9 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 10, b
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
                       site_col: str = "source") -> DataFrame:
     """``docs`` with cross-site lines cut from the text, plus n_lines and n_removed (lines with a word)."""
+    site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit(""))  # null is not the empty string
     lines = shared_table(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
+        docs.select(F.col(id_col).alias("doc_id"), site.alias("site"),
                     F.explode(F.array_distinct(F.filter(_lines(F.col(text_col)), _has_word))).alias("line"))
         .select("doc_id", "site", line_hash(F.col("line")).alias("hash")), "lines")
     spread = shared_table(spread_lines(lines, min_sites), "spread-lines")

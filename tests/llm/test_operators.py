@@ -114,6 +114,13 @@ def test_spread_lines(spark, messy, nothing):
     assert line_spread.drop_spread_lines(nothing).count() == 0
 
 
+def test_null_and_empty_sites_differ(spark):
+    """Eight named sites, the empty string and null are ten sites."""
+    rows = [(k, "shared", s) for k, s in enumerate([*[f"s{j}" for j in range(8)], "", None])]
+    cut = line_spread.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id, r.n_removed) for r in cut.collect()) == [(k, int(k > 0)) for k in range(10)]
+
+
 def test_near_threshold_lines_are_exact(spark):
     """Even a coarse sketch decides as an exact count does."""
     rows = [(line * 100 + s, f"line {line}", f"site {s}") for line in range(40) for s in range(20 + line)]
