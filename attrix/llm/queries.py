@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import (exact_dedup, line_spread, mixing, ngram_join, packing, quality_rules, sharding,
-                        substring_dedup, toxicity, url_reputation)
-from attrix.llm.common import load
+from attrix.llm import (exact_dedup, line_spread, mixing, ngram_join, packing, periodic_runs, quality_rules, sharding,
+                        substring_dedup, suffix_tree, token_alignment, toxicity, url_reputation)
+from attrix.llm.common import load, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(load(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir))
 
 
+def id_hash() -> Column:
+    """CRC-32 of the decimal doc_id, unsigned (null id: null)."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(load(spark, sf_dir, "documents"), id_hash() % 10 == 0)
+
+
+def looped_documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the contract asks for it, the words from ``a`` on repeat those of the first ``p``."""
+    w, n, g = words(F.col("text")), F.size("w"), F.floor(F.col("h") / 10)
+    a, p = (F.col("g") % n), F.lit(1) + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    looped = docs.select("doc_id", "text", id_hash().alias("h")).filter("h % 10 = 0")
+    looped = looped.select("doc_id", "text", w.alias("w"), g.alias("g"))
+    looped = looped.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    place = lambda i: (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    word = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", place(i))))
+    looped = looped.select("doc_id", F.when(n > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", "text").filter(F.coalesce(id_hash() % 10 != 0, F.lit(True))).unionByName(looped)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped_documents(load(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"),
+                                                               r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    written = F.concat(F.array_join(lines, "\n"), F.when(F.size(runs) > 0, "\n").otherwise(""))
+    return (found.withColumn("best", longest)
+            .select("doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+                    (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+                    F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                    F.sha2(written, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256")))
+
+
+def alignment_tokenizers() -> token_alignment.Tokenizers:
+    import public_tokenizers
+
+    return token_alignment.Tokenizers(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"),
+                                      tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(load(spark, sf_dir, "documents"), alignment_tokenizers())
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +140,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_tree": op11_suffix_tree,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
