@@ -91,13 +91,9 @@ def clean_view(df: DataFrame, view: str, apply_filter: bool = True) -> DataFrame
     return out
 
 
-def clean_report(df: DataFrame, view: str) -> DataFrame:
-    """Rows per cleaning stage as a long table (view, stage, row_count).
-
-    One scan and one grouped aggregate: each key carries its rows, its rows
-    without nulls and its survivor, and a sum over the keys gives every stage.
-    """
-    spec = CLEAN_SPECS[view]
+def counted_survivors(df: DataFrame, spec: CleanSpec) -> DataFrame:
+    """C1 with its counts: one row per key with the key's rows (``_loaded``), those without nulls (``_present``)
+    and, if there are any, the survivor's columns (else nulls).  One grouped aggregate with a map-side step."""
     keys = list(spec.key_columns)
     present = F.lit(True)
     for c in spec.null_columns:
@@ -105,10 +101,25 @@ def clean_report(df: DataFrame, view: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_loaded"), F.count_if(present).alias("_present"),
                                     F.min(F.when(present, F.struct(*rest))).alias("_survivor"))
+    return per_key.select("_loaded", "_present", *keys, "_survivor.*")
+
+
+def clean_report(df: DataFrame, view: str) -> DataFrame:
+    """Rows per cleaning stage as a long table (view, stage, row_count).
+
+    One scan and one grouped aggregate: each key carries its rows, its rows
+    without nulls and its survivor, and a sum over the keys gives every stage.
+    """
+    spec = CLEAN_SPECS[view]
+    stages = stage_counts(spec)
+    counted = counted_survivors(df, spec).agg(*[F.coalesce(n, F.lit(0)).alias(name) for name, n in stages.items()])
+    stack = ", ".join(f"'{name}', `{name}`" for name in stages)
+    return counted.select(F.lit(view).alias("view_name"), F.expr(f"stack({len(stages)}, {stack}) AS (stage, row_count)"))
+
+
+def stage_counts(spec: CleanSpec) -> dict[str, Column]:
+    """The aggregates of :func:`counted_survivors` that give the rows of each cleaning stage, in order."""
     stages = {"loaded": F.sum("_loaded"), "not_null": F.sum("_present"), "deduplicated": F.count_if(F.col("_present") > 0)}
-    rows = per_key.select("_loaded", "_present", *keys, "_survivor.*")
     if spec.post_filter is not None:
         stages[spec.post_filter_name] = F.count_if((F.col("_present") > 0) & spec.post_filter())
-    counted = rows.agg(*[F.coalesce(n, F.lit(0)).alias(name) for name, n in stages.items()])
-    stack = ", ".join(f"'{name}', `{name}`" for name in stages)
-    return counted.select(F.lit(view).alias("view_name"), F.expr(f"stack({len(stages)}, {stack}) AS (stage, row_count)"))
+    return stages

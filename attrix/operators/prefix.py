@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.session import shared_table
+from attrix.session import shared_table, table_bytes
+
+RANGE_BYTES = 32 << 20  # of the written, compressed rows
 
 
 def running_totals(df: DataFrame, keys, bucket: str, order, values,
@@ -71,13 +73,18 @@ def ranged_running_totals(df: DataFrame, keys, order, values, suffix: str = "_cu
     their range number, so a range holds about as many rows as any other,
     whatever the keys, bursts or ties: a hot key spreads over many ranges and
     small keys share one.  ``order`` must tell the rows of a key apart, or
-    rows that tie on all of it stay in one range.  The number of ranges is the
-    session's shuffle partitions (adaptive execution joins small neighbours)
-    unless ``ranges`` is given; it does not change the sums.
+    rows that tie on all of it stay in one range.
+
+    The rows are written before they are cut: the range bounds come from a sample of that table, so what
+    builds ``df`` runs once, and a range holds about ``RANGE_BYTES`` of it.  The number of ranges
+    (given by ``ranges``, else by those bytes, the session's shuffle partitions at least, of which adaptive
+    execution joins small ones) does not change the sums.
     """
     keys, order = list(keys), list(order)
-    count = [] if ranges is None else [ranges]
-    cut = df.repartitionByRange(*count, *keys, *order).withColumn("__range", F.spark_partition_id())
+    rows = shared_table(df, "ranges-in")
+    if ranges is None:
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table_bytes(rows) // RANGE_BYTES))
+    cut = rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id())
     out = running_totals(shared_table(cut, "ranges"), keys, "__range", order, values, suffix=suffix,
                          group_totals=group_totals)
     return out.drop("__range")

@@ -14,7 +14,9 @@ incidents makes the join quadratic in one task.  Instead:
   :func:`ranged_running_totals`, which cuts the stream into ranges of like
   size, so a hot customer, a burst or a day of many installations spreads over many tasks;
 * counts with no date condition are the per-customer totals of the same pass,
-  carried on its small offsets table.
+  carried on its small offsets table;
+* the counts are written before they are joined to the order atoms, so both join sides are plain
+  exchanges and adaptive execution splits a hot customer or (customer, day).
 
 Results equal the pairwise definition (``count(DISTINCT incident_number)`` on
 deduplicated incidents, null when no incident matches).
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from attrix.functions.expressions import window_upper_bound
 from attrix.operators.prefix import ranged_running_totals
+from attrix.session import shared_table
 
 # ---------------------------------------------------------------------------
 # Priorities and day windows of the incident count columns
@@ -158,12 +161,12 @@ def add_priority_counts(orderatoms: DataFrame, incidents: DataFrame, priorities=
     """
     names = [priority_count_column(p, n) for p in priorities for n in windows]
     if any(n > 0 for n in windows):
-        counts = priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed,
-                                        ranges)
+        counts = shared_table(priority_window_counts(orderatoms, incidents, priorities, windows, customer, installed,
+                                                     ranges), "window-counts")
         cond = (F.col(customer) == F.col("_cust")) & (_install_key(installed) == F.col("_d"))
         out = orderatoms.join(counts, cond, "left_outer").drop("_cust", "_d")
     else:
-        totals = priority_totals_per_customer(incidents, priorities)
+        totals = shared_table(priority_totals_per_customer(incidents, priorities), "priority-totals")
         out = orderatoms.join(totals, F.col(customer) == F.col("_cust"), "left_outer").drop("_cust")
     return out.select(*orderatoms.columns, *[_nullif_zero(F.col(n)).alias(n) for n in names])
 
@@ -175,10 +178,10 @@ def incident_partners(orderatoms: DataFrame, incidents: DataFrame,
     """J5, re-aimed: what the order-atom-to-incident left join yields per order
     atom (partner count, first/last incident time) without emitting the pairs.
     """
-    per_customer = incidents.groupBy(F.col(inc_customer).alias("_cust")).agg(
+    per_customer = shared_table(incidents.groupBy(F.col(inc_customer).alias("_cust")).agg(
         F.count(F.lit(1)).alias("incident_partners"),
         F.min(created).alias("first_incident_created"),
-        F.max(created).alias("last_incident_created"))
+        F.max(created).alias("last_incident_created")), "partners")
     joined = orderatoms.join(per_customer, orderatoms[customer] == per_customer["_cust"], "left_outer")
     return joined.select("orderatom_orderatomid",
                          F.coalesce("incident_partners", F.lit(0)).alias("incident_partners"),
@@ -201,9 +204,9 @@ def incidents_before_cancel(orderatoms: DataFrame, incidents: DataFrame,
                   .select("_cust", "_t", F.lit(_AT_OR_BEFORE).alias("_tie"),
                           F.coalesce(F.col("_t"), no_date).alias("_c")))
     counted = incident_prefix_counts(incidents, query_rows, priorities=(), group_totals=True)
-    per_key = counted.select(
+    per_key = shared_table(counted.select(
         "_cust", "_c",
-        F.when(F.col("_t").isNull(), F.col("_n_all_total")).otherwise(F.col("_n_all")).alias("_n"))
+        F.when(F.col("_t").isNull(), F.col("_n_all_total")).otherwise(F.col("_n_all")).alias("_n")), "before-cancel")
     cond = ((F.col(customer) == F.col("_cust"))
             & (F.coalesce(F.col(cancel_date), no_date) == F.col("_c")))
     joined = orderatoms.join(per_key, cond, "left_outer")

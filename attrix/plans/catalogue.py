@@ -8,18 +8,22 @@ and runs over the whole tables; nothing is sampled or capped.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.operators import aggregates as agg
 from attrix.operators import window_counts as wc
+from attrix.operators.bucketed import BucketedTables
 from attrix.operators.clean import (CLEAN_SPECS, clean, clean_report, clean_view, drop_duplicate_rows,
                                    drop_null_rows, filter_valid_priority)
-from attrix.operators.joins import JOIN_TYPES, join_on_keys
+from attrix.operators.clean_store import CleanStore, clean_and_count
+from attrix.operators.joins import JOIN_TYPES, join_aggregate, join_on_keys
 from attrix.plans import oracle_sql as osql
 from attrix.plans.features import (DEFAULT_ANALYSIS_DATE, KEY_COLUMN, analysis_frame, churn_features, feature_frame,
                                    label_orderatoms, load_clean_sources)
+from attrix.session import settled, shared_folder, shared_table
 from attrix.sources.fixtures import VIEW_COLUMNS, load_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +76,24 @@ def q_clean_report(spark, sf):
     return out
 
 
+def _clean_in_batches(view: str) -> Query:
+    """Two batches into a store of survivors; rows of one key may come with either."""
+    def run(spark, sf):
+        rows = load_view(spark, sf, view)
+        store = CleanStore(spark, shared_folder(spark, f"store-{view}"), view)
+        batch = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+        for k in (0, 1):
+            store.merge(rows.filter(batch == k))
+        return store.clean()
+    return run
+
+
+def q_clean_counts_on_write(spark, sf):
+    """C3 without a scan of its own: the counts observed while the cleaned views are written."""
+    reports = [clean_and_count(load_view(spark, sf, v), v, shared_folder(spark, f"clean-{v}"))[1] for v in VIEW_COLUMNS]
+    return reduce(DataFrame.unionByName, reports)
+
+
 # --------------------------------------------------------------------- joins
 def _labeled(spark, sf):
     src = load_clean_sources(spark, sf)
@@ -110,7 +132,7 @@ def q_join_types(spark, sf):
 def _feat(column: str, builder, keys, round_to: int | None = None) -> Query:
     def run(spark, sf):
         src, labeled = _labeled(spark, sf)
-        joined = join_on_keys(labeled, builder(src), keys, "left_outer")
+        joined = join_aggregate(labeled, builder(src), keys)
         value = F.col(column) if round_to is None else F.round(column, round_to)
         return joined.select(KEY_COLUMN, value.alias(column))
     return run
@@ -129,6 +151,24 @@ def q_orderatom_incident_join(spark, sf):
     return wc.incident_partners(labeled, src.incident)
 
 
+def q_orderatom_incident_bucketed(spark, sf):
+    """J5 and A5 from tables stored by customer: grouped and joined in their buckets, hot customers apart."""
+    def per_customer(incidents, key):
+        return incidents.groupBy(key).agg(
+            F.count(F.lit(1)).alias("incident_partners"), F.min("incident_created").alias("first_incident_created"),
+            F.max("incident_created").alias("last_incident_created"))
+
+    def build():
+        src, labeled = _labeled(spark, sf)
+        stored = BucketedTables(spark, {"orderatoms": (labeled.select(KEY_COLUMN, "customer_finance_ref"), "customer_finance_ref"),
+                                        "incidents": (src.incident, "incident_customer_finance_ref")})
+        return stored.join_aggregate("orderatoms", "incidents", per_customer).select(
+            KEY_COLUMN, F.coalesce("incident_partners", F.lit(0)).alias("incident_partners"),
+            "first_incident_created", "last_incident_created")
+
+    return settled(spark, build, "bucketed-partners")
+
+
 # ---------------------------------------------------------------- aggregates
 def q_row_count(spark, sf):
     return agg.row_count(churn_features(spark, sf))
@@ -147,6 +187,18 @@ def q_agg_incidents(spark, sf):
     return agg.incidents_per_customer(load_clean_sources(spark, sf).incident)
 
 
+def q_agg_incidents_distinct(spark, sf):
+    """A4 on the raw view, whose rows repeat: distinct incidents per customer and month, and (month null) per customer,
+    rolled up from the months' bitmaps."""
+    customer, number = "incident_customer_finance_ref", "incident_number"
+    rows = load_view(spark, sf, "incident").where(f"{customer} is not null and incident_created is not null").select(
+        customer, F.date_trunc("month", "incident_created").cast("date").alias("month"), number)
+    months = shared_table(agg.distinct_bitmaps(rows, [customer, "month"], number), "incident-bitmaps")
+    totals = agg.count_bitmaps(agg.merge_bitmaps(months, [customer]), [customer], "number_incidents")
+    per_month = agg.count_bitmaps(months, [customer, "month"], "number_incidents")
+    return per_month.unionByName(totals.withColumn("month", F.lit(None).cast("date")))
+
+
 def _priority_counts(windows) -> Query:
     def run(spark, sf):
         src, labeled = _labeled(spark, sf)
@@ -217,6 +269,9 @@ DATA_QUERIES: dict[str, Query] = {
     "filter_test_orders": q_filter_test_orders,
     "filter_valid_priority": q_filter_valid_priority,
     "clean_report": q_clean_report,
+    "clean_incident_in_batches": _clean_in_batches("incident"),
+    "clean_orderatom_in_batches": _clean_in_batches("orderatom"),
+    "clean_counts_on_write": q_clean_counts_on_write,
     "join_diff_key": q_join_diff_key,
     "join_same_key": q_join_same_key,
     "join_types": q_join_types,
@@ -224,10 +279,12 @@ DATA_QUERIES: dict[str, Query] = {
     "feat_crs_score": q_feat_crs_score,
     "feat_incidents": q_feat_incidents,
     "orderatom_incident_join": q_orderatom_incident_join,
+    "orderatom_incident_bucketed": q_orderatom_incident_bucketed,
     "row_count": q_row_count,
     "agg_complaints": q_agg_complaints,
     "agg_crs_score": q_agg_crs_score,
     "agg_incidents": q_agg_incidents,
+    "agg_incidents_distinct": q_agg_incidents_distinct,
     "incident_priority_total": q_incident_priority_total,
     "incident_priority_window": q_incident_priority_window,
     "incident_priority_counts": q_incident_priority_counts,
@@ -296,6 +353,14 @@ def _priority_subset_sql(windows) -> str:
     return f"SELECT orderatom_orderatomid, {', '.join(names)} FROM ({osql.priority_counts_sql()}) t"
 
 
+_PARTNERS_SQL = osql.with_ctes(
+    "SELECT o.orderatom_orderatomid, count(i.incident_number) AS incident_partners, "
+    "min(i.incident_created) AS first_incident_created, "
+    "max(i.incident_created) AS last_incident_created FROM labeled o "
+    "LEFT JOIN incident_c i ON o.customer_finance_ref = i.incident_customer_finance_ref "
+    "GROUP BY o.orderatom_orderatomid", "labeled", "incident_c")
+
+
 DATA_ORACLES: dict[str, str] = {
     "scan_incident": osql.with_ctes(f"SELECT {_cols('incident')} FROM fx_incident", "fx_incident"),
     "scan_orderatom": osql.with_ctes(f"SELECT {_cols('orderatom')} FROM fx_orderatom", "fx_orderatom"),
@@ -318,6 +383,9 @@ DATA_ORACLES: dict[str, str] = {
         "SELECT * FROM incident_c WHERE TRY_CAST(incident_priority AS INTEGER) BETWEEN 1 AND 5",
         "incident_c"),
     "clean_report": _clean_report_sql(),
+    "clean_incident_in_batches": osql.with_ctes("SELECT * FROM incident_c", "incident_c"),
+    "clean_orderatom_in_batches": osql.with_ctes("SELECT * FROM orderatom_f", "orderatom_f"),
+    "clean_counts_on_write": _clean_report_sql(),
     "join_diff_key": osql.with_ctes(
         "SELECT l.orderatom_orderatomid, l.customer_finance_ref, c.csi_ticket_customer_finance_ref, "
         "c.number_complaints FROM labeled l JOIN complaints c "
@@ -333,17 +401,19 @@ DATA_ORACLES: dict[str, str] = {
         "SELECT orderatom_orderatomid, round(crs_score, 6) AS crs_score FROM analysis", "analysis"),
     "feat_incidents": osql.with_ctes("SELECT orderatom_orderatomid, number_incidents FROM analysis",
                                      "analysis"),
-    "orderatom_incident_join": osql.with_ctes(
-        "SELECT o.orderatom_orderatomid, count(i.incident_number) AS incident_partners, "
-        "min(i.incident_created) AS first_incident_created, "
-        "max(i.incident_created) AS last_incident_created FROM labeled o "
-        "LEFT JOIN incident_c i ON o.customer_finance_ref = i.incident_customer_finance_ref "
-        "GROUP BY o.orderatom_orderatomid", "labeled", "incident_c"),
+    "orderatom_incident_join": _PARTNERS_SQL,
+    "orderatom_incident_bucketed": _PARTNERS_SQL,
     "row_count": osql.with_ctes("SELECT count(*) AS row_count FROM features", "features"),
     "agg_complaints": osql.with_ctes("SELECT * FROM complaints", "complaints"),
     "agg_crs_score": osql.with_ctes(
         "SELECT asmt_customer_finance_ref, round(crs_score, 6) AS crs_score FROM crs", "crs"),
     "agg_incidents": osql.with_ctes("SELECT * FROM incidents", "incidents"),
+    "agg_incidents_distinct": osql.with_ctes(
+        "SELECT incident_customer_finance_ref, month, count(DISTINCT incident_number) AS number_incidents FROM "
+        "(SELECT *, CAST(date_trunc('month', incident_created) AS DATE) AS month FROM fx_incident "
+        "WHERE incident_customer_finance_ref IS NOT NULL AND incident_created IS NOT NULL) t "
+        "GROUP BY GROUPING SETS ((incident_customer_finance_ref, month), (incident_customer_finance_ref)) "
+        "HAVING count(DISTINCT incident_number) > 0", "fx_incident"),
     "incident_priority_total": _priority_subset_sql((0,)),
     "incident_priority_window": _priority_subset_sql((50,)),
     "incident_priority_counts": osql.priority_counts_sql(),

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,31 +144,10 @@ def auc_evaluator(label_col: str) -> BinaryClassificationEvaluator:
                                          metricName="areaUnderROC")
 
 
-def cross_validate(estimator, grid: dict, train: DataFrame, label_col: str,
-                   folds: int = NUM_FOLDS, parallelism: int = 8, seed: int = MODEL_SEED):
-    """K-fold cross-validation by area under ROC, folds from ``FOLD_COLUMN``
-    when present (deterministic), else seeded random folds.  Settings are
-    fitted ``parallelism`` at a time; each fit is itself a distributed job."""
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=param_grid(estimator, grid),
-                        evaluator=auc_evaluator(label_col), numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    if FOLD_COLUMN in train.columns:
-        cv = cv.setFoldCol(FOLD_COLUMN)
-    return cv.fit(train)
-
-
 def describe_params(param_map: dict) -> str:
     return ", ".join(f"{p.name}={v}" for p, v in sorted(param_map.items(), key=lambda kv: kv[0].name))
 
 
-def leaderboard_rows(model_name: str, cv_model) -> list[tuple]:
-    """One row per grid setting with its mean and std fold metric."""
-    stds = cv_model.stdMetrics or [None] * len(cv_model.avgMetrics)
-    return [(model_name, i, describe_params(pm), float(avg), None if sd is None else float(sd))
-            for i, (pm, avg, sd) in enumerate(zip(cv_model.getEstimatorParamMaps(),
-                                                   cv_model.avgMetrics, stds))]
-
-
 def coefficient_rows(lr_model, feature_names) -> list[tuple]:
     """Coefficients by feature, plus the intercept."""
     coefs = lr_model.coefficients.toArray().tolist()

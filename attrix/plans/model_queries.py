@@ -8,7 +8,7 @@ the tests.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrix.plans import evaluate as ev
-from attrix.plans import ml
+from attrix.plans import ml, tuning
 from attrix.plans import oracle_sql as osql
 from attrix.plans.features import FEATURE_COLUMNS, KEY_COLUMN, LABEL_COLUMN, churn_features
 from attrix.plans.scoring import margin_sql, score_logistic
-from attrix.session import ensure_checkpoint_dir, shared_table
-from attrix.sources.models import load_model, save_model
+from attrix.session import ensure_checkpoint_dir, settled, shared_table
+from attrix.sources.models import load_latest, save_model
 
 MODEL_NAMES = ("logreg", "dtree", "rforest", "gbt")
 
@@ -81,6 +81,14 @@ def q_auc_exact(spark, sf):
     return ev.auc_exact(scored_test(spark, sf), LABEL_COLUMN, "margin")
 
 
+def q_auc_histogram(spark, sf):
+    """E1 from mergeable histograms: bounds of the area and its middle, from two batches' bins added up."""
+    scored = scored_test(spark, sf)
+    batch = F.pmod(F.xxhash64(KEY_COLUMN), F.lit(2))
+    bins = ev.merge_histograms(*[ev.score_histogram(scored.filter(batch == k), LABEL_COLUMN) for k in (0, 1)])
+    return ev.auc_bounds(bins)
+
+
 def q_roc_curve(spark, sf):
     return ev.roc_points(scored_test(spark, sf), LABEL_COLUMN, "margin")
 
@@ -91,21 +99,11 @@ def _model_frames(spark, sf, seed=ml.MODEL_SEED, ratio=ml.MODEL_TRAIN_RATIO, fea
     return ml.model_frames(frame, KEY_COLUMN, ratio, seed)
 
 
-# Tuned models of this session by (application, fingerprint of the training rows, model, grid):
-# several queries report on the same search, which need not run again.
-_tuned_models: dict[tuple, CrossValidatorModel] = {}
-
-
-def _tune(model_name: str, train: DataFrame, grid: dict | None = None) -> CrossValidatorModel:
-    """Cross-validate a model over its full grid (or ``grid``)."""
-    factory, full = ml.MODELS[model_name]
-    grid = full if grid is None else grid
-    rows = train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(KEY_COLUMN, LABEL_COLUMN, ml.FOLD_COLUMN, F.hash(
-        vector_to_array(ml.FEATURES_VECTOR))).cast("decimal(38,0)"))).first()
-    key = (train.sparkSession.sparkContext.applicationId, tuple(rows), model_name, repr(sorted(grid.items())))
-    if key not in _tuned_models:
-        _tuned_models[key] = ml.cross_validate(factory(ml.FEATURES_VECTOR, LABEL_COLUMN), grid, train, LABEL_COLUMN)
-    return _tuned_models[key]
+def _tuned(spark, sf, names, grids: dict | None = None) -> tuple[dict[str, CrossValidatorModel], DataFrame, DataFrame]:
+    """Tuned models by name (full grids unless given), with the training and test rows behind them."""
+    train, test = _model_frames(spark, sf)
+    wanted = {name: (grids or {}).get(name) or ml.MODELS[name][1] for name in names}
+    return tuning.tuned_models(train, wanted, KEY_COLUMN, LABEL_COLUMN), train, test
 
 
 def _test_metrics_row(spark, model_name, cv_model, test) -> DataFrame:
@@ -129,107 +127,107 @@ def _test_metrics_row(spark, model_name, cv_model, test) -> DataFrame:
 
 def tuned_report(spark, sf, model_name: str, grid: dict | None = None) -> DataFrame:
     """Search the full grid (or ``grid``) by 5-fold CV and test the best model."""
-    train, test = _model_frames(spark, sf)
-    out = _test_metrics_row(spark, model_name, _tune(model_name, train, grid), test)
+    models, train, test = _tuned(spark, sf, [model_name], {model_name: grid})
+    out = _test_metrics_row(spark, model_name, models[model_name], test)
     train.unpersist()
     return out
 
 
 def cv_leaderboard(spark, sf, grids: dict | None = None) -> DataFrame:
-    """Every setting of all four models (or of ``grids``) with its fold metrics."""
+    """Every setting of all four models (or of ``grids``) with its fold metrics, from the ledger."""
     train, _ = _model_frames(spark, sf)
-    rows = []
-    for name in MODEL_NAMES:
-        rows += ml.leaderboard_rows(name, _tune(name, train, grids and grids[name]))
+    wanted = {name: (grids or {}).get(name) or ml.MODELS[name][1] for name in MODEL_NAMES}
+    found = tuning.search(train, wanted, KEY_COLUMN, LABEL_COLUMN)
     train.unpersist()
+    rows = [row for name in MODEL_NAMES for row in tuning.leaderboard(found[name])]
     return spark.createDataFrame(rows, "model string, setting int, params string, "
                                        "avg_auc double, std_auc double")
 
 
 def logreg_coefficients(spark, sf, grid: dict | None = None) -> DataFrame:
     """Coefficients of the best logistic model."""
-    train, _ = _model_frames(spark, sf)
-    best = _tune("logreg", train, grid).bestModel
+    models, train, _ = _tuned(spark, sf, ["logreg"], {"logreg": grid})
     train.unpersist()
-    return spark.createDataFrame(ml.coefficient_rows(best, FEATURE_COLUMNS), "term string, coefficient double")
+    return spark.createDataFrame(ml.coefficient_rows(models["logreg"].bestModel, FEATURE_COLUMNS),
+                                 "term string, coefficient double")
 
 
-def q_univariate_report(spark, sf):
-    """One default logistic fit per feature on a 70/30 split.
+def _univariate_scored(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """One default logistic fit per feature on a 70/30 split; the (training, test) rows as each
+    model scores them, one row per feature and row: feature, label, score (the margin), prediction.
 
-    The per-feature fits are independent, so they are submitted together from
-    a driver thread pool (as ``CrossValidator(parallelism=...)`` does); each
-    fit is itself a distributed job.
+    The fits are independent and submitted together; each is itself a distributed job.
     """
     frame = ml.stable_training_frame(churn_features(spark, sf), KEY_COLUMN)
-    train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO,
-                                              ml.UNIVARIATE_SEED)
-    auc_eval = ml.auc_evaluator(LABEL_COLUMN)
+    train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO, ml.UNIVARIATE_SEED)
 
     def one(feature):
         vec = f"{feature}_vector"
-        train = ml.assemble_features(train_all.select(feature, LABEL_COLUMN), [feature], vec, True)
-        test = ml.assemble_features(test_all.select(feature, LABEL_COLUMN), [feature], vec, True)
+        train, test = (ml.assemble_features(rows.select(feature, LABEL_COLUMN), [feature], vec, True)
+                       for rows in (train_all, test_all))
         model = ml.logistic_regression(vec, LABEL_COLUMN).fit(train)
-        pred = model.transform(test)
-        # AUC as the evaluator computes it; the four multiclass metrics in one aggregate
-        w = ev.weighted_metrics(pred).first()
-        return (feature, float(auc_eval.evaluate(pred)), w.accuracy, w.weighted_precision,
-                w.weighted_recall, w.weighted_f1)
-
-    with ThreadPoolExecutor(max_workers=len(FEATURE_COLUMNS)) as pool:
-        rows = list(pool.map(one, FEATURE_COLUMNS))
+        return [model.transform(rows).select(F.lit(feature).alias("feature"), LABEL_COLUMN,
+                                             ev.positive_score().alias("score"), "prediction") for rows in (train, test)]
+
+    with tuning.JobPool(spark, len(FEATURE_COLUMNS)) as pool:
+        scored = list(pool.run([lambda f=f: one(f) for f in FEATURE_COLUMNS]))
     frame.unpersist()
-    return spark.createDataFrame(rows, "feature string, auc double, accuracy double, "
-                                       "weighted_precision double, weighted_recall double, "
-                                       "weighted_f1 double")
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*scored))
+
+
+def q_univariate_report(spark, sf):
+    """AUC and weighted metrics of each one-feature model on its test rows, from two keyed aggregates."""
+    def build():
+        _, test = _univariate_scored(spark, sf)
+        test = shared_table(test, "univariate-test")
+        auc = ev.auc_exact(test, LABEL_COLUMN, "score", by=["feature"])
+        return auc.join(ev.weighted_metrics(test, LABEL_COLUMN, by=["feature"]), "feature")
+    return settled(spark, build, "univariate-report")
+
+
+def q_univariate_roc(spark, sf):
+    """E8 per feature: the ROC curves of the six one-feature models on their training rows, in one pass."""
+    def build():
+        train, _ = _univariate_scored(spark, sf)
+        return ev.roc_curves(shared_table(train, "univariate-train"), ["feature"], LABEL_COLUMN, "score")
+    return settled(spark, build, "univariate-roc")
 
 
 def q_univariate_check(spark, sf):
     """M4/T1 in figures: per feature, training and test rows, training positives, and whether
     the unregularised fit's mean residual is near zero, as its gradient demands."""
-    frame = ml.stable_training_frame(churn_features(spark, sf), KEY_COLUMN)
-    train_all, test_all = ml.split_train_test(frame, KEY_COLUMN, ml.UNIVARIATE_TRAIN_RATIO, ml.UNIVARIATE_SEED)
-    test_rows = test_all.count()
-
-    def one(feature):
-        vec = f"{feature}_vector"
-        train = ml.assemble_features(train_all.select(feature, LABEL_COLUMN), [feature], vec, True)
-        residual = F.col(LABEL_COLUMN) - vector_to_array("probability")[1]
-        row = ml.logistic_regression(vec, LABEL_COLUMN).fit(train).transform(train).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL_COLUMN) == 1).alias("positives"),
-            F.abs(F.avg(residual)).alias("gradient")).first()
-        return feature, row.n, row.positives, test_rows, row.gradient < 1e-3
-
-    with ThreadPoolExecutor(max_workers=len(FEATURE_COLUMNS)) as pool:
-        rows = list(pool.map(one, FEATURE_COLUMNS))
-    frame.unpersist()
-    return spark.createDataFrame(rows, "feature string, train_rows bigint, train_positives bigint, test_rows bigint, "
-                                       "gradient_near_zero boolean")
+    def build():
+        train, test = _univariate_scored(spark, sf)
+        residual = F.col(LABEL_COLUMN) - 1 / (1 + F.exp(-F.col("score")))
+        fits = train.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("train_rows"), F.count_if(F.col(LABEL_COLUMN) == 1).alias("train_positives"),
+            (F.abs(F.avg(residual)) < 1e-3).alias("gradient_near_zero"))
+        return fits.join(test.groupBy("feature").agg(F.count(F.lit(1)).alias("test_rows")), "feature")
+    return settled(spark, build, "univariate-check")
 
 
 def tuned_training_roc(spark, sf, grid: dict | None = None) -> DataFrame:
     """E8 as the original reads it: ROC of the best logistic model's training
     summary, with the training rows and positives behind it."""
-    train, _ = _model_frames(spark, sf)
-    best = _tune("logreg", train, grid).bestModel
-    roc = best.evaluate(train).roc.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
+    models, train, _ = _tuned(spark, sf, ["logreg"], {"logreg": grid})
+    roc = models["logreg"].bestModel.evaluate(train).roc.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
     out = shared_table(roc, "training-roc")
     train.unpersist()
     return out
 
 
 def model_save_load_score(spark, sf, grids: dict | None = None) -> DataFrame:
-    """Save each tuned model under <checkpoint>/models/<name>/<stamp>, reload and score.
+    """Save each tuned model under <checkpoint>/models/<name>/<stamp>, reload the latest and score.
 
     One row per model and test row; ``same`` says that the reloaded model scores as the tuned one did.
     """
-    train, test = _model_frames(spark, sf)
+    models, train, test = _tuned(spark, sf, MODEL_NAMES, grids)
+    train.unpersist()
     root = ensure_checkpoint_dir(spark).rstrip("/") + "/models"
     out = None
-    for name in MODEL_NAMES:
-        cv_model = _tune(name, train, grids and grids[name])
-        reloaded = load_model(save_model(cv_model, root, name), CrossValidatorModel)
+    for name, cv_model in models.items():
+        save_model(cv_model, root, name)
+        reloaded = load_latest(root, name, CrossValidatorModel)
         p = vector_to_array("probability")[1]
         before = cv_model.transform(test).select(F.col(KEY_COLUMN).alias("_key"), p.alias("_before"))
         scored = reloaded.transform(test).select(KEY_COLUMN, LABEL_COLUMN, "prediction", p.alias("_p"))
@@ -237,7 +235,6 @@ def model_save_load_score(spark, sf, grids: dict | None = None) -> DataFrame:
             F.lit(name).alias("model"), KEY_COLUMN, LABEL_COLUMN, "prediction",
             F.round("_p", 6).alias("probability"), (F.col("_p") == F.col("_before")).alias("same"))
         out = scored if out is None else out.unionByName(scored)
-    train.unpersist()
     return out
 
 
@@ -248,15 +245,19 @@ def q_model_reload_check(spark, sf):
         F.count_if(~F.col("same")).alias("changed"))
 
 
-def q_tuning_check(spark, sf):
-    """T2-T7 in figures: per model, settings tried, best first, and the confusion counts' sums on the test rows."""
-    out = None
-    for name in MODEL_NAMES:
-        row = tuned_report(spark, sf, name).select(
-            "model", "settings", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("test_rows"),
-            (F.col("fn") + F.col("tp")).alias("positives"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def q_tuning_check(spark, sf, grids: dict | None = None):
+    """T2-T7 in figures: per model, settings tried, the confusion counts' sums on the test rows, and whether
+    the reported test AUC is the rank-sum area of the scored rows (all models ranked in one pass)."""
+    models, train, test = _tuned(spark, sf, MODEL_NAMES, grids)
+    train.unpersist()
+    score = vector_to_array("rawPrediction")[1]
+    scored = reduce(DataFrame.unionByName, [
+        m.transform(test).select(F.lit(name).alias("model"), LABEL_COLUMN, score.alias("score")) for name, m in models.items()])
+    areas = ev.auc_exact(scored, LABEL_COLUMN, "score", by=["model"])
+    reports = reduce(DataFrame.unionByName, [_test_metrics_row(spark, name, m, test) for name, m in models.items()])
+    return reports.join(areas, "model").select(
+        "model", "settings", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("test_rows"),
+        (F.col("fn") + F.col("tp")).alias("positives"), (F.abs(F.col("auc") - F.col("test_auc")) < 2e-6).alias("auc_agrees"))
 
 
 MODEL_QUERIES = {
@@ -268,9 +269,11 @@ MODEL_QUERIES = {
     "confusion_cells": q_confusion_cells,
     "weighted_metrics": q_weighted_metrics,
     "auc_exact": q_auc_exact,
+    "auc_histogram": q_auc_histogram,
     "roc_curve": q_roc_curve,
     "univariate_report": q_univariate_report,
     "univariate_check": q_univariate_check,
+    "univariate_roc": q_univariate_roc,
     "logreg_cv": lambda spark, sf: tuned_report(spark, sf, "logreg"),
     "dtree_cv": lambda spark, sf: tuned_report(spark, sf, "dtree"),
     "rforest_cv": lambda spark, sf: tuned_report(spark, sf, "rforest"),
@@ -336,10 +339,12 @@ def _confusion_cells_sql() -> str:
                           local=[("scored", _SCORED), ("c", _CONF)])
 
 
-def _weighted_sql() -> str:
-    agg = ("SELECT count(*) AS n, " + ", ".join(
-        f"count_if(cancelled = {k} AND prediction = {k}) AS tp{k}, count_if(prediction = {k}) AS pred{k}, "
-        f"count_if(cancelled = {k}) AS label{k}" for k in (0, 1)) + " FROM scored")
+_WEIGHTED_COUNTS = "count(*) AS n, " + ", ".join(
+    f"count_if(cancelled = {k} AND prediction = {k}) AS tp{k}, count_if(prediction = {k}) AS pred{k}, "
+    f"count_if(cancelled = {k}) AS label{k}" for k in (0, 1))
+
+
+def _weighted_columns() -> str:
     prec = {k: _ratio(f"tp{k}", f"pred{k}") for k in (0, 1)}
     rec = {k: _ratio(f"tp{k}", f"label{k}") for k in (0, 1)}
     f1 = {k: _ratio(f"2 * ({prec[k]}) * ({rec[k]})", f"({prec[k]}) + ({rec[k]})") for k in (0, 1)}
@@ -348,11 +353,14 @@ def _weighted_sql() -> str:
     def weighted(parts):
         return "0.0 + " + " + ".join(f"({w[k]}) * ({parts[k]})" for k in (0, 1))
 
-    return osql.with_ctes(
-        f"SELECT round({_ratio('tp0 + tp1', 'n')}, 6) AS accuracy, "
-        f"round({weighted(prec)}, 6) AS weighted_precision, round({weighted(rec)}, 6) AS weighted_recall, "
-        f"round({weighted(f1)}, 6) AS weighted_f1 FROM a",
-        "features", local=[("scored", _SCORED), ("a", agg)])
+    return (f"round({_ratio('tp0 + tp1', 'n')}, 6) AS accuracy, "
+            f"round({weighted(prec)}, 6) AS weighted_precision, round({weighted(rec)}, 6) AS weighted_recall, "
+            f"round({weighted(f1)}, 6) AS weighted_f1")
+
+
+def _weighted_sql() -> str:
+    return osql.with_ctes(f"SELECT {_weighted_columns()} FROM a", "features",
+                          local=[("scored", _SCORED), ("a", f"SELECT {_WEIGHTED_COUNTS} FROM scored")])
 
 
 _PER_SCORE = ("SELECT margin AS score, count_if(cancelled = 1) AS pos, count_if(cancelled = 0) AS neg "
@@ -377,6 +385,52 @@ def _per_model(select: str) -> str:
 
 _UNIVARIATE_CUT = int(round(ml.UNIVARIATE_TRAIN_RATIO * 1000))
 _FEATURE_VALUES = ", ".join(f"('{c}')" for c in FEATURE_COLUMNS)
+# One row per feature and order atom: the feature's value and whether the row is a training row.
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, cancelled, "
+    f"{_bucket_sql(ml.UNIVARIATE_SEED)} < {_UNIVARIATE_CUT} AS train FROM features" for c in FEATURE_COLUMNS)
+# A one-feature logistic fit slopes the way the feature and the label vary together.
+_SLOPE = ("SELECT feature, CASE WHEN covar_pop(x, cancelled) < 0 THEN -1 ELSE 1 END AS slope "
+          "FROM long WHERE train GROUP BY feature")
+
+
+def _univariate_roc_sql() -> str:
+    return osql.with_ctes(
+        "SELECT feature, CAST(tp + fp AS BIGINT) AS accepted, round(CAST(fp AS DOUBLE) / n_all, 6) AS fpr, "
+        "round(CAST(tp AS DOUBLE) / p_all, 6) AS tpr FROM r "
+        "UNION ALL SELECT DISTINCT feature, CAST(0 AS BIGINT), 0.0, 0.0 FROM long", "features",
+        local=[("long", _LONG), ("slope", _SLOPE),
+               ("per", "SELECT feature, slope * x AS score, count_if(cancelled = 1) AS pos, count_if(cancelled = 0) AS neg "
+                       "FROM long JOIN slope USING (feature) WHERE train GROUP BY ALL"),
+               ("r", "SELECT feature, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY feature) "
+                     "AS p_all, sum(neg) OVER (PARTITION BY feature) AS n_all FROM per "
+                     "WINDOW w AS (PARTITION BY feature ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")])
+
+
+def _univariate_report_sql(steps: int = 12) -> str:
+    """Newton's method on the training rows, a fixed number of steps (it has converged long before),
+    then the metrics of the test rows."""
+    scaled = ("SELECT l.feature, (x - m) / s AS z, cancelled, train FROM long l JOIN (SELECT feature, avg(x) AS m, "
+              "CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM long WHERE train GROUP BY feature) k "
+              "USING (feature)")
+    ctes = [("long", _LONG), ("scaled", scaled),
+            ("b0", "SELECT DISTINCT feature, CAST(0 AS DOUBLE) AS c0, CAST(0 AS DOUBLE) AS c1 FROM long")]
+    for k in range(steps):
+        sums = (f"SELECT feature, any_value(c0) AS c0, any_value(c1) AS c1, sum(cancelled - p) AS g0, "
+                f"sum((cancelled - p) * z) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, "
+                f"sum(p * (1 - p) * z * z) AS h11 FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * z))) AS p "
+                f"FROM scaled JOIN b{k} USING (feature) WHERE train) t GROUP BY feature")
+        ctes.append((f"b{k + 1}", f"SELECT feature, c0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS c0, "
+                                  f"c1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS c1 FROM ({sums}) s"))
+    ctes += [("scored", f"SELECT feature, cancelled, c0 + c1 * z AS score, CASE WHEN c0 + c1 * z > 0 THEN 1 ELSE 0 END "
+                        f"AS prediction FROM scaled JOIN b{steps} USING (feature) WHERE NOT train"),
+             ("a", f"SELECT feature, {_WEIGHTED_COUNTS} FROM scored GROUP BY feature"),
+             ("per", "SELECT feature, score, count_if(cancelled = 1) AS pos, count_if(cancelled = 0) AS neg FROM scored GROUP BY ALL"),
+             ("r", "SELECT *, sum(neg) OVER (PARTITION BY feature ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS nb FROM per"),
+             ("u", "SELECT feature, round(sum(pos * (nb + CAST(neg AS DOUBLE) / 2)) / "
+                   "(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS auc FROM r GROUP BY feature")]
+    return osql.with_ctes(f"SELECT feature, auc, {_weighted_columns()} FROM a JOIN u USING (feature)", "features", local=ctes)
+
 
 MODEL_ORACLES = {
     "univariate_check": osql.with_ctes(
@@ -385,7 +439,10 @@ MODEL_ORACLES = {
         "CAST(count_if(NOT train) AS BIGINT) AS test_rows, true AS gradient_near_zero "
         f"FROM (SELECT cancelled, {_bucket_sql(ml.UNIVARIATE_SEED)} < {_UNIVARIATE_CUT} AS train FROM features) t, "
         f"(VALUES {_FEATURE_VALUES}) AS f(feature) GROUP BY feature", "features"),
-    "tuning_check": _per_model("settings, count(*) AS test_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positives"),
+    "tuning_check": _per_model("settings, count(*) AS test_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positives, "
+                               "true AS auc_agrees"),
+    "univariate_report": _univariate_report_sql(),
+    "univariate_roc": _univariate_roc_sql(),
     "model_reload_check": _per_model("count(*) AS test_rows, CAST(count_if(cancelled = 1) AS BIGINT) AS positives, "
                                      "CAST(0 AS BIGINT) AS changed"),
     "assemble_features": osql.with_ctes(
@@ -410,6 +467,15 @@ MODEL_ORACLES = {
         "features", local=[("scored", _SCORED), ("per", _PER_SCORE),
                            ("r", "SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED "
                                  "PRECEDING AND 1 PRECEDING) AS nb FROM per")]),
+    "auc_histogram": osql.with_ctes(
+        "SELECT round(sure / pairs, 6) AS auc_low, round((sure + same) / pairs, 6) AS auc_high, "
+        "round((sure / pairs + (sure + same) / pairs) / 2, 6) AS auc FROM (SELECT sum(pos * coalesce(nb, 0)) AS sure, sum(pos * neg) AS same, "
+        "CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) AS pairs FROM r) t",
+        "features", local=[("scored", _SCORED),
+                           ("per", f"SELECT least(floor(probability * {ev.HISTOGRAM_BINS}), {ev.HISTOGRAM_BINS - 1}) AS bin, "
+                                   "count_if(cancelled = 1) AS pos, count_if(cancelled = 0) AS neg FROM scored GROUP BY 1"),
+                           ("r", "SELECT *, sum(neg) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED "
+                                 "PRECEDING AND 1 PRECEDING) AS nb FROM per")]),
     "roc_curve": osql.with_ctes(
         f"SELECT score AS threshold, round({_ratio('fp_ge', 'n_all')}, 6) AS fpr, "
         f"round({_ratio('tp_ge', 'p_all')}, 6) AS tpr FROM r",

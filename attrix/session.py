@@ -6,6 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -67,29 +70,72 @@ def shared_table(df, name: str = "table"):
 
     Cuts the lineage in one computation, keeps column pruning for later reads,
     and survives lost executors, as the folder is shared storage.  The files
+    belong to the innermost :func:`owned_tables` block and go with it; outside of any, they
     are removed by :func:`release_shared_tables`, at the latest when Python exits.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_release_at_exit)
-    _written.append(path)
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str = "folder") -> str:
+    """A new path in the shared checkpoint folder, owned as :func:`shared_table`'s files are."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _own(path)
+    return path
+
+
+def table_bytes(df) -> int:
+    """Bytes that a frame will scan by Spark's own estimate (a table's file sizes); 0 where it knows none."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 0
+
+
 _written: list[str] = []
+_owner: ContextVar[list[str]] = ContextVar("attrix_tables", default=_written)
 
 
-def release_shared_tables(spark: SparkSession) -> int:
-    """Remove the tables written so far; frames that read them are spent.  Returns their number."""
+def _own(path: str) -> None:
+    if not _written:
+        atexit.register(_release_at_exit)
+    _owner.get().append(path)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`shared_table` writes inside belong to this block and are removed at its end."""
+    own: list[str] = []
+    token = _owner.set(own)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        _remove(spark, own)
+
+
+def settled(spark: SparkSession, build, name: str = "result"):
+    """The frame that ``build()`` returns, written as one table of the caller's; what it wrote on the way is removed."""
+    path = shared_folder(spark, name)
+    with owned_tables(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> int:
     hadoop = spark._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    n = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)
     return n
 
 
+def release_shared_tables(spark: SparkSession) -> int:
+    """Remove the tables that no block owns; frames that read them are spent.  Returns their number."""
+    return _remove(spark, _written)
+
+
 def _release_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if _written and spark is not None and spark.sparkContext._jsc is not None:

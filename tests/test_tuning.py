@@ -1,0 +1,234 @@
+"""The search: ledger, shared paths, cancelled threads; and publication of models."""
+
+import threading
+import time
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.sql import functions as F
+
+from attrix.plans import ml, tuning
+from attrix.plans import model_queries as mq
+from attrix.plans.features import KEY_COLUMN, LABEL_COLUMN
+from attrix.session import shared_folder
+from attrix.sources import models, storage
+from conftest import SF_SMALL
+
+SF = SF_SMALL
+GRIDS = {"logreg": {"regParam": [0.01, 0.5], "elasticNetParam": [0.0, 1.0], "maxIter": [1, 5, 50]},
+         "dtree": {"maxDepth": [2, 5], "maxBins": [10]},
+         "rforest": {"maxDepth": [3], "maxBins": [10], "numTrees": [3]},
+         "gbt": {"maxDepth": [2, 3], "maxBins": [10], "maxIter": [2, 4]}}
+
+
+@pytest.fixture(scope="module")
+def frames(spark):
+    train, test = mq._model_frames(spark, SF)
+    yield train, test
+    train.unpersist()
+
+
+def probabilities(model, rows):
+    return [r.p for r in model.transform(rows).orderBy(KEY_COLUMN).select(vector_to_array("probability")[1].alias("p")).collect()]
+
+
+def test_settings_are_those_of_the_grid_builder(spark):
+    for name, (factory, grid) in ml.MODELS.items():
+        built = [{p.name: v for p, v in m.items()} for m in ml.param_grid(factory("f", "l"), grid)]
+        assert tuning.grid_settings(grid) == built
+        units = tuning.fit_units(name, built)
+        assert sum(map(len, units)) == len(built)
+        assert len(units) == {"logreg": 25, "dtree": 6, "rforest": 27, "gbt": 9}[name]
+
+
+@pytest.mark.parametrize("depth", [2, 5])
+def test_first_rounds_equal_a_shorter_fit(frames, depth):
+    """A boosted model of few rounds scores as the first trees of a longer one."""
+    train, test = frames
+    whole = ml.gradient_boosted_trees(ml.FEATURES_VECTOR, LABEL_COLUMN, maxDepth=depth, maxIter=8).fit(train)
+    for rounds in (1, 3, 8):
+        direct = ml.gradient_boosted_trees(ml.FEATURES_VECTOR, LABEL_COLUMN, maxDepth=depth, maxIter=rounds).fit(train)
+        part = tuning.first_rounds(whole, rounds)
+        assert part.getNumTrees == rounds and part.treeWeights == direct.treeWeights
+        assert probabilities(part, test) == probabilities(direct, test)
+
+
+def test_converged_fits_equal_direct_ones(frames):
+    """Each setting of a path has the coefficients of a fit of its own, and some needed none."""
+    train, _ = frames
+    estimator = ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN)
+    fits = 0
+    for unit in tuning.fit_units("logreg", tuning.grid_settings(GRIDS["logreg"])):
+        for setting, model, fresh in tuning._converging_path(estimator, train, unit):
+            direct = ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN, **setting).fit(train)
+            assert model.coefficients == direct.coefficients and model.intercept == direct.intercept
+            fits += fresh
+    assert fits < len(tuning.grid_settings(GRIDS["logreg"]))
+
+
+def test_search_equals_spark_cross_validator(spark, frames):
+    train, _ = frames
+    found = tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, shared_folder(spark, "tuning"))
+    for name, grid in GRIDS.items():
+        estimator = ml.MODELS[name][0](ml.FEATURES_VECTOR, LABEL_COLUMN)
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=ml.param_grid(estimator, grid), foldCol=ml.FOLD_COLUMN,
+                            evaluator=ml.auc_evaluator(LABEL_COLUMN), numFolds=5, parallelism=1)
+        model = cv.fit(train)
+        assert found[name].average == pytest.approx(model.avgMetrics, abs=1e-12)
+        assert found[name].deviation == pytest.approx(model.stdMetrics, abs=1e-12)
+        assert found[name].best == int(np.argmax(model.avgMetrics))
+
+
+def test_a_killed_search_resumes(spark, frames):
+    """What the ledger holds is not fitted again, and the end is that of an undisturbed search."""
+    train, _ = frames
+    root = shared_folder(spark, "tuning")
+    seen = []
+
+    def killed(model, fold):
+        seen.append((model, fold))
+        if len(seen) == 7:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, root, on_unit=killed)
+    kept = sum(tuning.Ledger(spark, root, n.rpartition("-")[0], n.rpartition("-")[2]).frame().count()
+               for n in storage.names(spark, f"{root}/ledger"))
+    units = sum(len(tuning.fit_units(n, tuning.grid_settings(g))) for n, g in GRIDS.items()) * 5
+    again = []
+    found = tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, root, on_unit=lambda *u: again.append(u))
+    assert kept >= 7 and len(again) == units - 7
+    fresh = tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, shared_folder(spark, "tuning"))
+    for name in GRIDS:
+        assert found[name].metrics.tolist() == fresh[name].metrics.tolist()
+    third = tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, root, on_unit=lambda *u: pytest.fail("fitted again"))
+    assert all(s.fits == 0 for s in third.values())
+
+
+def test_other_rows_have_another_ledger(spark, frames):
+    train, _ = frames
+    rows = tuning.rows_fingerprint(train, KEY_COLUMN, LABEL_COLUMN)
+    assert rows == tuning.rows_fingerprint(train.repartition(5), KEY_COLUMN, LABEL_COLUMN)
+    assert rows != tuning.rows_fingerprint(train.filter(F.col(KEY_COLUMN) > 100), KEY_COLUMN, LABEL_COLUMN)
+
+
+def test_a_half_written_ledger_file_is_not_read(spark):
+    ledger = tuning.Ledger(spark, shared_folder(spark, "tuning"), "dtree", "x")
+    ledger.append([{"setting": 0, "params": "", "fold": 1, "auc": 0.5}])
+    storage.write_text(spark, f"{ledger.folder}/.aside.json-1", "{half")  # as a writer that died leaves it
+    ledger.append([{"setting": 0, "params": "", "fold": 1, "auc": 0.5}, {"setting": 1, "params": "", "fold": 0, "auc": 0.25}])
+    assert ledger.metrics() == {(0, 1): 0.5, (1, 0): 0.25}
+
+
+# ------------------------------------------------------------------ threads
+def running(spark):
+    return len(spark.sparkContext.statusTracker().getActiveJobsIds())
+
+
+def test_a_failure_cancels_the_other_fits(spark):
+    def fails():
+        time.sleep(1.0)
+        raise ValueError("this fit fails")
+
+    spin = lambda: spark.range(0, 4 * 10 ** 11, 1, 2).selectExpr("sum(id % 7)").collect()
+    began = time.time()
+    with pytest.raises(ValueError, match="this fit fails"):
+        with tuning.JobPool(spark, 3) as pool:
+            list(pool.run([spin, spin, fails, spin, spin]))
+    assert time.time() - began < 60 and running(spark) == 0
+    assert spark.range(100).selectExpr("sum(id)").first()[0] == 4950  # the next query is unharmed
+
+
+def test_the_caller_can_cancel_the_fits(spark):
+    """Fitting threads inherit the caller's tags, so cancelling the caller's cancels them."""
+    spark.sparkContext.addJobTag("a-caller")
+    spin = lambda: spark.range(0, 4 * 10 ** 11, 1, 2).selectExpr("sum(id % 7)").collect()
+    timer = threading.Timer(2.0, lambda: spark.sparkContext.cancelJobsWithTag("a-caller"))
+    timer.start()
+    try:
+        with pytest.raises(Exception, match="cancel"):
+            with tuning.JobPool(spark, 2) as pool:
+                list(pool.run([spin, spin, spin]))
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag("a-caller")
+    assert running(spark) == 0
+
+
+def test_threads_do_not_share_properties(spark):
+    """Many short SQL executions at once: none sees another's execution id."""
+    with tuning.JobPool(spark, 8) as pool:
+        assert sorted(pool.run([lambda k=k: spark.range(k).selectExpr("count(*)").first()[0] for k in range(80)])) == list(range(80))
+
+
+# ------------------------------------------------------------------- models
+@pytest.fixture(scope="module")
+def fitted(frames):
+    train, _ = frames
+    return [ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN, maxIter=k).fit(train) for k in (1, 3)]
+
+
+def load_lr(path):
+    from pyspark.ml.classification import LogisticRegressionModel
+    return models.load_model(path, LogisticRegressionModel)
+
+
+def test_publication_names_the_latest(spark, fitted):
+    root = shared_folder(spark, "models")
+    first = models.save_model(fitted[0], root, "lr", manifest={"fingerprint": "a", "fold_metrics": [0.5]})
+    assert models.latest_path(root, "lr") == first
+    second = models.save_model(fitted[1], root, "lr", manifest={"fingerprint": "b"})
+    assert models.latest_path(root, "lr") == second and models.versions(root, "lr") == [p.rpartition("/")[2] for p in (first, second)]
+    facts = models.read_manifest(first)
+    assert facts["fold_metrics"] == [0.5] and facts["class"] == "LogisticRegressionModel" and facts["files"]
+    assert models.find_model(root, "lr", fingerprint="a") == first and models.find_model(root, "lr", fingerprint="z") is None
+    assert load_lr(models.latest_path(root, "lr")).coefficients == fitted[1].coefficients
+    assert not [n for n in storage.names(spark, f"{root}/lr") if n.startswith("_incoming")]
+
+
+@pytest.mark.parametrize("step", ["write_text", "rename", "replace"])
+def test_a_crash_never_shows_a_half_model(spark, fitted, monkeypatch, step):
+    """Publication stops before the manifest, the rename or the pointer: readers still find the earlier model, whole."""
+    root = shared_folder(spark, "models")
+    first = models.save_model(fitted[0], root, "lr")
+
+    def crash(*_):
+        raise OSError("the writer died")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(storage, step, crash)
+        with pytest.raises(OSError, match="died"):
+            models.save_model(fitted[1], root, "lr")
+    assert models.versions(root, "lr")[0] == first.rpartition("/")[2] and models.latest_path(root, "lr") == first
+    for version in models.versions(root, "lr"):
+        load_lr(f"{root}/lr/{version}")
+    third = models.save_model(fitted[1], root, "lr")
+    assert models.latest_path(root, "lr") == third and load_lr(third).coefficients == fitted[1].coefficients
+
+
+def test_a_damaged_model_is_refused(spark, fitted):
+    path = models.save_model(fitted[0], shared_folder(spark, "models"), "lr")
+    file = next(f for f in models.read_manifest(path)["files"] if f.endswith(".parquet"))
+    storage.delete(spark, f"{path}/{file}")
+    with pytest.raises(OSError, match="not the model"):
+        load_lr(path)
+
+
+def test_tuned_models_are_published_once(spark, frames):
+    train, test = frames
+    root = shared_folder(spark, "tuning")
+    grids = {"dtree": GRIDS["dtree"], "gbt": GRIDS["gbt"]}
+    first = tuning.tuned_models(train, grids, KEY_COLUMN, LABEL_COLUMN, root)
+    paths = {n: models.latest_path(f"{root}/models", n) for n in grids}
+    again = tuning.tuned_models(train, grids, KEY_COLUMN, LABEL_COLUMN, root)
+    for name in grids:
+        assert isinstance(again[name], CrossValidatorModel) and models.latest_path(f"{root}/models", name) == paths[name]
+        assert len(models.versions(f"{root}/models", name)) == 1
+        assert probabilities(first[name], test) == probabilities(again[name], test)
+        facts = models.read_manifest(paths[name])
+        assert np.mean(facts["fold_metrics"], axis=0).tolist() == pytest.approx(again[name].avgMetrics)
+        assert facts["grid"] == grids[name]
+    train_all = tuning.tuned_models(train, {"dtree": {"maxDepth": [2]}}, KEY_COLUMN, LABEL_COLUMN, root)
+    assert len(train_all["dtree"].avgMetrics) == 1 and len(models.versions(f"{root}/models", "dtree")) == 2
