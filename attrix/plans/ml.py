@@ -119,7 +119,9 @@ def random_forest(features_col: str, label_col: str, seed: int = MODEL_SEED, **p
 
 
 def gradient_boosted_trees(features_col: str, label_col: str, seed: int = MODEL_SEED, **params):
-    return GBTClassifier(featuresCol=features_col, labelCol=label_col, seed=seed, **params)
+    """Checkpoints every second round: each round's lineage holds the trees since the last checkpoint, and every job
+    ships it (10 rounds of depth 10, 8 fits at once: 12 s instead of 27 s, the same models)."""
+    return GBTClassifier(featuresCol=features_col, labelCol=label_col, seed=seed, **{"checkpointInterval": 2, **params})
 
 
 MODELS = {
