@@ -10,12 +10,15 @@ copied whole is not lost, and go from all others.
 
 A line on a third of all documents is one row after each task's partial
 aggregate; the last joins meet written tables, so adaptive execution can
-split a hot line or site.
+split a hot line or site.  What is cut is known by place, so a document's lines are cut in
+one pass over them, however many there are.
 
 Edge cases: null text has no lines; lines without a word are neither counted
 nor removed; a null site is a site of its own; a document with a null id is
-never a line's first document; rows that share an id lose the same lines; an empty
-table gives an empty result; extra columns stay as they are.
+never a line's first document; an id may name several texts, each is cut by itself; rows that repeat id and text lose
+the same lines; a text of very many lines costs time in proportion; an empty
+table gives an empty result; extra columns stay as they are, but for ``n_lines`` and ``n_removed``, which the counts
+replace where they are asked for.
 """
 
 from __future__ import annotations
@@ -58,22 +61,25 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 10, b
 
 
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
-                      site_col: str = "source") -> DataFrame:
-    """``docs`` with cross-site lines cut from the text, plus n_lines and n_removed (lines with a word)."""
+                      site_col: str = "source", counts: bool = True) -> DataFrame:
+    """``docs`` with cross-site lines cut from the text and, with ``counts``, n_lines and n_removed (lines with a word)."""
     site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit(""))  # null is not the empty string
-    lines = shared_table(
-        docs.select(F.col(id_col).alias("doc_id"), site.alias("site"),
-                    F.explode(F.array_distinct(F.filter(_lines(F.col(text_col)), _has_word))).alias("line"))
-        .select("doc_id", "site", line_hash(F.col("line")).alias("hash")), "lines")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), site.alias("site"),
+                       F.posexplode(_lines(F.col(text_col))).alias("place", "line"))
+    lines = shared_table(rows.filter(_has_word(F.col("line")))
+                         .select("doc_id", "text_hash", "site", "place", line_hash(F.col("line")).alias("hash")), "lines")
     spread = shared_table(spread_lines(lines, min_sites), "spread-lines")
     cut = (lines.join(spread, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-           .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("__cut")))
+           .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+           .agg(F.collect_set("place").alias("__cut")))
     cut = shared_table(cut, "cut-lines")
-    joined = docs.join(cut.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")  # alike at every size
-    split = joined.withColumn("__lines", _lines(F.col(text_col)))
-    kept = F.filter("__lines", lambda line: ~(_has_word(line) & F.array_contains(F.col("__cut"), line_hash(line))))
-    split = split.withColumn("__kept", F.when(F.col("__cut").isNull(), F.col("__lines")).otherwise(kept))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    others = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return split.select(*others, F.size(F.filter("__lines", _has_word)).cast("long").alias("n_lines"),
-                        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    split = docs.join(cut.hint("merge"), same, "left")  # alike at every size
+    split = split.withColumn("__lines", _lines(F.col(text_col)))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__cut"))
+    kept = F.transform(places, lambda k: F.get(F.col("__lines"), k))
+    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    found = {"n_lines": F.size(F.filter("__lines", _has_word)).cast("long"),
+             "n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long")} if counts else {}
+    others = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in found]
+    return split.select(*others, *[n.alias(name) for name, n in found.items()])

@@ -125,7 +125,7 @@ def _step(chance: list[float], active: list[int], move: Sequence[float], draw: f
     return left
 
 
-def _landed(seed: int):
+def _landed(seed: int, carried: list[str]):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("size", "descending"), ("doc_id", "ascending")]))
         source = rows["source"][0].as_py()
@@ -133,32 +133,34 @@ def _landed(seed: int):
         rng = np.random.default_rng([seed, name, rows["bucket"][0].as_py()])
         extra = land(rows["size"].to_numpy(), rows["chance"].to_numpy(), rng).astype(np.int64)
         copies = pc.add(rows["whole"], pa.array(extra))
-        return rows.select(["doc_id", "size", "source", "source_size", "target"]).append_column("copies", copies)
+        return rows.select(carried).append_column("copies", copies)
     return run
 
 
 def draw_copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = 3.0,
                 bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each row of (doc_id, size, source): adds source_size, target and copies."""
+    """How often the mix takes each row of (doc_id, size, source) and maybe text_hash: adds source_size, target and copies."""
+    carried = [c for c in ("doc_id", "size", "source", "source_size", "target", "text_hash") if c in (*sized.columns, "source_size", "target")]
     targets = shared_table(source_targets(sized, weights, max_repeat), "source-targets")
     renamed = targets.select(F.col("source").alias("__source"), "n", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.round(ratio, 9)
     rows = sized.join(renamed, F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.select("doc_id", "size", "source", "source_size", "target", "n", F.floor(near).alias("whole"),
+    rows = rows.select(*carried, "n", F.floor(near).alias("whole"),
                        (near - F.floor(near)).alias("chance"))
     buckets = F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), buckets).cast("int"))
-    drawn = rows.groupBy("source", "bucket").applyInArrow(
-        _landed(seed), "doc_id long, size long, source string, source_size long, target double, copies long")
+    kinds = {"source": "string", "target": "double"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in [*carried, "copies"])
+    drawn = rows.groupBy("source", "bucket").applyInArrow(_landed(seed, carried), schema)
     return shared_table(drawn, "mix-draws")
 
 
 def mix_decisions(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = 3.0, id_col: str = "doc_id",
                   text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size (words), source, source_size, target, copies."""
+    """One row per document: doc_id, size (words), source, source_size, target, text_hash, copies."""
     sized = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"),
-                        F.col(source_col).cast("string").alias("source"))
+                        F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     return draw_copies(shared_table(sized, "mix-sizes"), weights, max_repeat)
 
 
@@ -166,18 +168,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
                 text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents with all their columns, a row for each time one is taken.
 
-    Rows that share id, size and source are told apart by a running number.
+    Decisions meet the texts once, by id, source and text hash.  Rows that share all three share out what was
+    drawn for them, in the order of a hash of all their columns; only such rows are numbered.
     """
-    keys = ["doc_id", "size", "source"]
     decisions = mix_decisions(docs, weights, max_repeat, id_col, text_col, source_col)
-    taken = (decisions.filter("copies > 0")
-             .withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("copies").desc())))
-             .select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nth").alias("__nth"), F.col("copies").alias("__copies")))
-    marked = docs.withColumns({"__k0": F.col(id_col), "__k1": word_count(F.col(text_col)),
-                               "__k2": F.col(source_col).cast("string")})
-    marked = marked.withColumn("__k3", F.row_number().over(
-        Window.partitionBy("__k0", "__k1", "__k2").orderBy(F.xxhash64(F.col(text_col)))))
-    on = [F.col(f"__k{i}").eqNullSafe(F.col(f"__{k}")) for i, k in enumerate([*keys, "nth"])]
-    joined = marked.join(taken, on[0] & on[1] & on[2] & on[3])
-    return (joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    taken = (decisions.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"))
+             .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0"))
+    taken = shared_table(taken, "mix-taken").hint("merge")
+    same = (F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+            & (F.xxhash64(F.col(text_col)) == F.col("__hash")))
+    joined = docs.join(taken, same)
+    order = Window.partitionBy("__id", "__source", "__hash").orderBy(F.xxhash64(*docs.columns))
+    nth = F.row_number().over(order)
+    whole = F.floor(F.col("__copies") / F.col("__rows"))
+    share = whole + F.when(nth <= F.col("__copies") - whole * F.col("__rows"), 1).otherwise(0)
+    once = joined.filter("__rows = 1")
+    repeated = joined.filter("__rows > 1").withColumn("__copies", share).filter("__copies > 0")
+    return (once.unionByName(repeated).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
             .select(*docs.columns))

@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by size-aware heavy and light sets.
 
 A document's set holds its distinct word shingles; documents with equal sets
-are one node.  Shingles are ordered rare first, by a fixed-size table of
-hashed counters and then by hash; sets that are similar enough must share
+are one node.  Shingles are ordered rare first, by a table of
+hashed counters (its size follows the input, within bounds) and then by hash; sets that are similar enough must share
 elements among their first few (prefix filter), so only those are posted.
 
 Light sets (up to a size ``x``) enumerate all 2-subsets of a prefix that must
@@ -15,15 +15,15 @@ lists; pairs that share too few to be similar go.  The nodes of a long list are
 paired: they meet in groups under the list's smallest node, by size class, and a
 group finds its exact links by matrix products.  It returns how many links each
 node has there and, for the components, a spanning forest.  Groups are cut into
-blocks by sets and bytes, so no task holds more than two blocks.  Elements that
-the counters show on ``HOT_LEVEL`` or more have lists of any length: those are dealt by
+blocks by sets and bytes, so no task holds more than two blocks.  Elements whose counter stands
+well above the others (:func:`hot_level`) may have lists of any length: those are dealt by
 node, not by element, and only their smallest node is looked for per element.  Every similar pair is checked
 exactly, and counted once: in the smallest of the groups that both nodes belong
 to, or as a pair of short lists if there is none.
 
 Texts are scanned three times and never shuffled: for sets and counters, for
 prefixes, and for the whole sets of candidates only.  What is broadcast has a
-fixed size: the counters' levels (1 MB) and a Bloom filter of candidates
+bounded size: the counters' levels (1 to 16 MB) and a Bloom filter of candidates
 (2 MB), which only saves work, as a join by node follows.
 
 Shingle hashes and set digests have 64 bits; equal hashes count as equal.
@@ -48,17 +48,21 @@ from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
 from attrix.llm.word_hashes import mixed, run_starts, word_hashes
+from attrix.session import table_bytes
 
 SHINGLE = 4
 PERCENT = 85
 CELLS = 1 << 20
+MOST_CELLS = 1 << 24
+CELL_BYTES = 1 << 18  # of the input for each cell, between the two bounds
 BLOOM_BITS = 1 << 24
 SHORT_LIST = 16
 BLOCK = 500
 BLOCK_BYTES = 8 << 20
-HOT_LEVEL = 160  # 65,536 sets or more
+HOT_SETS = 65_536
 BUCKET_ENTRIES = 1 << 19
 SCAN_COST = 4.0
+LEVELS = 10  # a counter that doubles rises ten levels
 # Odd multipliers that tell the words of a shingle apart (fixed values).
 PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -106,11 +110,26 @@ def light_limit(sizes: np.ndarray, counts: np.ndarray, percent: int = PERCENT, l
     return int(np.argmin(cost))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def counter_cells(input_bytes: int) -> int:
+    """Number of counters, a power of two: it follows the input, from ``CELLS`` to ``MOST_CELLS`` (a 16 MB broadcast)."""
+    return min(MOST_CELLS, max(CELLS, 1 << max(0, input_bytes // CELL_BYTES).bit_length()))
+
+
+def hot_level(counts: np.ndarray) -> int:
+    """The level from which an element's list may be hot: a cell well above what most cells hold.
+
+    A cell holds the sets of all its elements.  Beyond four times the mean and ``HOT_SETS`` the
+    surplus is an element's own; a list below that bound is no larger than it.
+    """
+    return int(LEVELS * np.log2(1.0 + HOT_SETS + 4 * float(counts.mean()))) if len(counts) else 255
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], n: int, n_cells: int) -> Iterator[pa.RecordBatch]:
     """One row a document, and one row a task with its counters."""
-    cells = np.zeros(CELLS, np.uint32)
-    names = ["doc_id", "n", "node", "cells"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    cells = np.zeros(n_cells, np.uint32)
+    shift = np.uint64(65 - n_cells.bit_length())
+    names = ["doc_id", "text_hash", "n", "node", "cells"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     seen = False
     for batch in batches:
         sizes, nodes, found = [], [], []
@@ -121,21 +140,22 @@ def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             found.append(elements)
         if found:
             seen = True
-            cells += np.bincount(np.concatenate(found) >> np.uint64(44), minlength=CELLS).astype(np.uint32)
+            np.add.at(cells, (np.concatenate(found) >> shift).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, types[1]), pa.array(nodes, types[2]), pa.nulls(len(sizes), types[3])], names=names)
+            [batch.column(0), batch.column(2), pa.array(sizes, types[2]), pa.array(nodes, types[3]),
+             pa.nulls(len(sizes), types[4])], names=names)
     if seen:
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, t) for t in types[:3]] + [pa.array([zlib.compress(cells.tobytes(), 1)], types[3])], names=names)
+            [pa.nulls(1, t) for t in types[:4]] + [pa.array([zlib.compress(cells.tobytes(), 1)], types[4])], names=names)
 
 
-def _counter_levels(parts: DataFrame, fan: int = 32) -> np.ndarray:
-    """All tasks' counters summed in a tree, as logarithmic levels of one byte."""
+def _counter_levels(parts: DataFrame, n_cells: int, fan: int = 32) -> tuple[np.ndarray, int]:
+    """All tasks' counters summed in a tree, as logarithmic levels of one byte; and the level of hot ones."""
     def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS, np.uint64)
+        total = np.zeros(n_cells, np.uint64)
         for part in table["cells"].to_pylist():
             values = np.frombuffer(zlib.decompress(part), np.uint8)
-            total += values.view(np.uint64 if len(values) == 8 * CELLS else np.uint32)
+            total += values.view(np.uint64 if len(values) == 8 * n_cells else np.uint32)
         return pa.table({"cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     left = parts.count()
@@ -146,15 +166,19 @@ def _counter_levels(parts: DataFrame, fan: int = 32) -> np.ndarray:
         left = parts.count()
     rows = parts.collect()
     if not rows:
-        return np.zeros(CELLS, np.uint8)
+        return np.zeros(n_cells, np.uint8), 255
     values = np.frombuffer(zlib.decompress(rows[0]["cells"]), np.uint8)
-    counts = values.view(np.uint64 if len(values) == 8 * CELLS else np.uint32)
-    return np.minimum(255, 10 * np.log2(1.0 + counts)).astype(np.uint8)
+    counts = values.view(np.uint64 if len(values) == 8 * n_cells else np.uint32)
+    return np.minimum(255, LEVELS * np.log2(1.0 + counts)).astype(np.uint8), hot_level(counts)
+
+
+def _cell(elements: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return elements >> np.uint64(65 - len(levels).bit_length())
 
 
 def _ordered(elements: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Elements in the global order: by the level of their counter, then by hash."""
-    level = levels[elements >> np.uint64(44)].astype(np.uint64)
+    level = levels[_cell(elements, levels)].astype(np.uint64)
     return elements[np.argsort((level << np.uint64(56)) | (elements >> np.uint64(8)), kind="stable")]
 
 
@@ -165,9 +189,9 @@ def _postings(elements: np.ndarray, levels: np.ndarray, limit: int, percent: int
     if 100 * size < percent * (size + 1):
         return np.empty(0, np.uint64), np.empty(0, bool)  # only equal sets are similar
     ordered = _ordered(elements, levels)
-    hot = levels[ordered >> np.uint64(44)] >= hot_level
+    hot = levels[_cell(ordered, levels)] >= hot_level
     out, some = [], []
-    if size > limit or 100 * size >= percent * limit:
+    if size > limit or 100 * size >= percent * limit or least_overlap(size, percent) <= 1:
         out.append(ordered[:int(prefix_length(size, percent))] & ~np.uint64(1))
         some.append(hot[:len(out[0])])
     if size <= limit:
@@ -219,7 +243,8 @@ def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
         i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
         subset = (posts[i] & np.uint64(1)) > 0
         low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        fits = (100 * low >= percent * high) & (subset | (high > limit))
+        # pairs that are similar by one shared element have no 2-subset in common
+        fits = (100 * low >= percent * high) & (subset | (high > limit) | (percent * (low + high) <= 100 + percent))
         i, j, subset = i[fits], j[fits], subset[fits]
         pairs.append(np.stack([nodes[i], nodes[j], sizes[i], sizes[j], np.where(subset, 1 << 20, 1)], axis=1))
     pairs = np.concatenate(pairs)
@@ -342,14 +367,18 @@ def _bloom(ids: DataFrame, fan: int = 16) -> np.ndarray:
 
 def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (the number of similar documents)."""
+    """One row per document: doc_id, n_shingles, component_id, n_links (the number of similar documents), and, to tell
+    texts of one id apart, text_hash (xxhash64) and component (a name of its own for each component)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    parts = shared_table(texts.mapInArrow(lambda batches: _set_rows(batches, n),
-                                          "doc_id long, n int, node long, cells binary"), "shingle-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                        F.xxhash64(F.col(text_col)).alias("text_hash"))
+    n_cells = counter_cells(table_bytes(docs))
+    parts = shared_table(texts.mapInArrow(lambda batches: _set_rows(batches, n, n_cells),
+                                           "doc_id long, text_hash long, n int, node long, cells binary"), "shingle-sets")
     sets = parts.filter(F.col("cells").isNull()).drop("cells")
     linkable = sets.filter("node is not null and doc_id is not null")
-    levels = spark.sparkContext.broadcast(_counter_levels(parts.filter(F.col("cells").isNotNull()).select("cells")))
+    counted, hot_from = _counter_levels(parts.filter(F.col("cells").isNotNull()).select("cells"), n_cells)
+    levels = spark.sparkContext.broadcast(counted)
 
     # sizes up to the largest light one, and the sum of all postings
     posted = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") / 32) + 1
@@ -368,7 +397,7 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
                     continue
                 nodes[node] = len(nodes)
                 sizes.append(len(elements))
-                own, some = _postings(elements, levels.value, limit, percent, HOT_LEVEL)
+                own, some = _postings(elements, levels.value, limit, percent, hot_from)
                 posts.append(own)
                 hot.append(some)
             if not posts:
@@ -470,9 +499,10 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
               .unionByName(group_links.filter("n is not null").select(F.col("a").alias("node"), "n"))
               .groupBy("node").agg(F.sum("n").alias("others")))
     n_links = (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    classes = shared_table(named.join(lowest, "root").join(degree, "node", "left").select("node", "component_id", n_links),
-                           "components")
+    classes = shared_table(named.join(lowest, "root").join(degree, "node", "left").select(
+        "node", "component_id", n_links, F.col("root").alias("component")), "components")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sets.join(classes, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), "text_hash",
+        F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))

@@ -152,7 +152,7 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op4_line_spread": f"""
-        WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        WITH l AS (SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
         w AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS has_word FROM l),
         s AS (SELECT line, min(doc_id) AS first_id FROM w WHERE has_word

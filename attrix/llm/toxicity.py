@@ -145,9 +145,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     """(row, fold, words, <category>...) of about ``max_rows`` labelled documents, chosen by a hash of their ids."""
     one = labels.groupBy(F.col(id_col).alias("__id")).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
     one = shared_table(one, "toxicity-labels")
-    share = min(1.0, max_rows / max(1, one.count()))
-    spread = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1_000_000))
-    chosen = F.broadcast(one.filter(spread < int(share * 1_000_000)))
+    total = one.count()
+    parts = 1_000_000 * max(1, total // 10 ** 8)  # finer with more labels, so that a small share is not rounded to none
+    spread = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(parts))
+    chosen = F.broadcast(one.filter(spread < int(min(1.0, max_rows / max(1, total)) * parts)))
     texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
     joined = (texts.join(chosen, F.col("__key") == F.col("__id")).groupBy("__key", *categories)
               .agg(F.min("__text").alias("__text")).select("__key", "__text", *categories))

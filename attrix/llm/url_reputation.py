@@ -16,8 +16,8 @@ and adaptive execution can split a hot host.
 
 Edge cases: a null url or one without ``://`` has an empty host and path; it
 belongs to no rule and to the empty host's reputation.  Null outcomes are
-ignored; repeated rows count as often as they occur; an empty table gives an
-empty result; a page keeps every row it has.
+ignored; repeated rows count as often as they occur; very long pages are read whole; an empty table gives an
+empty result; a page keeps every row it has; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import lower_ascii, shared_table, word_count
+from attrix.llm.common import lower_ascii, shared_table, without_spaces, word_count
 
 
 @dataclass(frozen=True)
@@ -64,31 +64,42 @@ def match_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return F.struct(rule.alias("rule"), verdict.alias("verdict"))
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host (the whole host if it has fewer)."""
-    return F.substring_index(host, ".", -2)
+# Public suffixes of two labels that hold many owners' domains; every other suffix is the last label.  A parameter.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.nz", "co.jp", "co.kr", "co.in", "com.br", "com.cn", "com.mx", "co.za")
 
 
-def public_suffix(host: Column) -> Column:
-    """The last label of a host."""
-    return F.substring_index(host, ".", -1)
+def public_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that ends the host, else its last label."""
+    out = F.substring_index(host, ".", -1)
+    for s in sorted(suffixes, key=len):
+        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
+    return out
 
 
-def page_outcomes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                  min_words: int = 50, max_shouting: float = 0.1) -> DataFrame:
-    """Label pages from their own markup: (host, bad).
+def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix and the label before it (the whole host if it has no more)."""
+    suffix = public_suffix(host, suffixes)
+    labels = F.size(F.split(suffix, r"\."))
+    return F.array_join(F.slice(F.split(host, r"\."), -F.least(labels + 1, F.size(F.split(host, r"\."))), labels + 1), ".")
 
-    ``bad`` is 1 when the visible text has fewer than ``min_words`` words or
-    more than ``max_shouting`` of its words end in ``!!``.  Null html gives a
-    null outcome, which the reputation ignores.
+
+def page_outcomes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_words: int = 50,
+                  max_shouting: float = 0.1, max_symbols: float = 0.05) -> DataFrame:
+    """Label pages from their own markup: (host, bad), for corpora whose pages nobody has labelled.
+
+    ``bad`` is 1 when the visible text has fewer than ``min_words`` words, ends more than ``max_shouting`` of its words in
+    ``!!``, or is made of more than ``max_symbols`` symbols (``#*$%&|``, character entities counted as one each).
+    Null html gives a null outcome, which the reputation ignores.
     """
     html = F.col(html_col)
     visible = F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    seen = pages.select(url_host(F.col(url_col)).alias("host"), visible.alias("seen"))
-    n = word_count(F.col("seen"))
-    shouts = F.regexp_count(F.col("seen"), F.lit("!!"))
-    bad = F.when(F.col("seen").isNotNull(), ((n < min_words) | (shouts > max_shouting * n)).cast("int"))
-    return seen.select("host", bad.alias("bad"))
+    seen = pages.select(url_host(F.col(url_col)).alias("host"), F.regexp_replace(visible, r"&#?[0-9A-Za-z]{1,10};", "&").alias("seen"))
+    text = F.col("seen")
+    n, tight = word_count(text), F.char_length(without_spaces(text))
+    symbols = tight - F.char_length(F.translate(without_spaces(text), "#*$%&|", ""))
+    shouts = F.regexp_count(text, F.lit("!!"))
+    bad = (n < min_words) | (shouts > max_shouting * n) | (symbols > max_symbols * tight)
+    return seen.select("host", F.when(text.isNotNull(), bad.cast("int")).alias("bad"))
 
 
 def _concentration(groups: DataFrame, rate: str) -> float:
@@ -111,7 +122,8 @@ def _shrunk(groups: DataFrame, prior: str, m: float, name: str) -> DataFrame:
     return groups.withColumn(name, (F.col("k") + m * F.col(prior)) / (F.col("n") + m))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, max_bad: float = 0.25, z: float = 2.0) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, max_bad: float = 0.25, z: float = 2.0,
+                    suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior bad rate of each host: (host, n, k, bad_rate, bad_low, verdict).
 
     ``outcomes`` has (host, bad 0/1/null); ``hosts`` lists the hosts to judge
@@ -121,7 +133,8 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, max_bad: float = 0.25
     counted = (hosts.select("host", F.lit(None).cast("int").alias("bad"))
                .unionByName(outcomes.select("host", F.col("bad").cast("int")))
                .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")))
-    counted = counted.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
+    counted = counted.withColumns({"domain": registered_domain(F.col("host"), suffixes),
+                                   "suffix": public_suffix(F.col("host"), suffixes)})
     counted = shared_table(counted, "host-counts")
 
     total = counted.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -150,13 +163,14 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, max_bad: float = 0.25
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = (), id_col: str = "page_id",
-               url_col: str = "url", max_bad: float = 0.25, z: float = 2.0) -> DataFrame:
+               url_col: str = "url", max_bad: float = 0.25, z: float = 2.0,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, bad_rate, bad_low.
 
     The longest fitting rule decides; without one, the host's reputation does.
     """
     urls = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    reputation = host_reputation(outcomes, urls.select("host"), max_bad, z)
+    reputation = host_reputation(outcomes, urls.select("host"), max_bad, z, suffixes)
     ruled = urls.withColumn("matched", match_rule(F.col("host"), F.col("path"), rules))
     joined = ruled.join(reputation.withColumnRenamed("verdict", "host_verdict"), "host", "left")
     return joined.select(F.col(id_col), "host", "path", F.col("matched.rule").alias("rule"),

@@ -160,7 +160,7 @@ def spread_lines(docs, min_sites):
     for doc_id, text, source in docs:
         for line in (text or "").split("\n"):
             if words(line):
-                sites[line].add(source or "")
+                sites[line].add(source)
                 if doc_id is not None:
                     first[line] = min(first.get(line, doc_id), doc_id)
     out = []

@@ -17,9 +17,14 @@ def messy(spark):
         (10, " ".join(f"w{k % 7}" for k in range(20_000)), "en", "a"), (11, "line one\nline one\nline two", "fr", "c"),
         (12, "line one\nother", "fr", "b"), (13, "über straße naïve ß\u00a0z\u2003y \x1c q", "de", "a"),
         (2, base, "en", "b"), (14, "start " + base + " end", "en", "d"),
+        (15, "\n".join(f"line {k % 30_000}" for k in range(100_000)), "en", "e"),  # very many lines
+        (16, base + " one more", "en", "a"), (16, " ".join(f"else{k}" for k in range(60)), "en", "a"),  # one id, two texts
     ]
-    rows = [(*r, len(r[1] or ""), "clash", 0) for r in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hash string, size int")
+    clash = ("clash", 0, 7, 8, "kept", 9, 10, 11, "component", "line", 12, 0.5)
+    rows = [(*r, len(r[1] or ""), *clash) for r in rows]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, hash string, size int, n_lines long, n_words int, "
+              "kept string, n_removed long, word_chars int, n_symbols int, component string, line string, copies int, target double")
 
 
 @pytest.fixture(scope="session")

@@ -54,6 +54,104 @@ def test_reputation_shrinks(spark):
     assert got["bad.one.org"].bad_rate < 1  # shrunk
 
 
+def plain_reputation(outcomes, hosts, max_bad=0.25, z=2.0):
+    """{host: (n, k, bad_rate, bad_low, verdict)}, level by level as the operator's docstring says."""
+    counts = {h: [0, 0] for h in hosts}
+    for h, bad in outcomes:
+        cell = counts.setdefault(h, [0, 0])
+        cell[0] += bad is not None
+        cell[1] += bad or 0
+    long = [s for s in url_reputation.SUFFIXES]
+
+    def suffix(h):
+        return max((s for s in long if h == s or h.endswith("." + s)), key=len, default=h.split(".")[-1])
+
+    def domain(h):
+        return ".".join(h.split(".")[-(len(suffix(h).split(".")) + 1):])
+
+    def rolled(name):
+        out = defaultdict(lambda: [0, 0])
+        for h, (n, k) in counts.items():
+            out[name(h)][0] += n
+            out[name(h)][1] += k
+        return out
+
+    def strength(groups, rates):
+        d = g = t = 0.0
+        for name, (n, k) in groups.items():
+            if n:
+                mean = min(max(rates[name], 1e-6), 1 - 1e-6)
+                d, g, t = d + n * (k / n - mean) ** 2 / (mean * (1 - mean)), g + 1, t + n - 1
+        return 1 / min(max((d - g) / t, 1e-4), 0.5) - 1 if t else 1.0
+
+    def shrunk(groups, rates):
+        m = strength(groups, rates)
+        return m, {x: (k + m * rates[x]) / (n + m) for x, (n, k) in groups.items()}
+
+    overall = (sum(k for _, k in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1)
+    suffixes, domains = rolled(suffix), rolled(domain)
+    _, by_suffix = shrunk(suffixes, dict.fromkeys(suffixes, overall))
+    of = {domain(h): suffix(h) for h in counts}
+    _, by_domain = shrunk(domains, {x: by_suffix[of[x]] for x in domains})
+    m = strength(counts, {h: by_domain[domain(h)] for h in counts})
+    out = {}
+    for h, (n, k) in counts.items():
+        a, b = k + m * by_domain[domain(h)], n - k + m * (1 - by_domain[domain(h)])
+        rate = a / (a + b)
+        low = rate - z * (rate * (1 - rate) / (a + b + 1)) ** 0.5
+        out[h] = (n, k, rate, low, "block" if low > max_bad else "allow")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reputation_against_plain_version(spark, seed):
+    """Hosts of several domains and suffixes, some of them bad: every verdict, and the filter does fire."""
+    rng = np.random.default_rng(seed)
+    outcomes = []
+    for d in range(30):
+        base = f"d{d}.{('co.uk', 'com', 'org', 'com.au')[d % 4]}"
+        bad_domain = rng.random() < 0.2
+        for h in range(int(rng.integers(1, 6))):
+            rate = rng.beta(8, 4) if bad_domain else rng.beta(1, 20)
+            outcomes += [(f"h{h}.{base}" if h else base, int(x)) for x in rng.random(int(rng.integers(1, 80))) < rate]
+    outcomes += [("", None), ("localhost", 1), ("co.uk", 0)]
+    hosts = ["unseen.d0.co.uk", "new.net", ""]
+    want = plain_reputation(outcomes, hosts)
+    got = url_reputation.host_reputation(spark.createDataFrame(outcomes, "host string, bad int"),
+                                         spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert {r.host for r in got} == want.keys()
+    for r in got:
+        assert (r.n, r.k, r.verdict) == (*want[r.host][:2], want[r.host][4])
+        assert (r.bad_rate, r.bad_low) == pytest.approx(want[r.host][2:4], rel=1e-9)
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_reputation_of_the_query(spark):
+    """The query's verdicts on whole pages, from plain counts of its outcomes."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    outcomes = [tuple(r) for r in url_reputation.page_outcomes(pages).collect()]
+    want = plain_reputation(outcomes, [h for h, _ in outcomes])
+    rows = queries.op1_url_reputation(spark, SF).collect()
+    assert len(rows) == pages.count()
+    assert all(r.verdict == (want[r.host][4] if r.rule is None else brute.rule(f"x://{r.host}{r.path}")[1]) for r in rows)
+
+
+def test_domains_below_long_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+             "x.y.example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "notco.uk": ("notco.uk", "uk")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = df.select("host", url_reputation.registered_domain(F.col("host")), url_reputation.public_suffix(F.col("host"))).collect()
+    assert {h: (d, s) for h, d, s in got} == hosts
+
+
+def test_long_pages(spark):
+    html = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(1, "http://a.com/", html, "x"), (2, "http://a.com/", None, "x"), (3, "http://b.com/", "&amp;" * 90 + " x" * 60, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, bad string")
+    assert [r.bad for r in url_reputation.page_outcomes(pages).collect()] == [0, None, 1]
+    assert url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages)).count() == 3
+
+
 # ------------------------------------------------------------- 2 exact dedup
 @pytest.mark.parametrize("support", [1 / 2000, 0.1])
 def test_exact_duplicates(messy, nothing, support):
@@ -78,6 +176,17 @@ def test_frequent_digests_are_verified(spark):
     assert [tuple(r) for r in exact_dedup.frequent_digests(digests, 0.01).collect()] == [("hot", 999, 334)]
 
 
+@pytest.mark.parametrize("support", [1 / 2000, 0.1])
+def test_one_row_of_each_text_stays(messy, support):
+    kept = exact_dedup.drop_exact_duplicates(messy, support=support)
+    rows = kept.collect()
+    assert kept.columns == messy.columns and Counter(r.text or "" for r in rows) == Counter({t or "" for _, t in pairs(messy)})
+    newest = {}
+    for i, t in pairs(messy):
+        newest[t or ""] = max(newest.get(t or "", -1), -1 if i is None else i)
+    assert all((-1 if r.doc_id is None else r.doc_id) == newest[r.text or ""] for r in rows)
+
+
 # --------------------------------------------------------- 3 substring dedup
 def test_repeats(messy, nothing, small, small_rows):
     for df, rows, options in ((messy, pairs(messy), {"group_bytes": 4000, "bucket_hashes": 500}),
@@ -121,6 +230,28 @@ def test_null_and_empty_sites_differ(spark):
     assert sorted((r.doc_id, r.n_removed) for r in cut.collect()) == [(k, int(k > 0)) for k in range(10)]
 
 
+def test_spread_lines_of_messy_documents(messy):
+    """Clashing columns, an id with two texts, and 100,000 lines, against the plain version."""
+    cut = line_spread.drop_spread_lines(messy, min_sites=2, counts=False)
+    assert cut.columns == messy.columns and {r.n_lines for r in cut.collect()} == {7}
+    rows = [(r.doc_id, r.text, r.source) for r in messy.collect()]
+    assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter(brute.spread_lines(rows, 2))
+    counted = line_spread.drop_spread_lines(messy, min_sites=2)
+    assert {r.n_lines for r in counted.filter("doc_id = 15").collect()} == {100_000}
+
+
+def test_many_shared_lines_take_time_in_proportion(spark):
+    """Twelve documents of 40,000 shared lines each."""
+    import time
+
+    text = "\n".join(f"shared line {k}" for k in range(40_000))
+    docs = spark.createDataFrame([(k, text, f"s{k}") for k in range(12)], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: (r.n_removed, len(r.text)) for r in line_spread.drop_spread_lines(docs).collect()}
+    assert got == {k: (40_000, 0) if k else (0, len(text)) for k in range(12)}
+    assert time.time() - began < 60
+
+
 def test_near_threshold_lines_are_exact(spark):
     """Even a coarse sketch decides as an exact count does."""
     rows = [(line * 100 + s, f"line {line}", f"site {s}") for line in range(40) for s in range(20 + line)]
@@ -236,6 +367,25 @@ def test_crossover_and_evolution():
     assert packing.lower_bound(lengths, 2048) <= best.max() + 1 <= first.max() + 1
 
 
+def test_islands_beat_best_fit():
+    """Three pieces fill a sequence exactly; longest first, best fit wastes sequences that the islands win back."""
+    rng = np.random.default_rng(11)
+    wins = 0
+    for seed in range(4):
+        a = rng.integers(520, 700, 60)
+        b = np.array([rng.integers(max(520, 2048 - x - 800), 2048 - x - 519) for x in a])
+        lengths = np.concatenate([a, b, 2048 - a - b])
+        alone, fill = np.full(len(lengths), -1), []
+        packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), alone, fill, 2048)
+        parents = [packing.evolve(lengths, [], np.random.default_rng([seed, i]), 2048, packing.GENERATIONS, packing.POPULATION)[0]
+                   for i in range(packing.ISLANDS)]
+        best, _ = packing.evolve(lengths, parents, np.random.default_rng(seed), 2048, 40, 8)
+        bins = np.bincount(best, weights=lengths)
+        assert bins.max() <= 2048 and len(bins) >= packing.lower_bound(lengths, 2048) == 60
+        wins += len(bins) < len(fill)
+    assert wins == 4
+
+
 # ---------------------------------------------------------------- 7 sharding
 def test_jump_hash():
     keys = np.random.default_rng(0).integers(-2 ** 63, 2 ** 63 - 1, 500)
@@ -270,6 +420,34 @@ def test_similar_documents(messy, nothing, small, small_rows):
     assert ngram_join.similar_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [40, 50, 85])
+@pytest.mark.parametrize("n", [1, 3])
+def test_any_percent(spark, percent, n):
+    """Small sets too: a pair may be similar by one shared element."""
+    rng = np.random.default_rng(percent + n)
+    rows = [(0, "a"), (1, "a b"), (2, "b"), (3, "c d e"), (4, "c")]
+    rows += [(10 + k, " ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(1, 12)))) for k in range(150)]
+    rows += [(200 + k, " ".join(f"v{x}" for x in np.r_[0:60 - k, 1000 * k:1000 * k + k])) for k in range(30)]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute.similar(rows, n, percent)
+    assert {r.doc_id: r.n_links for r in got} == brute.link_counts(rows, n, percent)
+
+
+def test_counters_follow_the_input(spark):
+    """More input gets more counters; full counters alone make no list hot, an element well above the others does."""
+    assert [ngram_join.counter_cells(b) for b in (0, 10 ** 9, 10 ** 12, 10 ** 14)] == [1 << 20, 1 << 20, 1 << 22, 1 << 24]
+    rng = np.random.default_rng(1)
+    elements = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2))
+    for mean in (10, 70_000, 10 ** 6):
+        counts = rng.poisson(mean, 1 << 20).astype(np.uint64)
+        heavy = int(elements[0] >> np.uint64(44))
+        counts[heavy] += np.uint64(10 * (mean + ngram_join.HOT_SETS))
+        levels = np.minimum(255, ngram_join.LEVELS * np.log2(1.0 + counts)).astype(np.uint8)
+        _, hot = ngram_join._postings(elements, levels, 0, 40, ngram_join.hot_level(counts))
+        assert not hot.any()  # the frequent element comes last and is not posted
+        assert (levels >= ngram_join.hot_level(counts)).sum() == 1
+
+
 @pytest.mark.parametrize("block", [500, 7])
 def test_similar_families(spark, monkeypatch, block):
     """Large families of edited copies, small sets, and boundary cases, with long lists cut into blocks."""
@@ -309,7 +487,7 @@ def test_links_are_all_counted(spark, monkeypatch, block):
 @pytest.mark.parametrize("block_bytes", [8 << 20, 4000])
 def test_hot_lists(spark, monkeypatch, block_bytes):
     """A family on a third of all rows: no task meets a whole list, blocks are cut by bytes, results stay."""
-    monkeypatch.setattr(ngram_join, "HOT_LEVEL", 40)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 15)
     monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 100)
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
     met, groups = ngram_join._met, ngram_join._group_links
@@ -356,6 +534,91 @@ def test_quality(messy, small, nothing):
     assert quality_rules.judge_quality(nothing).count() == 0
 
 
+def plain_fences(rows, prior=quality_rules.PRIOR_ROWS):
+    """rows: (lang, source, {measure: value}) of documents with words -> {(lang, source): {measure: (low, high)}}."""
+    q = quality_rules
+
+    def quantile(values, rank):
+        return values[min(len(values) - 1, max(0, int(np.ceil(rank * len(values) - 1e-9)) - 1))]
+
+    def cut(points):
+        best = None
+        total, whole = sum(w for _, w in points), sum(v * w for v, w in points)
+        square = sum(v * v * w for v, w in points)
+        w1 = s1 = q1 = 0.0
+        for k, ((v, w), (nxt, _)) in enumerate(zip(points, points[1:])):
+            w1, s1, q1 = w1 + w, s1 + v * w, q1 + v * v * w
+            if nxt > v:
+                w2 = total - w1
+                m1, m2 = s1 / w1, (whole - s1) / w2
+                d1, d2 = max(q1 / w1 - m1 * m1, 0) ** 0.5, max((square - q1) / w2 - m2 * m2, 0) ** 0.5
+                found = (w1 * w2 * (m2 - m1) ** 2, -k, (v + nxt) / 2, k, nxt - v, (m2 - m1) / (d1 + d2 + 1e-9), w2 / total,
+                         points[-1][0] - nxt)
+                best = max(best, found) if best else found
+        return best
+
+    def split(values):
+        points = [(quantile(values, (i + 0.5) / q.POINTS), 1.0) for i in range(q.POINTS)] + [(values[-1], 0.5)]
+        fence = None
+        for level in range(q.CUTS):
+            best = cut(points)
+            if not best or best[5] < q.APART or best[6] > q.MINORITY or (level and best[4] < best[7]):
+                break
+            fence, points = best[2], points[:best[3] + 1]
+        return fence
+
+    def level(key):
+        groups = defaultdict(list)
+        for lang, source, m in rows:
+            groups[key(lang, source)].append(m)
+        out = {}
+        for k, ms in groups.items():
+            length = sorted(m[q.LENGTH] for m in ms)
+            a, b, c = (quantile(length, r) for r in (0.1, 0.5, 0.9))
+            out[k] = {"n": len(ms), "low": a - q.REACH * (b - a) - q.SLACK, "high": c + q.REACH * (c - b) + q.SLACK}
+            for r in q.RATES:
+                values = sorted(m[r] for m in ms)
+                out[k][r] = split(values)
+                mid = quantile(values, 0.5)
+                out[k][r, "bulk"] = mid + 2 * q.TO_TENTH * (quantile(values, 0.75) - mid)
+        return out
+
+    corpus, langs, own = level(lambda *_: 0), level(lambda lang, _: lang), level(lambda lang, source: (lang, source))
+
+    def pulled(value, n, parent):
+        if value is None or parent is None:
+            return parent if value is None else value
+        return (n * value + prior * parent) / (n + prior)
+
+    out = {}
+    for (lang, source), g in own.items():
+        def fence(name, g=g, lang=lang):
+            return pulled(g[name], g["n"], pulled(langs[lang][name], langs[lang]["n"], corpus[0][name]))
+        out[lang, source] = {r: None if fence(r) is None else min(max(fence(r), g[r, "bulk"]), 1.0) for r in q.RATES}
+        out[lang, source][q.LENGTH] = (fence("low"), fence("high"))
+    return out
+
+
+def test_fences_against_plain_version(spark, messy, small):
+    """Every fence and every verdict, from exact quantiles (the sketches of such small groups hold all values)."""
+    for df, prior in ((messy, 500), (small, 500), (small, 0), (small, 20)):
+        docs = quality_rules.text_measures(df.select("doc_id", "lang", "source", "text"))
+        measured = quality_rules._with_rates(docs)
+        rows = [(r.lang, r.source, r.asDict()) for r in measured.collect() if r.n_words]
+        want = plain_fences(rows, prior)
+        got = {(r.lang, r.source): r for r in quality_rules.fitted_fences(measured, prior).collect()}
+        assert got.keys() == want.keys()
+        for key, r in got.items():
+            assert (r.mean_word_low, r.mean_word_high) == pytest.approx(want[key]["mean_word"])
+            for m in quality_rules.RATES:
+                assert r[f"{m}_high"] == (None if want[key][m] is None else pytest.approx(want[key][m])), (key, m)
+        for r in quality_rules.judge_quality(df, prior_rows=prior).collect():
+            if r.n_words:
+                limits = want[r.lang, r.source]
+                failed = {m for m in quality_rules.RATES if limits[m] is not None and r[m] > limits[m] + 1e-12}
+                assert failed | ({"mean_word"} if not limits["mean_word"][0] <= r.mean_word <= limits["mean_word"][1] else set()) == set(r.failed)
+
+
 def test_thresholds_follow_the_group(spark):
     """The same text is usual in one source and rejected in another."""
     odd = " ".join(f"| w7y{k} # |" for k in range(20))
@@ -431,7 +694,7 @@ def test_pipeline_against_plain_versions(spark):
             want = brute.spread_lines([(r.doc_id, r.text, r.source) for r in before], line_spread.MIN_SITES)
             assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == sorted((i, t, len(t)) for i, t in want)
         elif name == "near_duplicates":
-            stay = {i for i, _, c in brute.similar([(r.doc_id, r.text) for r in before]) if i == c}
+            stay = {i for i, _, c in brute.similar([(r.doc_id, r.text) for r in before], n=5, percent=80) if i == c}
             assert sorted(rows) == sorted(r for r in before if r.doc_id in stay)
         elif name == "mixture":
             copies = {r.doc_id: r.copies for r in mixing.mix_decisions(docs).collect()}
@@ -456,6 +719,44 @@ def test_near_duplicates_of_the_stage(spark):
     assert {r.doc_id for r in got.collect()} == stay == {1, 3}
 
 
+def test_an_id_with_two_texts(spark):
+    """A copy goes though its id also names another text, and repeated rows are one document."""
+    import corpus_pipeline
+
+    t = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"z{k}" for k in range(60))
+    rows = [(1, t, 0), (5, t + " more", 0), (5, other, 0), (5, other, 0), (5, other, 1), (7, "lone", 0), (7, "lone text", 0),
+            (8, other + " end", 0), (9, "", 0), (9, None, 0), (None, t, 0), (None, t, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component int")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        [(1, t), (5, other), (7, "lone"), (7, "lone text"), (9, ""), (9, None), (None, t), (None, t)])
+
+
+def test_stages_of_an_empty_table(spark, nothing):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == nothing.columns)
+
+
+def test_mixed_copies_of_repeated_rows(spark):
+    """Rows that share id, source and text share out their draws; each copy keeps its own other columns."""
+    rows = [(k % 5, f"text {k % 5} of words", f"s{k % 2}", k) for k in range(40)] + [(9, "once here", "s0", 99), (None, None, None, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    drawn = {(r.doc_id, r.source): 0 for r in docs.collect()}
+    for r in mixing.mix_decisions(docs).collect():
+        drawn[r.doc_id, r.source] += r.copies
+    got = mixing.mix_sources(docs).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter({k: n for k, n in drawn.items() if n})
+    each = Counter(r.copies for r in got)
+    for key in drawn:
+        same = [each[k] for i, _, s, k in rows if (i, s) == key]
+        assert max(same) - min(same) <= 1
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline
 
