@@ -117,6 +117,16 @@ def test_saved_models_score_the_same(spark, duck_small):
     assert sum(r[LABEL_COLUMN] for r in rows) == positives * len(mq.MODEL_NAMES)
 
 
+def test_tuning_check_agrees_with_sql(spark, duck_small):
+    """The registered check, with small grids: rows and positives of SQL, AUC of the rank sums."""
+    n, positives = _test_rows(duck_small)
+    rows = {r.model: r for r in mq.q_tuning_check(spark, SF, SMALL).collect()}
+    assert rows.keys() == set(mq.MODEL_NAMES)
+    for name, r in rows.items():
+        assert (r.settings, r.test_rows, r.positives, r.auc_agrees) == (
+            len(ml.param_grid(ml.MODELS[name][0]("f", "l"), SMALL[name])), n, positives, True)
+
+
 def test_tuned_training_roc_runs_from_none_to_all(spark):
     points = [(r.fpr, r.tpr) for r in mq.tuned_training_roc(spark, SF, SMALL["logreg"]).collect()]
     assert min(points) == (0.0, 0.0) and max(points) == (1.0, 1.0)

@@ -9,7 +9,7 @@ from conftest import SF_CHECK, SF_SMALL
 from oracle_helpers import compare
 
 # The text operators have tests of their own; the full tuning grids are searched
-# by the registered queries and with small grids in test_metrics_models.py.
+# by the registered queries, and with small grids in test_tuning.py and test_metrics_models.py.
 SLOW = {"tuning_check", "model_reload_check"}
 ORACLES = {k: v for k, v in all_oracles().items() if k not in SLOW}
 QUERIES = entry.queries()
