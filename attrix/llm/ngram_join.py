@@ -57,7 +57,7 @@ MOST_CELLS = 1 << 24
 CELL_BYTES = 1 << 18  # of the input for each cell, between the two bounds
 BLOOM_BITS = 1 << 24
 SHORT_LIST = 16
-BLOCK = 500
+BLOCK = 1000
 BLOCK_BYTES = 8 << 20
 HOT_SETS = 65_536
 BUCKET_ENTRIES = 1 << 19
