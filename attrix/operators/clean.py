@@ -110,9 +110,13 @@ def clean_report(df: DataFrame, view: str) -> DataFrame:
     One scan and one grouped aggregate: each key carries its rows, its rows
     without nulls and its survivor, and a sum over the keys gives every stage.
     """
-    spec = CLEAN_SPECS[view]
-    stages = stage_counts(spec)
-    counted = counted_survivors(df, spec).agg(*[F.coalesce(n, F.lit(0)).alias(name) for name, n in stages.items()])
+    return stage_report(counted_survivors(df, CLEAN_SPECS[view]), view)
+
+
+def stage_report(survivors: DataFrame, view: str) -> DataFrame:
+    """C3 from counted survivors, computed or written."""
+    stages = stage_counts(CLEAN_SPECS[view])
+    counted = survivors.agg(*[F.coalesce(n, F.lit(0)).alias(name) for name, n in stages.items()])
     stack = ", ".join(f"'{name}', `{name}`" for name in stages)
     return counted.select(F.lit(view).alias("view_name"), F.expr(f"stack({len(stages)}, {stack}) AS (stage, row_count)"))
 

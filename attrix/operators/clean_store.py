@@ -11,9 +11,10 @@ it had not begun.  (Overwriting partitions in place deletes each before it renam
 Filters that come after deduplication are applied when the store is read, as a
 later batch may still bring a smaller survivor.
 
-The row counts of each step are observed while rows are written, so the report costs no scan.  A stage that Spark runs
-again after an executor was lost may be observed twice; where that matters, count with
-:func:`~attrix.operators.clean.clean_report`.
+Every survivor is written with its key's row counts, so the report reads two narrow columns of what was
+written and nothing of the source.  (``DataFrame.observe`` would save that too, but once a session has made an ``Observation``,
+Spark 4.1 can no longer serialise a logistic or forest model that holds its training summary, and a stage that runs again
+after an executor was lost is observed twice.)
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from attrix.operators.clean import CLEAN_SPECS, CleanSpec, counted_survivors, drop_duplicate_rows, stage_counts
+from attrix.operators.clean import CLEAN_SPECS, counted_survivors, drop_duplicate_rows, stage_counts, stage_report
 from attrix.session import owned_tables, shared_table
 from attrix.sources import storage
 
@@ -83,9 +84,10 @@ class CleanStore:
 
     def _merge(self, batch: DataFrame) -> dict[str, int]:
         keys, state = self.spec.key_columns, self._state()
-        seen = Observation()
         # one pass over the batch: its own survivors, and its counts
-        fresh = shared_table(_observed(batch, self.spec, seen), "clean-batch").filter("_present > 0").select(*batch.columns)
+        counted = shared_table(counted_survivors(batch, self.spec), "clean-batch")
+        seen = counted.agg(*[n.alias(name) for name, n in stage_counts(self.spec).items()]).first()
+        fresh = counted.filter("_present > 0").select(*batch.columns)
         fresh = fresh.withColumn(BUCKET, key_bucket(keys, self.buckets))
         touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())  # as many as there are buckets at most
         merged = fresh.drop(BUCKET)
@@ -102,26 +104,19 @@ class CleanStore:
         self._publish(state)
         for f in replaced - set(state["folders"].values()):
             storage.delete(self.spark, f"{self.path}/{f}")  # no bucket is read from there any more
-        return {"loaded": seen.get["loaded"] or 0, "not_null": seen.get["not_null"] or 0, "rewritten": len(touched)}
-
-
-def _observed(rows: DataFrame, spec: CleanSpec, seen: Observation) -> DataFrame:
-    """Survivors by key, counted as they pass.  (To be written as they are: Spark moves no filter below an
-    observation, and one above it makes the optimiser reason about every column below.)"""
-    return counted_survivors(rows, spec).observe(seen, *[n.alias(name) for name, n in stage_counts(spec).items()])
+        return {"loaded": seen["loaded"] or 0, "not_null": seen["not_null"] or 0, "rewritten": len(touched)}
 
 
 def clean_and_count(df: DataFrame, view: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """C2 and C3 in one pass: write the survivors and return the cleaned view with the row counts taken on the way.
+    """C2 and C3 in one pass over the source: write the survivors with their counts; the cleaned view and the report read that.
 
-    The counts ride on the write as observed metrics, so the report reads nothing; it has the rows of
-    :func:`~attrix.operators.clean.clean_report`.  The cleaned view reads what was written, its filters pushed into the scan.
+    The report has the rows of :func:`~attrix.operators.clean.clean_report`; its scan reads the counts alone (and what the
+    view's filter needs).  The cleaned view's filters are pushed into its scan.
     """
-    spec, seen = CLEAN_SPECS[view], Observation()
-    _observed(df, spec, seen).write.mode("errorifexists").parquet(path)
-    spark = df.sparkSession
-    cleaned = spark.read.parquet(path).filter("_present > 0").select(*df.columns)
+    spec = CLEAN_SPECS[view]
+    counted_survivors(df, spec).write.mode("errorifexists").parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    cleaned = written.filter("_present > 0").select(*df.columns)
     if spec.post_filter is not None:
         cleaned = cleaned.filter(spec.post_filter())
-    rows = [(view, stage, int(n or 0)) for stage, n in seen.get.items()]
-    return cleaned, spark.createDataFrame(rows, "view_name string, stage string, row_count long")
+    return cleaned, stage_report(written, view)

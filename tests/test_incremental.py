@@ -1,4 +1,4 @@
-"""Cleaning in batches, observed counts, bitmaps, histograms, skewed joins and owned tables."""
+"""Cleaning in batches, written counts, bitmaps, histograms, skewed joins and owned tables."""
 
 import os
 import random
@@ -82,11 +82,15 @@ def test_an_interrupted_batch_has_not_begun(spark, monkeypatch, step):
 
 
 @pytest.mark.parametrize("view", sorted(VIEW_COLUMNS))
-def test_observed_counts_equal_the_report(spark, view):
+def test_written_counts_equal_the_report(spark, view):
     rows = load_view(spark, SF_SMALL, view)
     cleaned, counts = clean_and_count(rows, view, session.shared_folder(spark, "clean"))
     assert rows_of(cleaned) == rows_of(clean_view(rows, view))
     assert rows_of(counts) == rows_of(clean_report(rows, view))
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    needed = {"incident": [], "ticket": [], "assessment": ["asmt_metric_type"], "orderatom": ["orderatom_cancelation_reason"]}[view]
+    schema = plan[plan.index("ReadSchema: "):].split(">")[0]
+    assert plan.count("FileScan") == 1 and {c.split(":")[0] for c in schema.split("<")[1].split(",")} == {"_loaded", "_present", *needed}
 
 
 def test_store_holds_each_key_once(spark):
