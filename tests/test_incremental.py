@@ -122,6 +122,19 @@ def test_bitmaps_equal_distinct_counts(spark):
             c: len({i for c2, _, i in rows if c2 == c and i is not None}) for c in {c for c, _, _ in rows}}
 
 
+def test_scattered_numbers_cost_a_long_each(spark):
+    """Numbers far apart (negative ones too): one fixed-width row each at most, in an aggregate that can spill."""
+    items = [k * 40_000 - 5 * 40_000 for k in range(50)] * 2 + [-1, -64, -65, 63, 64]
+    df = spark.createDataFrame([(k % 3, i) for k, i in enumerate(items)], "customer int, item long")
+    bitmaps = agg.distinct_bitmaps(df, ["customer"], "item")
+    assert dict(bitmaps.dtypes)["_bitmap"] == "bigint" and bitmaps.count() <= df.distinct().count()
+    for frame in (bitmaps, agg.merge_bitmaps(bitmaps, ["customer"])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    totals = agg.count_bitmaps(agg.merge_bitmaps(bitmaps, []), [], "n")
+    assert totals.first().n == len(set(items))
+
+
 # ---------------------------------------------------------------- histograms
 @pytest.mark.parametrize("bins", [4, 64, ev.HISTOGRAM_BINS])
 def test_histogram_bounds_hold_the_exact_area(spark, bins):
