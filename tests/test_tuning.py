@@ -68,6 +68,35 @@ def test_converged_fits_equal_direct_ones(frames):
     assert fits < len(tuning.grid_settings(GRIDS["logreg"]))
 
 
+def test_empty_models_serve_stronger_penalties(spark, frames):
+    """Fits that an L1 penalty leaves empty stand for stronger ones: fewer fits, the metrics of fits of their own."""
+    train, _ = frames
+    grid = {"regParam": [0.001, 1.0, 2.0], "elasticNetParam": [0.5, 1.0], "maxIter": [50]}
+    found = tuning.search(train, {"logreg": grid}, KEY_COLUMN, LABEL_COLUMN, shared_folder(spark, "tuning"), parallelism=1)["logreg"]
+    assert 5 < found.fits < 5 * len(found.settings)
+    evaluator = ml.auc_evaluator(LABEL_COLUMN)
+    for k, s in enumerate(found.settings):
+        model = ml.logistic_regression(ml.FEATURES_VECTOR, LABEL_COLUMN, **s).fit(train.filter("fold <> 1"))
+        assert found.metrics[1, k] == pytest.approx(evaluator.evaluate(model.transform(train.filter("fold = 1"))), abs=1e-12)
+
+
+def test_a_fit_that_used_iterations_is_not_empty():
+    class Fit:
+        def __init__(self, iterations, *coefficients):
+            self.summary = type("S", (), {"totalIterations": iterations})
+            self.coefficients = type("C", (), {"toArray": lambda _: np.array(coefficients)})()
+
+    empty, s = tuning.EmptyModels(), {"regParam": 0.5, "elasticNetParam": 0.5, "maxIter": 5}
+    for fit, strength in ((Fit(1, 0.0), s), (Fit(0, 0.1), s), (Fit(0, 0.0), s | {"elasticNetParam": 0.0}), (Fit(0, 0.0), s | {"maxIter": 0})):
+        empty.note(0, strength, fit, 0.5)
+    assert empty.auc(0, s | {"regParam": 2.0}) is None
+    empty.note(0, s, Fit(0, 0.0, 0.0), 0.5)
+    assert empty.auc(0, s | {"regParam": 2.0, "maxIter": 1}) == 0.5
+    for other in ({"regParam": 0.1}, {"elasticNetParam": 0.0}, {"maxIter": 0}, {"fitIntercept": False}):
+        assert empty.auc(0, s | other) is None
+    assert empty.auc(1, s) is None
+
+
 def test_search_equals_spark_cross_validator(spark, frames):
     train, _ = frames
     found = tuning.search(train, GRIDS, KEY_COLUMN, LABEL_COLUMN, shared_folder(spark, "tuning"))
