@@ -13,6 +13,7 @@ from attrix.operators.clean import CLEAN_SPECS, clean_report, clean_view
 from attrix.operators.clean_store import BUCKET, CleanStore, clean_and_count
 from attrix.operators.joins import join_aggregate
 from attrix.plans import evaluate as ev
+from attrix.plans import features
 from attrix.sources import storage
 from attrix.sources.fixtures import VIEW_COLUMNS, load_view
 from conftest import SF_SMALL
@@ -315,3 +316,14 @@ def test_buckets_are_read_without_an_exchange(spark):
         stored.drop()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_full_frame_cleans_each_view_once(spark, monkeypatch):
+    """With the window counts, incidents and order atoms are read twice, but cleaned into one table each."""
+    cleaned = []
+    monkeypatch.setattr(features, "shared_table", lambda df, name="table": cleaned.append(name) or session.shared_table(df, name))
+    src = features.load_clean_sources(spark, SF_SMALL)
+    full = features.analysis_frame(src, features.DEFAULT_ANALYSIS_DATE, priority_counts=True)
+    assert sorted(cleaned) == ["clean-incident", "clean-orderatom", "customers"]
+    assert "_survivor" not in full._jdf.queryExecution().optimizedPlan().toString()
+    assert full.count() == src.orderatom.count()
