@@ -6,8 +6,7 @@ words) that is a state of the tree; without any, from the words' own frequencies
 *Smoothing.*  ``P(w | s) = (c(s w) + mu * P(w | suffix of s)) / (c(s) + mu)``, down to
 ``(c(w) + a) / (N + a * (V + 1))`` for the empty context.  So every distribution sums to one.
 
-*States.*  A context is a candidate if it was seen often enough: by default ``sqrt(tokens) / COUNT_ROOT`` times (and ``MIN_COUNT``), so
-the tree grows with the corpus, and chance has less to say in a larger one.  It becomes a state
+*States.*  A context is a candidate if it was seen ``MIN_COUNT`` times, whatever the size of the corpus.  It becomes a state
 if its distribution diverges from its suffix's: the summed log ratio of the two over its training
 occurrences, each judged by the counts without itself, reaches ``min_gain`` nats.
 
@@ -43,7 +42,6 @@ from attrix.llm.word_hashes import mixed, word_hashes
 
 DEPTH = 3
 MIN_COUNT = 32
-COUNT_ROOT = 160
 MIN_GAIN = 8.0
 MU = 60.0
 ALPHA = 0.1
@@ -229,12 +227,7 @@ def _gates(table: pa.Table) -> dict[int, np.ndarray]:
     return {r: np.concatenate([_unplanes(d, "u1").astype(bool) for d in parts]) for r, parts in _by_round(table, "gate").items()}
 
 
-def least_count(tokens: int) -> int:
-    """How often a context must have been seen to be a candidate, in a corpus of so many tokens."""
-    return max(MIN_COUNT, int(tokens ** 0.5 / COUNT_ROOT))
-
-
-def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count: int | None = None,
+def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count: int = MIN_COUNT,
                 min_gain: float = MIN_GAIN, mu: float = MU, alpha: float = ALPHA, id_col: str = "doc_id",
                 text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10, words alone), score
@@ -244,7 +237,6 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks.repartition(n, "block").persist(StorageLevel.DISK_ONLY)
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    min_count = least_count(tokens) if min_count is None else min_count
     shift = max(0, 64 - 2 * max(24, int(tokens).bit_length()))
     bits = (int(tokens) // bucket_tokens).bit_length()
 

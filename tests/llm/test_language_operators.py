@@ -1,6 +1,7 @@
 """Suffix tree, periodic runs and token alignment against plain Python versions."""
 
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -74,6 +75,13 @@ def test_suffix_tree(messy, small, small_rows, options):  # noqa: F811
             assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_suffix_tree_threshold_is_the_same_at_every_size():
+    """How often a context must be seen does not follow from the corpus."""
+    defaults = inspect.signature(suffix_tree.score_texts).parameters
+    assert defaults["min_count"].default == suffix_tree.MIN_COUNT == 32
+    assert not hasattr(suffix_tree, "least_count")
+
+
 def test_suffix_tree_beats_words_alone(spark):
     """Held-out texts are more likely under the tree than under the words' frequencies, and reruns agree."""
     run = lambda: queries.op11_suffix_tree(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()
