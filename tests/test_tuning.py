@@ -68,6 +68,44 @@ def test_converged_fits_equal_direct_ones(frames):
     assert fits < len(tuning.grid_settings(GRIDS["logreg"]))
 
 
+@pytest.mark.parametrize("name, setting", [("rforest", {"maxBins": 10, "numTrees": 7}), ("rforest", {"maxBins": 5, "numTrees": 1}),
+                                           ("dtree", {"maxBins": 20})])
+def test_first_levels_equal_a_shallower_fit(frames, name, setting):
+    """A tree or forest of less depth is the first levels of a deeper one: the same nodes, the same scores."""
+    train, test = frames
+    fit = lambda depth: ml.MODELS[name][0](ml.FEATURES_VECTOR, LABEL_COLUMN, maxDepth=depth, **setting).fit(train)
+    deep = fit(8)
+    for depth in (0, 1, 2, 5, 8):
+        direct, cut = fit(depth), tuning.first_levels(deep, depth)
+        assert cut.toDebugString.split("\n", 1)[1] == direct.toDebugString.split("\n", 1)[1]
+        assert probabilities(cut, test) == probabilities(direct, test)
+
+
+def test_depths_share_a_fit(spark, frames):
+    """One fit a fold serves all depths of a tree or forest, with the metrics of fits of their own; what is in the ledger is left out."""
+    train, _ = frames
+    grids = {"dtree": {"maxDepth": [2, 5, 3], "maxBins": [10]}, "rforest": {"maxDepth": [1, 4], "maxBins": [10, 20], "numTrees": [3]}}
+    root = shared_folder(spark, "tuning")
+    found = tuning.search(train, grids, KEY_COLUMN, LABEL_COLUMN, root)
+    assert {name: f.fits for name, f in found.items()} == {"dtree": 5, "rforest": 10}
+    evaluator = ml.auc_evaluator(LABEL_COLUMN)
+    for name, f in found.items():
+        for k, s in enumerate(f.settings):
+            model = ml.MODELS[name][0](ml.FEATURES_VECTOR, LABEL_COLUMN, **s).fit(train.filter("fold <> 1"))
+            assert f.metrics[1, k] == pytest.approx(evaluator.evaluate(model.transform(train.filter("fold = 1"))), abs=1e-12)
+
+
+def test_a_level_counted_in_parts_is_not_shared(frames):
+    """Where Spark's memory for histograms cuts a level, each depth has a fit of its own."""
+    train, _ = frames
+    estimator = ml.random_forest(ml.FEATURES_VECTOR, LABEL_COLUMN, numTrees=20, maxMemoryInMB=0)
+    settings = [{"maxDepth": 2}, {"maxDepth": 4}]
+    path = {s["maxDepth"]: (m, fresh) for s, m, fresh in tuning._deepening_path(estimator, train, settings)}
+    assert path[2][1] and path[4][1]
+    direct = estimator.copy({estimator.maxDepth: 2}).fit(train)
+    assert path[2][0].toDebugString.split("\n", 1)[1] == direct.toDebugString.split("\n", 1)[1]
+
+
 def test_empty_models_serve_stronger_penalties(spark, frames):
     """Fits that an L1 penalty leaves empty stand for stronger ones: fewer fits, the metrics of fits of their own."""
     train, _ = frames
