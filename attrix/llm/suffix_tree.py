@@ -15,7 +15,8 @@ numbers of the block's own vocabulary, and written once, bucketed by block, so t
 the counts of its distinct n-grams: keys dealt into buckets by their top bits, which sum them over all blocks and
 answer in the order asked.  One round a context length (only below candidates), then one
 for the contexts' gains; so all rounds are one kind of exchange.  Its answers join a table bucketed like the blocks, so each is
-shuffled once, and its shuffle files go when they are written.
+shuffled once, and its shuffle files go when they are written.  A round whose contexts cover
+more than a quarter of the tokens takes ``PASSES`` steps, each for a range of the keys, so that less is on disk at a time.
 A block sends an n-gram once however often it
 occurs, and buckets are dealt by n-gram, so a word or context that is everywhere is one entry a block.
 Number of blocks, buckets and n-grams follow the corpus; nothing is broadcast or collected but two totals and two sizes a round.
@@ -60,13 +61,14 @@ MU = 60.0
 ALPHA = 0.1
 BLOCK_BYTES = 6 << 20
 BUCKET_TOKENS = 2_000_000
+PASSES = 2
 GAIN_UNIT = 64  # gains are summed in 1/64 nats
 END = 0x5EED0FE9D0C0FFEE  # the hash that stands for the end token
 _TWIST = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ASK = "bucket int, block long, round int, keys binary, amounts binary"
 ANSWER = ("block long, round int, bucket int, sums binary, gate binary, marks binary, names binary, "
-          "distinct long, total long, named long, marked long")
+          "distinct long, total long, named long, marked long, covered long")
 ANSWERED = ("block", "round", "bucket", "sums", "gate", "marks", "names")
 GATED, LOCAL = np.uint8(1), np.uint8(2)  # an n-gram is a candidate as a context; no other block has it
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -177,6 +179,10 @@ class _Layout:
     def buckets(self, k: int, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(min(64, self.widths[k]) - self.bits) if self.bits else np.zeros(len(keys), np.uint64)
 
+    def part(self, buckets: np.ndarray, passes: int) -> np.ndarray:
+        """The pass that asks a bucket."""
+        return (buckets * np.uint64(passes)) >> np.uint64(self.bits)
+
     def numbers(self, k: int, keys: np.ndarray, ranks: np.ndarray, width: int) -> np.ndarray:
         """Corpus-wide numbers from the ranks within buckets."""
         return (self.buckets(k, keys) << np.uint64(width - self.bits)) | ranks
@@ -240,14 +246,17 @@ class _Replay:
         """Corpus counts of all grams: as answered, or the block's own."""
         for k, own in enumerate(self.own):
             counts = own.copy()
-            counts[self.asked[k]] = answers[k]["sums"] if k in answers else 0
+            if k in answers:
+                asked = np.flatnonzero(self.asked[k])
+                counts[asked[(answers[k]["gate"] & LOCAL) == 0]] = answers[k]["sums"]
             self.counts.append(counts)
 
-    def wanted(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """The round, the buckets, keys and training occurrences in this block of the next grams."""
-        k, asked = len(self.grams) - 1, self.asked[-1]
-        keys = self.keys[k][asked]
-        yield k, self.layout.buckets(k, keys), keys, self.own[k][asked]
+    def wanted(self, part: int, passes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The round, the buckets, keys and training occurrences in this block of the next grams, those of one part of the buckets."""
+        k = len(self.grams) - 1
+        buckets = self.layout.buckets(k, self.keys[k])
+        asked = self.asked[k] & (self.layout.part(buckets, passes) == part)
+        yield k, buckets[asked], self.keys[k][asked], self.own[k][asked]
 
     def root(self, total: int, distinct: int, alpha: float, without: int = 0) -> np.ndarray:
         counts = self.counts[0][self.grams[0]]
@@ -371,12 +380,13 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
         binary, nothing = [b""] * len(gates), [0] * len(gates)
         columns = {c: table[c] for c in ("block", "round", "bucket")}
         columns |= {c: pa.array(more.get(c, binary), pa.binary()) for c in ("sums", "marks", "names")}
-        columns |= {c: pa.array(more.get(c, nothing), pa.int64()) for c in ("distinct", "total", "named", "marked")}
+        columns |= {c: pa.array(more.get(c, nothing), pa.int64()) for c in ("distinct", "total", "named", "marked", "covered")}
         columns["gate"] = pa.array([_planes(g) for g in gates], pa.binary())
         return pa.table({c.split()[0]: columns[c.split()[0]] for c in ANSWER.split(", ")})
 
     def counts(key: tuple, table: pa.Table) -> pa.Table:
-        """A bucket's counts over all blocks, to each block in the order it asked, with the numbers of words and of candidates."""
+        """A bucket's counts over all blocks (where more than one asked), to each block in the order it asked, with the
+        numbers of words and of candidates."""
         spans, place, sums = summed(table)
         gated, local, first = sums >= min_count, np.bincount(place) == 1, [0] * (len(spans) - 1)
         rank = np.cumsum(gated).astype(np.uint64) - np.uint64(1)
@@ -384,9 +394,10 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
         words = key[0].as_py() == 0
         return answer(
             table, [gated[m] * GATED | local[m] * LOCAL for m in mine],
-            sums=[_pack_amounts(sums[m]) for m in mine], marks=[_pack_keys(rank[m[gated[m]]]) for m in mine],
+            sums=[_pack_amounts(sums[m[~local[m]]]) for m in mine], marks=[_pack_keys(rank[m[gated[m]]]) for m in mine],
             names=[_pack_keys(m.astype(np.uint64)) if words else b"" for m in mine], distinct=[int((sums > 0).sum()), *first],
-            total=[int(sums.sum()), *first], named=[len(sums), *first], marked=[int(gated.sum()), *first])
+            total=[int(sums.sum()), *first], named=[len(sums), *first], marked=[int(gated.sum()), *first],
+            covered=[int(sums[gated].sum()), *first])
 
     def verdicts(key: tuple, table: pa.Table) -> pa.Table:
         """Which of a bucket's candidates are states, to each block in the order it asked."""
@@ -399,7 +410,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
         with _brief_shuffles(spark), owned_tables(spark):
             new = shared_table(asks.groupBy("round", "bucket").applyInArrow(answer, ANSWER), "suffix-tree-exchange")
             answered.add(new.repartition(answered.number, "block"))
-            return new.agg(F.sum("distinct"), F.sum("total"), F.max("named"), F.max("marked")).first()
+            return new.agg(F.sum("distinct"), F.sum("total"), F.max("named"), F.max("marked"), F.sum("covered")).first()
 
     def replay(block: pa.Table, known: dict[int, dict]) -> _Replay:
         return _Replay(block.to_pylist()[0], known, depth, layout, min_count)
@@ -410,13 +421,15 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
         return out
 
     per_block = blocks.groupBy("block")
-    sizes = exchange(per_block.applyInArrow(lambda key, block: dealt(key[0].as_py(), replay(block, {}).wanted()), ASK), counts)
-    distinct, total = (int(x or 0) for x in sizes[:2])
-    for _ in range(depth):
-        layout = layout.after(*(int(x or 0) for x in sizes[2:]))
-        gates = answered.rows().select("block", "round", "bucket", "gate", "marks", "names")
-        sizes = exchange(per_block.cogroup(gates.groupBy("block")).applyInArrow(
-            lambda key, block, gates: dealt(key[0].as_py(), replay(block, _answers(gates)).wanted()), ASK), counts)
+    sizes = [exchange(per_block.applyInArrow(lambda key, block: dealt(key[0].as_py(), replay(block, {}).wanted(0, 1)), ASK), counts)]
+    distinct, total = (x or 0 for x in sizes[0][:2])
+    for round_ in range(1, depth + 1):
+        layout = layout.after(*(max(x[k] or 0 for x in sizes) for k in (2, 3)))
+        passes = PASSES if layout.bits and 4 * sum(x[4] or 0 for x in sizes) > total else 1
+        gates = answered.rows().filter(F.col("round") < round_).select("block", "round", "bucket", "gate", "marks", "names")
+        sizes = [exchange(per_block.cogroup(gates.groupBy("block")).applyInArrow(
+            lambda key, block, gates: dealt(key[0].as_py(), replay(block, _answers(gates)).wanted(part, passes)), ASK), counts)
+            for part in range(passes)]
     exchange(per_block.cogroup(answered.rows().select(*ANSWERED).groupBy("block")).applyInArrow(
         lambda key, block, known: dealt(
             key[0].as_py(), counted(block, _answers(known)).gains(total, distinct, alpha, mu)), ASK), verdicts)

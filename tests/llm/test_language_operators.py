@@ -107,6 +107,39 @@ def test_suffix_tree_empty(nothing):  # noqa: F811
     assert suffix_tree.score_texts(nothing, F.lit(False)).count() == 0
 
 
+def test_suffix_tree_keys_are_different_for_different_grams():
+    """A longer n-gram's key takes no more bits than its numbers, and no two n-grams share one."""
+    for word_bits, width in ((1, 2), (3, 8), (9, 16)):
+        grams = np.arange(1 << width, dtype=np.uint64)
+        keys = suffix_tree._gram_keys(grams >> np.uint64(word_bits), grams & np.uint64((1 << word_bits) - 1), word_bits, width)
+        assert sorted(keys.tolist()) == grams.tolist()
+
+
+def test_suffix_tree_stores_blocks_and_answers_once(spark, small):  # noqa: F811
+    """Blocks and answers are read by bucket: scoring shuffles neither, and the catalogue keeps no table."""
+    scored = suffix_tree.score_texts(small, F.lit(False), block_bytes=20_000, bucket_tokens=3000)
+    assert scored.count() == small.count()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InMemoryTableScan" not in plan and "Bucketed: true" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("attrix_") and not t.isTemporary]
+
+
+def test_suffix_tree_asks_only_what_other_blocks_can_have():
+    """Beyond the words, a block doesn't ask for an n-gram whose end no other block has, and knows its count."""
+    end = np.array([suffix_tree.END], np.uint64)
+    words = np.concatenate([np.arange(1, 4, dtype=np.uint64) << np.uint64(40), end])  # a b c end
+    names = [c.split()[0] for c in suffix_tree.BLOCK.split(", ")]
+    row = dict(zip(names, suffix_tree._block_row(0, [(1, False, words), (2, True, words)])))
+    layout = suffix_tree._Layout(16, 0)
+    alone = np.array([0, suffix_tree.LOCAL, 0, 0], np.uint8) | suffix_tree.GATED  # only this block has b
+    answer = {"gate": alone, "sums": np.array([40, 40, 40]), "marks": np.arange(4, dtype=np.uint64), "names": np.arange(4, dtype=np.uint64)}
+    replay = suffix_tree._Replay(row, {0: answer}, 1, layout.after(4, 4), 32)
+    replay.count({0: answer})
+    (round_, _, keys, own), = replay.wanted(0, 1)
+    assert round_ == 1 and len(replay.keys[1]) == 3 and len(keys) == 1 and own.tolist() == [1]  # a b, b c are settled; c end is asked
+    assert sorted(replay.counts[0].tolist()) == [1, 40, 40, 40]
+
+
 # --------------------------------------------------------- 12 periodic runs
 def plain_runs(w, least=12):
     n, out = len(w), []
