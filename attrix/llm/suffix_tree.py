@@ -45,13 +45,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
-from attrix.llm.word_hashes import mixed, word_hashes
+from attrix.llm.word_hashes import mixed
 from attrix.session import owned_tables, shared_folder
 
 DEPTH = 3
@@ -65,6 +67,7 @@ PASSES = 2
 GAIN_UNIT = 64  # gains are summed in 1/64 nats
 END = 0x5EED0FE9D0C0FFEE  # the hash that stands for the end token
 _TWIST = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ASK = "bucket int, block long, round int, keys binary, amounts binary"
 ANSWER = ("block long, round int, bucket int, sums binary, gate binary, marks binary, names binary, "
@@ -76,18 +79,42 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double, mean_context double")
 
 
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 # ------------------------------------------------------------------ packing
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` of uint64 with the inverse: leading bits and positions are sorted as one number, which needs no argsort.
+
+    Values that differ in bits beyond those can come out of order; then ``np.unique`` is called."""
+    n = len(values)
+    if not n:
+        return values, np.empty(0, np.int64)
+    base = values.min()
+    bits = n.bit_length()
+    cut = np.uint64(max(0, int(values.max() - base).bit_length() + bits - 64))
+    packed = np.sort((((values - base) >> cut) << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    at = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    ordered = values[at] if cut else (packed >> np.uint64(bits)) + base
+    if cut and (ordered[1:] < ordered[:-1]).any():
+        return np.unique(values, return_inverse=True)
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Integers as byte planes, compressed: small numbers cost little."""
     planes = np.ascontiguousarray(values.view("u1").reshape(len(values), values.itemsize).T)
-    return len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return len(values).to_bytes(8, "little") + _zip.compress(planes.tobytes())
 
 
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     if not n:
         return np.empty(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), "u1")
+    planes = np.frombuffer(_unzip.decompress(data[8:]), "u1")
     return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel()
 
 
@@ -109,11 +136,27 @@ def _unpack_amounts(data: bytes) -> np.ndarray:
 
 
 # ------------------------------------------------------------------- blocks
+def _token_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's tokens as hashes: its words, A-Z lower-cased, and the end.  A word is hashed once however often it occurs."""
+    column = pa.array([t.translate(_LOWER).strip(_SPACES) for t in texts], pa.large_binary()).view(pa.large_string())
+    words = pc.ascii_split_whitespace(column)
+    lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+    blank = pc.binary_length(column).to_numpy() == 0  # split into one empty word
+    words = words.filter(pa.array(~blank)).flatten().dictionary_encode()
+    hashes = [xxh3_64_intdigest(w) for w in words.dictionary.view(pa.large_binary()).to_pylist()]
+    edges = np.cumsum(np.where(blank, 0, lengths) + 1)
+    tokens = np.full(edges[-1], END, np.uint64)
+    inner = np.ones(len(tokens), bool)
+    inner[edges - 1] = False
+    tokens[inner] = np.array(hashes, np.uint64)[words.indices.to_numpy()]
+    return np.split(tokens, edges[:-1])
+
+
 def _block_row(number: int, docs: list[tuple[int | None, bool, np.ndarray]]) -> tuple:
     ids, held, tokens = zip(*docs)
     lengths = np.array([len(t) for t in tokens])
-    hashes, place, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
+    hashes, place = _distinct(np.concatenate(tokens))
+    order = np.argsort(-np.bincount(place), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return (number, list(ids), list(held), lengths.tolist(), int(lengths.sum()), _pack_keys(hashes[order]),
@@ -130,15 +173,16 @@ def text_blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, b
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        end = np.array([END], np.uint64)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(_block_row(number, held), kinds)], names=names)
+            ids, out, texts = zip(*held)
+            row = _block_row(number, list(zip(ids, out, _token_hashes(texts))))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
             for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py() or b""
-                held.append((doc, out, np.concatenate([word_hashes(text.translate(_LOWER)), end])))
+                held.append((doc, out, text))
                 size += len(text) + 64
                 if size >= block_bytes:
                     yield done()
@@ -205,7 +249,7 @@ class _Replay:
         place = (np.arange(n) - np.repeat(self.ends - self.lengths, self.lengths)).astype(np.int32)
         self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
         self.keys, self.grams, self.own, self.asked, self.counts, self.ranks = [], [], [], [], [], []
-        keys, number = np.unique(_unpack_keys(row["vocabulary"]) >> np.uint64(layout.shift), return_inverse=True)
+        keys, number = _distinct(_unpack_keys(row["vocabulary"]) >> np.uint64(layout.shift))
         self._add(keys, number.astype(np.int32)[words], np.zeros(len(keys), bool))
         if not answers:
             return
@@ -218,7 +262,7 @@ class _Replay:
             at = at[(place[at] > k) & (context[at - 1] >= 0)]
             at = at[gated[context[at - 1]]]
             before, end = context[at - 1], context[at]
-            keys, ids = np.unique(_gram_keys(marks[before], names[self.grams[0][at]], layout.words, layout.widths[k + 1]), return_inverse=True)
+            keys, ids = _distinct(_gram_keys(marks[before], names[self.grams[0][at]], layout.words, layout.widths[k + 1]))
             grams = np.full(n, -1, np.int32)
             grams[at] = ids
             known = np.zeros(len(keys), bool)
@@ -275,8 +319,8 @@ class _Replay:
         for k in range(1, len(self.grams)):
             at, context, q = self.deeper(k, p, mu, 1)
             gain = np.where(self.train[at], np.log(q / p[at]), 0.0)
-            numbers, place = np.unique(context, return_inverse=True)
-            sums = np.bincount(place, weights=gain, minlength=len(numbers)) if len(numbers) else np.empty(0)
+            numbers = np.flatnonzero(np.bincount(context, minlength=len(self.keys[k - 1])))
+            sums = np.bincount(context, weights=gain, minlength=len(self.keys[k - 1]))[numbers]
             buckets = self.layout.buckets(k - 1, self.keys[k - 1][numbers])
             yield self.depth + k, buckets, self.ranks[k - 1][numbers], np.rint(GAIN_UNIT * sums).astype(np.int64)
             p[at] = q
@@ -287,7 +331,8 @@ class _Replay:
         for k in range(1, len(self.grams)):
             at, context, q = self.deeper(k, p, mu)
             states = np.zeros(len(self.keys[k - 1]), bool)
-            states[np.unique(context)] = answers[self.depth + k]["gate"] > 0 if len(at) else False
+            states[context] = True
+            states[states] = answers[self.depth + k]["gate"] > 0 if len(at) else False
             p[at] = q
             at, q = at[states[context]], q[states[context]]
             best[at], depth[at] = q, k
@@ -370,7 +415,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
         """A bucket's entries: the span of each block's, the rank of their keys, and by rank the sums over all blocks."""
         parts = [_unpack_keys(k) for k in table["keys"].to_pylist()]
         amounts = np.concatenate([_unpack_amounts(a) for a in table["amounts"].to_pylist()])
-        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        keys, place = _distinct(np.concatenate(parts))
         sums = np.zeros(len(keys), np.int64)
         np.add.at(sums, place, amounts)
         edges = np.cumsum([0] + [len(p) for p in parts]).tolist()

@@ -140,6 +140,30 @@ def test_suffix_tree_asks_only_what_other_blocks_can_have():
     assert sorted(replay.counts[0].tolist()) == [1, 40, 40, 40]
 
 
+@pytest.mark.parametrize("top", [1, 7, 2 ** 20, 2 ** 50, 2 ** 64 - 1])
+def test_suffix_tree_distinct_values(top):
+    """Sorted distinct values and their places, as ``np.unique`` has them: narrow and wide, repeated, alike in the leading bits."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, top, 3000, np.uint64, endpoint=True)
+    alike = np.uint64(1 << 63) | (values & np.uint64(1023))  # with the 0 below: different in the last bits only
+    for v in (values, np.r_[values, values[::3]], alike, np.r_[np.uint64(0), alike], values[:1], values[:0]):
+        keys, place = suffix_tree._distinct(v)
+        want, inverse = np.unique(v, return_inverse=True)
+        assert keys.dtype == np.uint64 and np.array_equal(keys, want) and np.array_equal(place, inverse)
+
+
+def test_suffix_tree_hashes_a_word_once_a_block(monkeypatch):
+    """Tokens are those of ``bytes.split`` on any bytes; words are hashed once a block, lower-cased."""
+    seen, digest = [], suffix_tree.xxh3_64_intdigest
+    monkeypatch.setattr(suffix_tree, "xxh3_64_intdigest", lambda w: seen.append(w) or digest(w))
+    texts = [b"", b" \n ", b"One two ONE", bytes(range(256)) * 2, b"\x1ctwo\x1f two\x85 \x00", "\u00a0zwei\u2003Zwei \u00c4".encode(), b"\x0b\x0ctwo\r"]
+    got = suffix_tree._token_hashes(texts)
+    words = [t.translate(suffix_tree._LOWER).split() for t in texts]
+    assert [g.tolist() for g in got] == [[*map(digest, w), suffix_tree.END] for w in words]
+    assert sorted(seen) == sorted({w for ws in words for w in ws})
+    assert [len(g) for g in suffix_tree._token_hashes([b"", b"  "])] == [1, 1]
+
+
 # --------------------------------------------------------- 12 periodic runs
 def plain_runs(w, least=12):
     n, out = len(w), []
