@@ -22,7 +22,8 @@ exactly, and counted once: in the smallest of the groups that both nodes belong
 to, or as a pair of short lists if there is none.
 
 Texts are scanned three times and never shuffled: for sets and counters, for
-prefixes, and for the whole sets of candidates only.  What is broadcast has a
+prefixes, and for the whole sets of candidates only; these are stored once, bucketed
+by node, so joins by node don't shuffle them, and shuffle files go when a step is written.  What is broadcast has a
 bounded size: the counters' levels (1 to 16 MB) and a Bloom filter of candidates
 (2 MB), which only saves work, as a join by node follows.
 
@@ -48,7 +49,7 @@ from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
 from attrix.llm.word_hashes import mixed, run_starts, word_hashes
-from attrix.session import table_bytes
+from attrix.session import BucketedTable, brief_shuffles, table_bytes
 
 SHINGLE = 4
 PERCENT = 85
@@ -369,6 +370,11 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
                       text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (the number of similar documents), and, to tell
     texts of one id apart, text_hash (xxhash64) and component (a name of its own for each component)."""
+    with brief_shuffles(docs.sparkSession):
+        return _linked(docs, n, percent, id_col, text_col)
+
+
+def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                         F.xxhash64(F.col(text_col)).alias("text_hash"))
@@ -460,8 +466,13 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.binary()])],
                                                  names=["rep", "node", "elements"])
 
-    elements = shared_table(texts.mapInArrow(whole, "rep long, node long, elements binary")
-                            .join(wanted, ["node", "rep"]).select("node", "elements", "copies", "groups"), "candidate-sets")
+    # dealt by node alone, as the files are, so that no later step shuffles whole sets by node
+    own = (F.col("rep") >= F.col("least")) & (F.col("rep") <= F.col("least"))
+    stored = BucketedTable(spark, "candidate-sets", "node")
+    stored.add(texts.mapInArrow(whole, "rep long, node long, elements binary")
+               .join(wanted.withColumnRenamed("rep", "least").hint("merge"), "node").filter(own)
+               .select("node", "elements", "copies", "groups"))
+    elements = stored.last_rows()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,9 +38,7 @@ block of its own; an empty table gives an empty result; other columns are not re
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -48,13 +46,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from attrix.llm.common import shared_table
 from attrix.llm.word_hashes import mixed
-from attrix.session import owned_tables, shared_folder
+from attrix.session import BucketedTable, brief_shuffles, owned_tables
 
 DEPTH = 3
 MIN_COUNT = 32
@@ -74,7 +72,6 @@ ANSWER = ("block long, round int, bucket int, sums binary, gate binary, marks bi
           "distinct long, total long, named long, marked long, covered long")
 ANSWERED = ("block", "round", "bucket", "sums", "gate", "marks", "names")
 GATED, LOCAL = np.uint8(1), np.uint8(2)  # an n-gram is a candidate as a context; no other block has it
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double, mean_context double")
 
@@ -353,48 +350,13 @@ def _answers(table: pa.Table) -> dict[int, dict[str, np.ndarray]]:
             for k, parts in rounds.items()}
 
 
-@contextmanager
-def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside remove their shuffle files at their end; what they write is read from its files."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
-
-
-class _Buckets:
-    """A table in the shared folder, bucketed by block: grouping by block reads what was added without an exchange."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.path = spark, f"attrix_{uuid.uuid4().hex}", shared_folder(spark, name)
-        self.number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def add(self, df: DataFrame) -> None:
-        (df.write.format("parquet").option("path", self.path).mode("append")
-         .bucketBy(self.number, "block").saveAsTable(self.name))
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def last_rows(self) -> DataFrame:
-        """The rows, when none will be added: the catalogue's entry goes, the files stay with their owner."""
-        rows = self.rows()
-        self.spark.sql(f"DROP TABLE {self.name}")
-        return rows
-
-
 def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count: int = MIN_COUNT,
                 min_gain: float = MIN_GAIN, mu: float = MU, alpha: float = ALPHA, id_col: str = "doc_id",
                 text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10, words alone), score
     (log10, the tree's) and the mean length of the states used.  Documents with ``held_out`` are only scored."""
     spark = docs.sparkSession
-    texts, answered = _Buckets(spark, "suffix-tree-blocks"), _Buckets(spark, "suffix-tree-answers")
+    texts, answered = BucketedTable(spark, "suffix-tree-blocks", "block"), BucketedTable(spark, "suffix-tree-answers", "block")
     texts.add(text_blocks(docs, held_out, id_col, text_col, block_bytes))
     blocks = texts.last_rows()
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
@@ -452,7 +414,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, min_count
 
     def exchange(asks: DataFrame, answer) -> Row:
         """Adds the buckets' answers to those the blocks have; returns totals and sizes.  Shuffle files of a step go before the next."""
-        with _brief_shuffles(spark), owned_tables(spark):
+        with brief_shuffles(spark), owned_tables(spark):
             new = shared_table(asks.groupBy("round", "bucket").applyInArrow(answer, ANSWER), "suffix-tree-exchange")
             answered.add(new.repartition(answered.number, "block"))
             return new.agg(F.sum("distinct"), F.sum("total"), F.max("named"), F.max("marked"), F.sum("covered")).first()

@@ -9,6 +9,7 @@ from llm_fixtures import SF, messy, nothing, small, small_rows  # noqa: F401
 from oracle_helpers import compare, duck
 from pyspark.sql import functions as F
 
+from attrix import session
 from attrix.llm import (exact_dedup, line_spread, mixing, ngram_join, packing, quality_rules, queries, sharding,
                         substring_dedup, toxicity, url_reputation)
 
@@ -464,6 +465,30 @@ def test_similar_families(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute.similar(rows)
 
 
+def test_candidate_sets_are_not_shuffled_by_node(spark, monkeypatch):
+    """Whole sets are stored once by node: pairs move them at most once, groups too, and each step's shuffle files go at its end."""
+    plans, settings, write = {}, set(), ngram_join.shared_table
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        settings.add(spark.conf.get(session.SHUFFLE_CLEANUP))
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "shared_table", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    try:
+        words = [f"w{k}" for k in range(100)]
+        rows = [(k, " ".join([*words, f"x{k}"])) for k in range(40)] + [(100 + k, " ".join([*words[:60], f"y{k}", f"y{k}"])) for k in range(9)]
+        got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, 0) for k in range(40)} | {(100 + k, 100) for k in range(9)}
+    assert settings == {"true"} and spark.conf.get(session.SHUFFLE_CLEANUP, None) == before
+    assert plans["pair-links"].count("Bucketed: true") == 2 and plans["group-links"].count("Bucketed: true") == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("attrix_") and not t.isTemporary]
+
+
 @pytest.mark.parametrize("block", [500, 7])
 def test_links_are_all_counted(spark, monkeypatch, block):
     """n_links is the number of similar documents, in pairs, families cut into blocks and copies alike."""
