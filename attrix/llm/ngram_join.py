@@ -11,8 +11,10 @@ inverted lists of single elements, against light sets near ``x`` too.
 ``x`` is the size with the least estimated cost of enumerating and scanning.
 
 Short lists give pairs with the number of elements they share, summed over
-lists; pairs that share too few to be similar go.  The nodes of a long list are not
-paired: they meet in groups under the list's smallest node, by size class, and a
+lists; pairs that share too few go: a third of what a similar pair shares
+suffices.  The nodes of a long list are not paired.  Any other similar pair shares the rest in long lists, so a node leaves out
+its longest lists but for that rest (:func:`_long_share`); nodes that share a few frequent shingles by chance are in none then.
+In the lists that stay, nodes meet in groups under the list's smallest node, by size class, and a
 group finds its exact links by matrix products.  It returns how many links each
 node has there and, for the components, a spanning forest.  Groups are cut into
 blocks by sets and bytes, so no task holds more than two blocks.  Elements whose counter stands
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -101,6 +103,20 @@ def _pair_prefix(size, percent: int = PERCENT):
     return np.minimum(size, size - least_overlap(size, percent) + 2)
 
 
+def _short_share(needed: Column) -> Column:
+    """Of the elements that a pair must share, how many make it a candidate by short lists alone."""
+    return F.least(needed, F.greatest(F.lit(2), F.ceil(needed / 3)))
+
+
+def _long_share(size: Column) -> Column:
+    """The least number of long lists that a set shares with any similar set that short lists do not give.
+
+    A similar pair shares ``size // 32`` posted elements or more, whichever of the two has this size, and at least one.
+    """
+    needed = F.greatest(F.lit(1), F.floor(size / 32))
+    return needed - _short_share(needed) + 1
+
+
 def light_limit(sizes: np.ndarray, counts: np.ndarray, percent: int = PERCENT, largest: int = 128) -> int:
     """The size up to which enumerating subsets costs less than scanning lists, over all sets."""
     prefix = _pair_prefix(sizes, percent)
@@ -209,12 +225,13 @@ def _size_class(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 MET = "kind int, a long, b long, a_size int, b_size int, shared int"
+HOT_LENGTH = 2**31 - 1
 
 
 def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
-    """Pairs of short lists (kind 0) and members of long lists' groups (kind 1: a is the leader, a_size the class).
+    """Pairs of short lists (kind 0) and the nodes of long ones (kind 1: a is the posting, a_size the class, shared the length).
 
-    A bucket below 0 holds the hot postings of some nodes: kind 2, a is the posting and a_size the class.
+    A bucket below 0 holds the hot postings of some nodes, whose lists count as long.
     """
     hot = table["bucket"][0].as_py() < 0
     posts, nodes, sizes = [], [], []
@@ -229,9 +246,9 @@ def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
     once = np.r_[True, (posts[1:] != posts[:-1]) | (nodes[1:] != nodes[:-1])]
     posts, nodes, sizes = posts[once], nodes[once], sizes[once]
     if hot:
-        return pa.table({"kind": pa.array(np.full(len(posts), 2), pa.int32()), "a": pa.array(posts.view(np.int64)),
+        return pa.table({"kind": pa.array(np.ones(len(posts), np.int32), pa.int32()), "a": pa.array(posts.view(np.int64)),
                          "b": pa.array(nodes), "a_size": pa.array(_size_class(sizes, percent), pa.int32()),
-                         "b_size": pa.array(sizes, pa.int32()), "shared": pa.array(np.zeros(len(posts), np.int32))})
+                         "b_size": pa.array(sizes, pa.int32()), "shared": pa.array(np.full(len(posts), HOT_LENGTH, np.int32))})
     starts = run_starts(posts)
     lengths = np.diff(np.r_[starts, len(posts)])
 
@@ -256,18 +273,13 @@ def _met(table: pa.Table, limit: int, percent: int) -> pa.Table:
     pairs = pairs[first]
 
     long_ = np.repeat(lengths > SHORT_LIST, lengths)
-    leader = np.repeat(nodes[starts], lengths)[long_]  # the smallest node, as lists are sorted
-    member, size = nodes[long_], sizes[long_]
-    kind = _size_class(size, percent)
-    # a class meets the next one, as similar sizes are at most one class apart
-    groups = np.concatenate([np.stack([leader, member, kind + up, size], axis=1) for up in (0, 1)])
-    groups = np.unique(groups, axis=0) if len(groups) else groups
+    member, size, length = nodes[long_], sizes[long_], np.minimum(np.repeat(lengths, lengths)[long_], HOT_LENGTH)
     return pa.table({
-        "kind": pa.array(np.r_[np.zeros(len(pairs), np.int32), np.ones(len(groups), np.int32)], pa.int32()),
-        "a": pa.array(np.r_[pairs[:, 0], groups[:, 0]]), "b": pa.array(np.r_[pairs[:, 1], groups[:, 1]]),
-        "a_size": pa.array(np.r_[pairs[:, 2], groups[:, 2]], pa.int32()),
-        "b_size": pa.array(np.r_[pairs[:, 3], groups[:, 3]], pa.int32()),
-        "shared": pa.array(np.r_[shared, np.zeros(len(groups), np.int64)], pa.int32())})
+        "kind": pa.array(np.r_[np.zeros(len(pairs), np.int32), np.ones(len(member), np.int32)], pa.int32()),
+        "a": pa.array(np.r_[pairs[:, 0], posts[long_].view(np.int64)]), "b": pa.array(np.r_[pairs[:, 1], member]),
+        "a_size": pa.array(np.r_[pairs[:, 2], _size_class(size, percent)], pa.int32()),
+        "b_size": pa.array(np.r_[pairs[:, 3], size], pa.int32()),
+        "shared": pa.array(np.r_[shared, length], pa.int32())})
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -433,19 +445,24 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     def beyond(size: Column) -> Column:
         return F.ceil(size * percent / 100) - F.floor(size / 32) - 1
     pairs = (met.filter("kind = 0").groupBy("a", "b", "a_size", "b_size").agg(F.sum("shared").alias("shared"))
-             .filter(F.col("shared") >= overlap - F.greatest(beyond(a), beyond(b))).select("a", "b"))
+             .filter(F.col("shared") >= _short_share(overlap - F.greatest(beyond(a), beyond(b)))).select("a", "b"))
     pairs = shared_table(pairs, "pairs")
-    # a group is named by a hash of its leader and class
-    hot = met.filter("kind = 2")
-    leaders = hot.groupBy("a").agg(F.min("b").alias("leader"))
-    hot = (hot.join(leaders, "a").select(F.col("leader").alias("a"), "b", F.explode(F.array("a_size", F.col("a_size") + 1)).alias("a_size"),
-                                         "b_size"))
-    members = (met.filter("kind = 1").select("a", "b", "a_size", "b_size").unionByName(hot)
-               .select(F.xxhash64("a", "a_size").alias("group"), F.col("b").alias("node"), F.col("b_size").alias("size")).distinct())
-    members = shared_table(members, "members")
+    # of its long lists of single elements a node leaves out as many of the longest as keep it in one with each similar node
+    longest = Window.partitionBy("b").orderBy(F.col("shared").desc(), F.col("a").desc())
+    single = F.col("a").bitwiseAND(1) == 0
+    scanned = met.filter("kind = 1").select("a", "b", "a_size", "b_size", "shared")
+    kept = (scanned.filter(single).withColumn("place", F.row_number().over(longest)).filter(F.col("place") >= _long_share(b))
+            .drop("place").unionByName(scanned.filter(~single)))
+    kept = shared_table(kept.drop("shared"), "scanned")
+    leaders = kept.groupBy("a").agg(F.min("b").alias("leader"), F.count(F.lit(1)).alias("length")).filter("length > 1").drop("length")
+    # a group is named by a hash of its leader and class; a class meets the next one, as similar sizes are at most one class apart
+    members = shared_table(
+        kept.join(leaders, "a").select("leader", F.explode(F.array("a_size", F.col("a_size") + 1)).alias("class"), "b", "b_size")
+        .select(F.xxhash64("leader", "class").alias("group"), F.col("b").alias("node"), F.col("b_size").alias("size")).distinct(), "members")
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(8 * F.col("sizes") / BLOCK_BYTES)).cast("int")
-    groups = (members.groupBy("group").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
-              .filter("count > 1").select("group", blocks.alias("blocks")))
+    groups = shared_table(members.groupBy("group").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
+                          .filter("count > 1").select("group", blocks.alias("blocks")), "groups")
+    members = members.join(groups, "group")
 
     places = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
     wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -493,7 +510,7 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     pair_links = shared_table(pair_links, "pair-links")
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (members.join(groups, "group").withColumn("own", block)
+    dealt = (members.withColumn("own", block)
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "own"))
     group_links = shared_table(dealt.join(elements, "node").groupBy("group", "i", "j")

@@ -539,6 +539,52 @@ def test_hot_lists(spark, monkeypatch, block_bytes):
     assert {r.doc_id: r.n_links for r in got} == brute.link_counts(rows)
 
 
+def test_frequent_shingles_by_chance_make_no_candidates(spark, monkeypatch):
+    """Documents that share a few frequent shingles and nothing else stay out of all groups; families and pairs are still found."""
+    monkeypatch.setattr(ngram_join, "CELLS", 2)  # counters that tell nothing apart, as a much larger table's
+    written, write = {}, ngram_join.shared_table
+
+    def noted(df, name="table"):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(ngram_join, "shared_table", noted)
+    rng = np.random.default_rng(9)
+    found = sorted((int(ngram_join.shingle_set(p.encode())[0]), p)
+                   for p in (" ".join(f"c{k}x{j}" for j in range(4)) for k in range(2000)))
+    upper = next(k for k, (h, _) in enumerate(found) if h >= 1 << 63)
+    phrases = [p for _, p in found[:2] + found[upper:upper + 2]]  # first in the order, whichever of the two counters is lower
+    rows = []
+    for k in range(60):
+        words = [f"r{rng.integers(1 << 40)}" for _ in range(200)]
+        for j, phrase in enumerate(phrases):
+            words[40 * j:40 * j] = phrase.split()
+        rows.append((k, " ".join(words)))
+    for k in range(30):
+        words = [f"w{j}" for j in range(200)] if k < 26 else [f"v{k // 2}w{j}" for j in range(200)]
+        words[int(rng.integers(0, 200))] = f"e{rng.integers(1 << 40)}"
+        rows.append((1000 + k, " ".join(words)))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute.similar(rows)
+    assert {r.doc_id: r.n_links for r in got} == brute.link_counts(rows)
+    assert sorted(r.rep for r in written["candidates"].collect()) == list(range(1000, 1030))
+
+
+def test_short_and_long_lists_share_the_work(spark):
+    """What short lists leave to long ones grows with the number of shared elements, so that no pair is missed by both."""
+    size = F.col("id")
+    rows = spark.range(1, 500).select("id", ngram_join._short_share(size).alias("h"), ngram_join._long_share(32 * size).alias("m")).collect()
+    left = [r.m for r in sorted(rows)]
+    assert left == sorted(left) and all(r.h >= 1 and r.h + r.m == r.id + 1 for r in rows)
+    assert spark.range(1, 64).filter(ngram_join._long_share(size) != 1).count() == 0
+    for percent in (40, 85):  # a similar pair shares size // 32 posted elements or more, for either size
+        for a in range(1, 300):
+            for b in range(-(-percent * a // 100), a + 1):
+                beyond = max(-(-percent * s // 100) - s // 32 - 1 for s in (a, b))
+                assert -(-percent * (a + b) // (100 + percent)) - beyond >= max(1, a // 32)
+
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (101, 103), (102, 100)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.root for r in ngram_join.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
