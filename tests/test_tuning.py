@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import functions as F
 
-from attrix.plans import ml, tuning
+from attrix.plans import grouped_fits, ml, tuning
 from attrix.plans import model_queries as mq
 from attrix.plans.features import KEY_COLUMN, LABEL_COLUMN
 from attrix.session import shared_folder
@@ -95,6 +95,37 @@ def test_depths_share_a_fit(spark, frames):
             assert f.metrics[1, k] == pytest.approx(evaluator.evaluate(model.transform(train.filter("fold = 1"))), abs=1e-12)
 
 
+@pytest.mark.parametrize("bins, grouped", [(2, True), (3, True), (40, False)])
+def test_forests_on_counts_equal_forests_on_rows(frames, monkeypatch, bins, grouped):
+    """A forest of few bins reads each combination of bins and class once, and is the forest that Spark fits on all rows."""
+    train, test = frames
+    read, group = [], grouped_fits._grouped
+
+    def noted(bagged, trees):
+        out = group(bagged, trees)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(grouped_fits, "_grouped", noted)
+    estimator = ml.random_forest(ml.FEATURES_VECTOR, LABEL_COLUMN, numTrees=7)
+    setting = {"maxBins": bins, "maxDepth": 8}
+    found, direct = tuning._fit(estimator, train, setting), estimator.copy({estimator.getParam(k): v for k, v in setting.items()}).fit(train)
+    assert found.toDebugString.split("\n", 1)[1] == direct.toDebugString.split("\n", 1)[1]
+    assert probabilities(found, test) == probabilities(direct, test)
+    assert found.getNumTrees == 7 and {p.name: v for p, v in found.extractParamMap().items()} == {
+        p.name: v for p, v in direct.extractParamMap().items()}
+    assert [n <= train.count() / 2 for n in read] == [True] * grouped
+
+
+def test_repeated_rows_do_not_speak_for_counts(spark):
+    """Whether binning saves rows is asked of different rows: copies of rows change nothing."""
+    rows = spark.range(2000).selectExpr("array(cast(id as double)) as f")
+    for copies in (1, 5):
+        several = rows.crossJoin(spark.range(copies).withColumnRenamed("id", "c")).drop("c")
+        assert not grouped_fits.bins_save(several, several.selectExpr("array(floor(f[0] / 1.5)) as f"))
+        assert grouped_fits.bins_save(several, several.selectExpr("array(floor(f[0] / 3)) as f"))
+
+
 def test_a_level_counted_in_parts_is_not_shared(frames):
     """Where Spark's memory for histograms cuts a level, each depth has a fit of its own."""
     train, _ = frames
